@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tessella.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, WINDOW
+from tessella.llm.url_filter import DAMPING, DIGITS, LOWER, MARGIN, ROUNDS, UPPER
+from tessella.llm.url_filter import RULES as URL_RULES
 
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -48,3 +50,57 @@ r AS (SELECT rid, rid AS other FROM d UNION SELECT r.rid, e.q FROM r JOIN e ON r
 k AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.other GROUP BY r.rid)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d JOIN k USING (rid) LEFT JOIN n USING (rid)"""
+
+
+def near_vectors_sql(least_cos: float) -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM d
+       WHERE len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND list_dot_product(x, x) > 0),
+e AS (SELECT a.rid AS p, b.rid AS q FROM ok a JOIN ok b ON a.rid <> b.rid AND len(a.x) = len(b.x)
+      WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= {least_cos}),
+r AS (SELECT rid, rid AS other FROM d UNION SELECT r.rid, e.q FROM r JOIN e ON r.other = e.p),
+k AS (SELECT r.rid, min(d.vec_id) AS component_id FROM r JOIN d ON d.rid = r.other GROUP BY r.rid),
+n AS (SELECT p AS rid, count(*) AS n FROM e GROUP BY p)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM d JOIN k USING (rid) LEFT JOIN n USING (rid)"""
+
+
+def url_sql() -> str:
+    link = r"""(?:href|src|HREF|SRC)\s*=\s*["'']?(?:[Hh][Tt][Tt][Pp][Ss]?:)?//([^/?#"''\s<>]+)"""
+    fits = [
+        (r, f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')")
+        for r in sorted(URL_RULES, key=lambda r: -len(r.name))
+    ]
+    rule = " ".join(f"WHEN {test} THEN '{r.name}'" for r, test in fits)
+    verdict = " ".join(f"WHEN {test} THEN '{r.verdict}'" for r, test in fits)
+
+    def rank(name: str, mass: str, src: str, dst: str) -> str:
+        out = [
+            f"{name}s AS MATERIALIZED (SELECT host, CASE WHEN sum({mass}) OVER () > 0 THEN {mass} / sum({mass}) OVER () ELSE 0.0 END::DOUBLE AS seed FROM hosts)",
+            f"{name}p AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS part FROM edges)",
+            f"{name}0 AS MATERIALIZED (SELECT host, seed AS score FROM {name}s)",
+        ]
+        for i in range(1, ROUNDS + 1):
+            out.append(
+                f"{name}{i} AS MATERIALIZED (SELECT s.host, CASE WHEN (SELECT count(*) FROM edges) = 0 THEN s.seed ELSE ({1 - DAMPING} + {DAMPING} * "
+                f"(SELECT coalesce(sum(score), 0) FROM {name}{i - 1} WHERE host NOT IN (SELECT src FROM {name}p))) * s.seed + {DAMPING} * coalesce(g.got, 0) END AS score "
+                f"FROM {name}s s LEFT JOIN (SELECT dst, sum(part * score) AS got FROM {name}p JOIN {name}{i - 1} ON src = host GROUP BY dst) g ON g.dst = s.host)"
+            )
+        return ",\n".join(out)
+
+    return f"""
+WITH u AS (SELECT page_id, html, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS fixed FROM p),
+edges AS MATERIALIZED (SELECT host AS src, dst, count(*) AS n FROM (
+    SELECT host, translate(unnest(list_distinct(regexp_extract_all(html, '{link}', 1))), '{UPPER}', '{LOWER}') AS dst FROM p)
+  WHERE host <> dst AND host <> '' GROUP BY 1, 2),
+hosts AS MATERIALIZED (SELECT host, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM (
+    SELECT host, (fixed = 'allow')::INT AS a, (fixed = 'block')::INT AS b FROM f UNION ALL SELECT dst, 0, 0 FROM edges) GROUP BY host),
+{rank("t", "coalesce(a, 0)", "src", "dst")},
+{rank("d", "coalesce(b, 0)", "dst", "src")},
+s AS (SELECT host, round(t.score, {DIGITS}) AS trust, round(d.score, {DIGITS}) AS distrust FROM t{ROUNDS} t JOIN d{ROUNDS} d USING (host))
+SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN distrust > trust + {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust
+FROM f JOIN s USING (host)"""

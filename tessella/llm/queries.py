@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import minhash_dedup, quality_rules
-from tessella.llm.oracles import near_duplicate_sql, quality_sql
+from tessella.llm import embedding_dedup, lexical_packing, minhash_dedup, quality_rules, secret_scan, url_filter
+from tessella.llm.oracles import near_duplicate_sql, near_vectors_sql, quality_sql, url_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +22,33 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), least_cos=0.95)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_lexical_packing": op7_lexical_packing,
+    "op9_url_filter": op9_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
     "op3_minhash_dedup": near_duplicate_sql(85),
+    "op4_embedding_dedup": near_vectors_sql(0.95),
+    "op9_url_filter": url_sql(),
 }
