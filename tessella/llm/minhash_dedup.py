@@ -9,9 +9,9 @@ bucket.  What follows is exact:
 2. In every bucket each class is compared with the bucket's smallest class (a
    star, so rows grow with memberships, not with pairs) on full sets.
 3. Buckets that still hold several components are compared in full, in blocks
-   of ``BLOCK`` classes: a block-wise test on one-byte signatures (margin in
-   ``Plan``), then full sets; classes of one component are skipped and at most
-   a spanning forest of new links leaves a block.
+   of ``BLOCK`` classes: first on one-byte signatures (margin in ``Plan``), and
+   what comes near a class of another component on full sets.  At most a
+   spanning forest of new links leaves a block.
 
 Loss comes from banding alone: a pair at the threshold is missed with a chance
 of at most ``MISS`` (1e-6), one above it with less, and each link found is
@@ -164,13 +164,38 @@ def _confirm(percent: int):
     return run
 
 
+def _sides(table: pa.Table) -> tuple[list[int], np.ndarray]:
+    """The rows of a block's two chunks; both are the whole block where it pairs a chunk with itself."""
+    chunk = table["chunk"].to_numpy()
+    lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+    return np.flatnonzero(chunk == lo).tolist(), np.flatnonzero(chunk == hi)
+
+
+def _open_rows(plan: Plan):
+    """The classes of a block whose signature comes near that of a class of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        label = table["label"].to_numpy()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(label), -1)
+        rows, cols = _sides(table)
+        near = np.zeros(len(label), bool)
+        for i in rows:
+            hit = cols[label[cols] != label[i]]
+            hit = hit[np.count_nonzero(sig[hit] == sig[i], axis=1) >= plan.least_equal]
+            near[hit] = True
+            near[i] |= len(hit) > 0
+        return table.select(["bucket", "lo", "hi", "chunk", "node", "label", "sig"]).filter(pa.array(near))
+
+    return run
+
+
 def _compare_block(plan: Plan):
     """A spanning forest of new links among the classes of one pair of chunks of a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, label, mine, other = (table[c].to_pylist() for c in ("node", "label", "chunk", "row"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
-        items = table["items"].combine_chunks()
+        label = table["label"].to_pylist()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(label), -1)
+        items = [np.frombuffer(x.as_buffer(), U64) for x in table["items"]]
         up = {x: x for x in label}
 
         def top(x: int) -> int:
@@ -179,16 +204,11 @@ def _compare_block(plan: Plan):
                 x = up[x]
             return x
 
-        rows = [i for i in range(len(node)) if mine[i] == min(mine[i], other[i])]
-        cols = [i for i in range(len(node)) if mine[i] == max(mine[i], other[i])]
+        rows, cols = _sides(table)
         links = []
         for i in rows:
-            equal = np.count_nonzero(sig[cols] == sig[i], axis=1)
-            for k in np.flatnonzero(equal >= plan.least_equal):
-                j = cols[k]
-                if top(label[i]) != top(label[j]) and similar(
-                    np.frombuffer(items[i].as_py(), U64), np.frombuffer(items[j].as_py(), U64), plan.percent
-                ):
+            for j in cols[np.count_nonzero(sig[cols] == sig[i], axis=1) >= plan.least_equal]:
+                if top(label[i]) != top(label[j]) and similar(items[i], items[j], plan.percent):
                     up[top(label[i])] = top(label[j])
                     links.append((label[i], label[j]))
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
@@ -238,15 +258,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     labelled = members.join(first, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_rows = (
+    blocks = (
         labelled.join(mixed, "bucket")
-        .select("bucket", "node", "label", F.pmod("node", chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("row"))
-        .join(sets, "node")
-        .select(
-            "bucket", "node", "label", "chunk", "row", "sig", "items", F.least("chunk", "row").alias("lo"), F.greatest("chunk", "row").alias("hi")
-        )
+        .withColumns({"chunk": F.pmod(F.xxhash64("node"), chunks).cast("int"), "row": F.explode(F.sequence(F.lit(0), chunks - 1))})
+        .select("bucket", F.least("chunk", "row").alias("lo"), F.greatest("chunk", "row").alias("hi"), "chunk", "node", "label")
     )
-    rest = scratch.cut(open_rows.groupBy("bucket", "lo", "hi").applyInArrow(_compare_block(plan), "u long, v long"), "links")
+    signed = blocks.join(wanted.select("node", "sig"), "node").select(*blocks.columns, "sig")
+    near = scratch.cut(signed.groupBy("bucket", "lo", "hi").applyInArrow(_open_rows(plan), signed.schema), "near")
+    ready = near.join(sets.select("node", "items"), "node")
+    rest = scratch.cut(ready.groupBy("bucket", "lo", "hi").applyInArrow(_compare_block(plan), "u long, v long"), "links")
     merged = scratch.cut(components(rest, scratch), "merged")
     final = (
         nodes.select("node", "k1", "k2", "least")
@@ -258,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     final = scratch.cut(final, "final")
     named = final.join(final.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("k1", "k2", "component_id")
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
-    scratch.drop(members, wanted, sets, stars, rest)
+    scratch.drop(members, wanted, sets, stars, near, rest)
     return out.select(
         "doc_id",
         "n_shingles",
