@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tessella.llm.license_scan import LEAST_DICE, bounds, templates
 from tessella.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, WINDOW
+from tessella.llm.source_mix import LEVELS, Mix
 from tessella.llm.url_filter import DAMPING, DIGITS, LOWER, MARGIN, ROUNDS, UPPER
 from tessella.llm.url_filter import RULES as URL_RULES
 
@@ -104,3 +106,56 @@ hosts AS MATERIALIZED (SELECT host, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FRO
 s AS (SELECT host, round(t.score, {DIGITS}) AS trust, round(d.score, {DIGITS}) AS distrust FROM t{ROUNDS} t JOIN d{ROUNDS} d USING (host))
 SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN distrust > trust + {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust
 FROM f JOIN s USING (host)"""
+
+
+def license_sql() -> str:
+    known = []
+    for i, t in enumerate(templates()):
+        lo, hi = bounds(len(t.bigrams), LEAST_DICE)
+        grams = ", ".join(f"'{b}'" for b in t.bigrams)
+        known.append(f"SELECT {i} AS i, '{t.name}' AS license, [{grams}] AS g, {lo!r} AS lo, {hi!r} AS hi")
+    return f"""
+WITH k AS ({" UNION ALL ".join(known)}),
+d AS (SELECT row_number() OVER () AS rid, doc_id,
+      regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9\\n]+', ' ', 'g') AS t FROM documents),
+s AS (SELECT rid, unnest(list_distinct(list_concat(string_split(t, chr(10)),
+        list_transform(string_split_regex(t, '\\n *\\n'), lambda x: replace(x, chr(10), ' ')), [replace(t, chr(10), ' ')]))) AS x FROM d),
+w AS (SELECT rid, x, string_split_regex(trim(x, ' '), ' +') AS w FROM s),
+b AS (SELECT rid, x, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
+m AS (SELECT rid, x, license, 2.0 * len(list_intersect(b, g)) / (len(b) + len(g)) AS dice, i FROM b JOIN k ON len(b) BETWEEN lo AND hi),
+f AS (SELECT rid, x, max_by(license, (dice, -i)) AS license, max(dice) AS dice FROM m WHERE dice >= {LEAST_DICE} GROUP BY rid, x),
+r AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice, count(*) AS n FROM f GROUP BY rid)
+SELECT doc_id, licenses, best_dice, coalesce(n, 0)::BIGINT AS n_matches FROM d LEFT JOIN r USING (rid)"""
+
+
+def mix_sql() -> str:
+    mix = Mix()
+
+    def weight(level: str) -> str:
+        cases = " ".join(f"WHEN {level} = '{k}' THEN {w}" for k, w in mix.weights.get(level, {}).items())
+        return f"CASE {cases} ELSE {mix.other} END" if cases else str(mix.other)
+
+    steps, held = [], []
+    for i, name in enumerate(LEVELS):
+        on = f"JOIN b{i - 1} USING ({', '.join(held)})" if held else f"CROSS JOIN (SELECT sum(tokens) * {mix.percent} // 100 AS budget FROM leaves) b"
+        part = f"PARTITION BY {', '.join(held)} " if held else ""
+        cols = ", ".join([*held, name])
+        steps.append(
+            f"n{i} AS (SELECT n.*, budget FROM (SELECT {cols}, sum(tokens)::BIGINT * {mix.max_epochs} AS cap, {weight(name)} AS w FROM leaves GROUP BY {cols}) n {on}),\n"
+            f"f{i} AS (SELECT *, cap * sum(w) OVER ({part}ORDER BY cap / w, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= "
+            f"(budget - coalesce(sum(cap) OVER ({part}ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS filled FROM n{i}),\n"
+            f"b{i} AS (SELECT {cols}, (CASE WHEN filled THEN cap ELSE ((budget - coalesce(sum(CASE WHEN filled THEN cap END) OVER ({part}), 0)) * w) // "
+            f"sum(CASE WHEN NOT filled THEN w END) OVER ({part}) END)::BIGINT AS budget FROM f{i})"
+        )
+        held.append(name)
+    names = ", ".join(f"'{d}'" for d in mix.domains)
+    leaf = ", ".join(LEVELS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens,
+      [{names}][coalesce(try_cast(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS BIGINT) % {len(mix.domains)}, 0) + 1] AS domain FROM documents),
+leaves AS (SELECT {leaf}, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+{", ".join(steps)},
+p AS (SELECT l.*, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs FROM leaves l JOIN b2 USING ({leaf})),
+k AS (SELECT d.*, budget, epochs, budget - epochs * tokens AS part, md5('{mix.seed}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM d JOIN p USING ({leaf})),
+u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {leaf} ORDER BY key) AS upto FROM k)
+SELECT doc_id, {leaf}, n_tokens, budget AS leaf_budget, (epochs + (upto <= part)::INT)::BIGINT AS copies FROM u"""

@@ -6,8 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import embedding_dedup, lexical_packing, minhash_dedup, quality_rules, secret_scan, url_filter
-from tessella.llm.oracles import near_duplicate_sql, near_vectors_sql, quality_sql, url_sql
+import corpus_pipeline
+from tessella.llm import (
+    embedding_dedup,
+    lexical_packing,
+    license_scan,
+    minhash_dedup,
+    pii_pseudonyms,
+    quality_rules,
+    secret_scan,
+    source_mix,
+    token_rollup,
+    url_filter,
+)
+from tessella.llm._scratch import Scratch
+from tessella.llm.oracles import license_sql, mix_sql, near_duplicate_sql, near_vectors_sql, quality_sql, url_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +31,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -30,25 +47,49 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mixture(table(spark, sf_dir, "documents"))
+
+
 def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_pseudonyms.pseudonyms(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch of inserts, committed and then sent again, as after a lost answer."""
+    rollup = token_rollup.Rollup(spark, Scratch(spark, "rollup").root)
+    deltas = token_rollup.inserts(token_rollup.counted(table(spark, sf_dir, "documents"), "byte_bpe_50k"))
+    rollup.apply("load", deltas)
+    rollup.apply("load", deltas)
+    return rollup.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_source_mix": op6_source_mix,
     "op7_lexical_packing": op7_lexical_packing,
+    "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_url_filter": op9_url_filter,
+    "op10_token_rollup": op10_token_rollup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
+    "op2_license_scan": license_sql(),
     "op3_minhash_dedup": near_duplicate_sql(85),
     "op4_embedding_dedup": near_vectors_sql(0.95),
+    "op6_source_mix": mix_sql(),
     "op9_url_filter": url_sql(),
 }
