@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import special
+
 #: Levels by which profiles are binned (effective sequences; length).
 EFFECTIVE_LEVELS = (2, 4, 6, 8, 10, 12, 14)
 LENGTH_LEVELS = (50, 100, 200, 400, 600, 800)
@@ -29,10 +31,9 @@ def profile_log_probability(freqs: Column, background: list[float]) -> Column:
     return F.aggregate(F.zip_with(freqs, logs, lambda f, b: f * b), F.lit(0.0), lambda s, x: s + x)
 
 
-@F.pandas_udf("double")
-def log_gamma(x: pd.Series) -> pd.Series:
+def log_gamma(x: Column) -> Column:
     """ln Gamma(x); Spark has no such function."""
-    return x.map(lambda v: math.lgamma(v) if v is not None and v == v else None).astype(float)
+    return special.column(math.lgamma, x)
 
 
 def multinomial_log_probability(counts: pd.Series, background: list[float]) -> pd.Series:

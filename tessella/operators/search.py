@@ -36,21 +36,22 @@ def packed(df: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
     return rows.mapInArrow(run, f"{prefix}_ids binary, {prefix}_mat binary, {prefix}_n int")
 
 
-def _each_pair(kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], scale: float):
+def _each_pair(kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], scale: float, digits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 q, s = (np.frombuffer(row[f"{p}_mat"]).reshape(row[f"{p}_n"], -1) for p in "qs")
                 ids = [np.frombuffer(row[f"{p}_ids"], np.int64) for p in "qs"]
-                yield pa.RecordBatch.from_pydict(kernel(*ids, np.round(scale * (q @ s.T), DIGITS)))
+                scores = scale * (q @ s.T)
+                yield pa.RecordBatch.from_pydict(kernel(*ids, scores if digits is None else np.round(scores, digits)))
 
     return run
 
 
-def scored(queries: DataFrame, subjects: DataFrame, key: str, vector: str, kernel, schema: str, scale: float = 1.0) -> DataFrame:
-    """``kernel(query ids, subject ids, scores)`` over all pairs of blocks."""
+def scored(queries: DataFrame, subjects: DataFrame, key: str, vector: str, kernel, schema: str, scale: float = 1.0, digits: int | None = DIGITS) -> DataFrame:
+    """``kernel(query ids, subject ids, scores)`` over all pairs of blocks, scores rounded to ``digits``."""
     pairs = packed(queries, key, vector, "q").crossJoin(packed(subjects, key, vector, "s"))
-    return pairs.mapInArrow(_each_pair(kernel, scale), schema)
+    return pairs.mapInArrow(_each_pair(kernel, scale, digits), schema)
 
 
 def evalue(score: Column, lam: float, k: float, space: Column) -> Column:
