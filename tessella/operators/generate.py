@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import alphabet as A
+from tessella.functions.vectors import superposed
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -130,7 +131,7 @@ def sampled_contexts(series: DataFrame, wanted: int, size: int, seed: int, weigh
     mixed = F.get("near", 0)
     mixed = F.transform(mixed, lambda v: v * weights[0])
     for k in range(1, size):
-        mixed = F.zip_with(mixed, F.get("near", k), lambda a, b, w=weights[k]: a + w * b)
+        mixed = superposed(mixed, F.get("near", k), F.lit(weights[k]))
     return taken.select("id", "pos", mixed.alias("context"))
 
 

@@ -176,9 +176,10 @@ def gibbs_scan(vectors: DataFrame, model: dict[int, Dish], prior: Prior, seed: i
     """One scan over all vectors, group by group, with the dishes as they were at its start.
 
     A vector joins a table with weight n_t p(x | its dish) or opens one with
-    weight tau, whose dish is drawn by tables served (a new dish by gamma).
+    weight tau, whose dish is drawn by tables served (a new dish by gamma).  A
+    dish that is new in this scan is judged by the vectors it has so far.
     Groups are scanned at the same time, so counts of other groups are those of
-    the scan's start, and ids of new tables and dishes carry the group's id.
+    the scan's start; ids of new tables and dishes are drawn from 62 bits.
     """
     order = sorted(model)
     served = np.array([model[k].tables for k in order], float)
@@ -197,28 +198,37 @@ def gibbs_scan(vectors: DataFrame, model: dict[int, Dish], prior: Prior, seed: i
                 logs[i, order.index(own[i])] = log_predictive(x[i], without(model[own[i]], x[i]))[0]
         dish_of = dict(zip(table.tolist(), own.tolist(), strict=True))
         size = pd.Series(table).value_counts().to_dict()
-        spare = 0
+        new_dish: dict[int, list[int]] = {}
+
+        def judged(k: int, i: int) -> float:
+            rows = [j for j in new_dish.get(k, []) if j != i]
+            if not rows:
+                return fresh[i]
+            return log_predictive(x[i], posterior(prior, len(rows), x[rows].sum(axis=0), (x[rows].T @ x[rows]).ravel()))[0]
+
         for i in range(len(x)):
             size[table[i]] -= 1
             if not size[table[i]]:
                 del size[table[i]], dish_of[table[i]]
-            shift = max(logs[i].max(), fresh[i])
+            known = {k: judged(k, i) for k in set(dish_of.values()) if k not in model}
+            shift = max([logs[i].max(), fresh[i], *known.values()])
             p = np.exp(logs[i] - shift)
             p_new = math.exp(fresh[i] - shift)
             open_dish = np.append(served * p, prior.gamma * p_new) / (served.sum() + prior.gamma)
             names = list(size)
-            like = [p[order.index(dish_of[t])] if dish_of[t] in model else p_new for t in names]
+            like = [p[order.index(dish_of[t])] if dish_of[t] in model else math.exp(known[dish_of[t]] - shift) for t in names]
             w = np.append([size[t] * v for t, v in zip(names, like, strict=True)], prior.tau * open_dish.sum())
             at = rng.choice(len(w), p=w / w.sum())
             if at < len(names):
                 table[i] = names[at]
             else:
-                spare += 1
-                table[i] = (gid << 20) + len(x) + spare
+                table[i] = rng.integers(1 << 62)
                 k = rng.choice(len(open_dish), p=open_dish / open_dish.sum())
-                dish_of[table[i]] = order[k] if k < len(order) else (1 << 40) + (gid << 20) + spare
+                dish_of[table[i]] = order[k] if k < len(order) else rng.integers(1 << 62)
             size[table[i]] = size.get(table[i], 0) + 1
             own[i] = dish_of[table[i]]
+            if own[i] not in model:
+                new_dish.setdefault(own[i], []).append(i)
         return group.assign(table_id=table, dish_id=own)[["vec_id", "group_id", "table_id", "dish_id", "x"]]
 
     rows = vectors.select(
@@ -237,7 +247,7 @@ def table_scan(vectors: DataFrame, model: dict[int, Dish], prior: Prior, seed: i
         logs = np.array([math.log(model[k].tables) + log_predictive(x, model[k]).sum() for k in order] + [math.log(prior.gamma) + log_predictive(x, prior).sum()])
         p = np.exp(logs - logs.max())
         at = rng.choice(len(p), p=p / p.sum())
-        dish = order[at] if at < len(order) else (1 << 41) + int(part["table_id"].iloc[0])
+        dish = order[at] if at < len(order) else int(rng.integers(1 << 62))
         return part.assign(dish_id=dish)
 
     cols = ["vec_id", "group_id", "table_id", "dish_id", "x"]
