@@ -251,9 +251,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     pairs = members.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
     side = lambda key, item: sets.select(F.col("node").alias(key), F.col("items").alias(item))
     stars = scratch.cut(
-        pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").mapInArrow(_confirm(plan.percent), "u long, v long"), "links"
+        pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").mapInArrow(_confirm(plan.percent), "u long, v long").hint("rebalance"), "links"
     )
-    first = scratch.cut(components(stars, scratch), "labels")
+    first = components(stars, scratch)
 
     labelled = members.join(first, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
@@ -266,8 +266,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     signed = blocks.join(wanted.select("node", "sig"), "node").select(*blocks.columns, "sig")
     near = scratch.cut(signed.groupBy("bucket", "lo", "hi").applyInArrow(_open_rows(plan), signed.schema), "near")
     ready = near.join(sets.select("node", "items"), "node")
-    rest = scratch.cut(ready.groupBy("bucket", "lo", "hi").applyInArrow(_compare_block(plan), "u long, v long"), "links")
-    merged = scratch.cut(components(rest, scratch), "merged")
+    rest = scratch.cut(ready.groupBy("bucket", "lo", "hi").applyInArrow(_compare_block(plan), "u long, v long").hint("rebalance"), "links")
+    merged = components(rest, scratch)
     final = (
         nodes.select("node", "k1", "k2", "least")
         .join(first, "node", "left")
@@ -275,7 +275,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
         .join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
         .select("k1", "k2", "least", F.coalesce("top", "label").alias("label"))
     )
-    final = scratch.cut(final, "final")
     named = final.join(final.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("k1", "k2", "component_id")
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     scratch.drop(members, wanted, sets, stars, near, rest)
