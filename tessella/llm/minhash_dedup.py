@@ -38,7 +38,7 @@ from tessella.llm._scratch import Scratch
 from tessella.llm._text import U64, mix64, shingles, slices, stream, word_hashes
 from tessella.llm.components import components
 
-BLOCK = 256
+BLOCK = 1024
 _OTHER = stream(5, 1)[0]
 MISS = 1e-6
 #: Node ids up to which the candidates' list is broadcast: 8 bytes each, 16 MB at most.
