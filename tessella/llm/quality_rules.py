@@ -38,10 +38,10 @@ class Rule:
 
 #: The production table: measures are SQL over the base measures of ``measured``.
 RULES = (
-    Rule("mean_word_length", "word_chars / n_words", 2.0, 16.0),
-    Rule("symbols_per_word", "n_symbols / n_words", None, 0.2),
+    Rule("mean_word_length", "word_chars / greatest(n_words, 1)", 2.0, 16.0),
+    Rule("symbols_per_word", "n_symbols / greatest(n_words, 1)", None, 0.2),
     Rule("upper_share", "n_upper / greatest(word_chars, 1)", None, 0.5),
-    Rule("stop_share", "n_stop / n_words", 0.02, None, 100),
+    Rule("stop_share", "n_stop / greatest(n_words, 1)", 0.02, None, 100),
     Rule("dup_line_share", "n_dup_lines / greatest(n_lines, 1)", None, 0.5),
 )
 
