@@ -18,6 +18,8 @@ LEAST_LENGTH = 30
 OCCUPANCY = 400
 #: The weight of pseudo-frequencies is NUMERATOR / n ** EXPONENT, at most 1.
 NUMERATOR, EXPONENT = 0.65, 0.90
+#: Fixed values of the weight by entropy, which first mixes in two counts of the background.
+ENTROPY_NUMERATOR, ENTROPY_EXPONENT, ENTROPY_LEAST, ENTROPY_COUNTS = 0.0806, 0.53, 0.0001, 2.0
 
 
 def cells(sequences: DataFrame) -> DataFrame:
@@ -125,17 +127,38 @@ def match_frequencies(table: DataFrame, weights: DataFrame) -> DataFrame:
     return sums.select("msa_id", "pos", "code", (F.col("f") / F.sum("f").over(Window.partitionBy("msa_id", "pos"))).alias("freq"), "n")
 
 
-def target_frequencies(freqs: DataFrame, ratios: DataFrame | None = None) -> DataFrame:
+def pseudo_weight(kind: str, beta: float = 10.0) -> Column:
+    """Weight of pseudo-frequencies of a column with ``n`` residues, ``kinds`` of them different, and ``entropy`` bits.
+
+    ``power``: NUMERATOR / n ** EXPONENT.  ``fixed``: beta against kinds - 1
+    observations.  ``entropy``: falls with the relative entropy of the column.
+    """
+    if kind == "fixed":
+        return beta / (F.greatest(F.col("kinds") - 1.0, F.lit(0.0)) + beta)
+    if kind == "entropy":
+        power = ENTROPY_NUMERATOR / F.pow(F.col("entropy"), F.lit(ENTROPY_EXPONENT))
+        return F.when(F.col("entropy") > ENTROPY_LEAST, F.least(power, F.lit(1.0))).otherwise(1.0)
+    return F.least(F.lit(NUMERATOR) / F.pow(F.col("n").cast("double"), F.lit(EXPONENT)), F.lit(1.0))
+
+
+def target_frequencies(freqs: DataFrame, ratios: DataFrame | None = None, kind: str = "power", beta: float = 10.0) -> DataFrame:
     """Frequencies with pseudo-frequencies mixed in, for all 20 residues: ``(msa_id, pos, code, target, bg)``.
 
     ``ratios(code, other, ratio)`` are joint over independent probabilities of
-    residue pairs; without them pseudo-frequencies are the background.
+    residue pairs; without them pseudo-frequencies are the background.  ``kind``
+    names the weight (see ``pseudo_weight``).
     """
     spark = freqs.sparkSession
     base = residue_table(spark)
     columns = freqs.select("msa_id", "pos", "n").distinct().crossJoin(F.broadcast(base))
     grid = columns.join(freqs.drop("n"), ["msa_id", "pos", "code"], "left").withColumn("freq", F.coalesce("freq", F.lit(0.0)))
-    alpha = F.least(F.lit(NUMERATOR) / F.pow(F.col("n").cast("double"), F.lit(EXPONENT)), F.lit(1.0))
+    column = Window.partitionBy("msa_id", "pos")
+    mixed = (F.col("freq") * F.col("n") + ENTROPY_COUNTS * F.col("bg")) / (F.col("n") + ENTROPY_COUNTS)
+    if kind == "entropy":
+        grid = grid.withColumn("entropy", F.greatest(F.lit(0.0), F.sum(mixed * F.log2(mixed / F.col("bg"))).over(column)))
+    if kind == "fixed":
+        grid = grid.withColumn("kinds", F.count_if(F.col("freq") > 0).over(column))
+    alpha = pseudo_weight(kind, beta)
     if ratios is None:
         pseudo = grid.withColumn("pseudo", F.col("bg"))
     else:
