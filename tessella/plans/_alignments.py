@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import alphabet as A
-from tessella.operators import clusters, msa
+from tessella.operators import clusters, extents, masking, msa
 from tessella.plans._common import CELLS, r6, sequences, sql6
 from tessella.sources import alignments as files
 
@@ -216,12 +216,35 @@ def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.fasta(texts).select("msa_id", F.col("title").cast("long").alias("seq_id"), "seq")
 
 
+def target_frequencies_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets with a fixed weight of pseudo-frequencies."""
+    cells = _cells(spark, sf_dir)
+    out = msa.target_frequencies(msa.match_frequencies(cells, msa.sequence_weights(cells)), kind="fixed")
+    return out.select("msa_id", "pos", "code", r6("target").alias("target"))
+
+
+FIXED = f"""
+WITH {CELLS}, {FREQS}, {RESIDUES}, kd AS (SELECT msa_id, pos, 10.0 / (greatest(count(*) - 1, 0) + 10.0) AS alpha FROM fr WHERE freq > 0 GROUP BY 1, 2)
+SELECT kd.msa_id, kd.pos, r.code::INT AS code, {sql6("alpha * bg + (1 - alpha) * coalesce(freq, 0)")} AS target
+FROM kd CROSS JOIN r LEFT JOIN fr ON fr.msa_id = kd.msa_id AND fr.pos = kd.pos AND fr.code = r.code"""
+
+
+def position_specific_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extents.position_weights(_cells(spark, sf_dir), 4).withColumn("weight", r6("weight"))
+
+
+def masked_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences with low-complexity residues as X."""
+    return msa.sequences(masking.mask_sequences(_cells(spark, sf_dir), 6, 1.6, 2.0))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         column_counts, gap_column_filter, terminal_gap_trim, match_states, background_probs, henikoff_weights, column_information, profile_from_msa,
         profile_probabilities, effective_sequences, transition_counts, transition_pme, identity_pairs, identity_purge, single_linkage_clusters,
         between_cluster_residue_counts, between_cluster_pair_counts, logodds_from_counts, logodds_summary, abstract_symbol_scores, fasta_roundtrip,
+        target_frequencies_fixed, position_specific_weights, masked_sequences,
     )
 }
 ORACLES = {
@@ -244,5 +267,6 @@ ORACLES = {
     "logodds_from_counts": f"WITH RECURSIVE {CELLS}, {SCORES} SELECT a, b, {sql6('target')} AS target, {sql6('product')} AS product, {sql6('score')} AS score FROM sc",
     "logodds_summary": f"WITH RECURSIVE {CELLS}, {SCORES}, z AS (SELECT sum(CASE WHEN a = b THEN 1 ELSE 2 END * score * target) AS h, sum(CASE WHEN a = b THEN 1 ELSE 2 END * score * product) AS x FROM sc) SELECT {sql6('h')} AS entropy, {sql6('x')} AS expected, CASE WHEN h <= 0 THEN 1.0 ELSE greatest(2.0, round_even(2 / sqrt(h), 0)) END AS scale FROM z",
     "abstract_symbol_scores": ABSTRACT,
+    "target_frequencies_fixed": FIXED,
     "fasta_roundtrip": f"WITH {CELLS} SELECT msa_id, seq_id, seq FROM f",
 }

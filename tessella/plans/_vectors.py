@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import special
 from tessella.functions import vectors as V
-from tessella.operators import align, database, generate, hdp, search, statistics
+from tessella.operators import align, database, generate, hdp, scaler, search, statistics
 from tessella.plans._common import POSITIONS, VECTORS, positions, r6, sql6, table, vectors
 
 #: Reference parameters of gapped and ungapped statistics.
@@ -215,15 +215,19 @@ u AS (SELECT vec_id, unnest(a) AS e, list_sum(a) AS t FROM a)
 SELECT vec_id, {sql6(f"lgamma(any_value(t) + 1) - sum(CASE WHEN e > 0 THEN lgamma(e + 1) ELSE 0 END) + any_value(t) * ln({1 / DIM!r})")} AS log_p FROM u GROUP BY vec_id"""
 
 
-def vector_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with odd labels whose code also occurs under an even label."""
-    c = _coded(spark, sf_dir)
-    return database.members(c.where("label % 2 = 1"), c.where("label % 2 = 0"), ["code"]).select("vec_id", "label")
+def _keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
+    return c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
 
 
-def vector_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _coded(spark, sf_dir)
-    return database.missing(c.where("label % 2 = 1"), c.where("label % 2 = 0"), ["code"]).select("vec_id", "label")
+def store_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that the orders' store of keys has."""
+    return database.members(*_keys(spark, sf_dir), ["key"])
+
+
+def store_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that it lacks."""
+    return database.missing(*_keys(spark, sf_dir), ["key"])
 
 
 def vector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,14 +441,31 @@ def special_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", r6(database.log_gamma(F.col("p_size").cast("double"))).alias("lngamma"), r6(special.column(special.gamma_p, x, y)).alias("gamma_p"))
 
 
+def pair_score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all unordered pairs of label centroids, weighted by the labels' shares of vectors."""
+    v = vectors(spark, sf_dir).where("x is not null")
+    cells = v.select("label", F.posexplode("x").alias("k", "e")).groupBy("label", "k").agg(F.sum("e").alias("e"), F.count("*").alias("n"))
+    rows = F.array_sort(F.collect_list(F.struct("k", (F.col("e") / F.col("n")).alias("m"))))
+    mean = cells.groupBy("label").agg(F.transform(rows, lambda r: F.round(r["m"], 9)).alias("x"), F.max("n").alias("n"))
+    whole = mean.agg(F.sum("n").alias("t"))
+    named = mean.crossJoin(F.broadcast(whole)).select(F.col("label").cast("long").alias("id"), "x", (F.col("n") / F.col("t")).alias("p"))
+    return scaler.pair_distribution(named, 400.0).select("score", r6("p").alias("p"))
+
+
+PAIR_DISTRIBUTION = f"""
+WITH {VECTORS}, u AS (SELECT label, unnest(x) AS e, generate_subscripts(x, 1) AS k FROM v), m AS (SELECT label, k, round(sum(e) / count(*), 9) AS m, count(*) AS n FROM u GROUP BY 1, 2),
+c AS (SELECT label, list(m ORDER BY k) AS x, max(n) AS n FROM m GROUP BY label), w AS (SELECT label, x, n / sum(n) OVER () AS p FROM c)
+SELECT score, {sql6("sum(p)")} AS p FROM (SELECT round_even(round(400.0 * list_dot_product(a.x, b.x), 6), 0)::BIGINT AS score, a.p * b.p AS p FROM w a, w b) GROUP BY score"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         topk_search, evalue_filter_search, score_histogram, score_histogram_rowcol, score_entropy_given_lambda, lambda_root, length_adjusted_space, hit_report,
-        distinct_vectors, vector_probability_discrete, vector_probability_profile, vector_probability_multinomial, vector_membership, vector_missing,
+        distinct_vectors, vector_probability_discrete, vector_probability_profile, vector_probability_multinomial, store_membership, store_missing,
         vector_lookup, context_windows, context_mix, diagonal_average, diagonal_autocorrelation, correlated_score, logit_normal, niw_moments,
         hdp_predictive, hdp_gibbs_scan, hdp_cluster_priors, posterior_overlap_score, local_alignment, cluster_simulator, fragment_shuffle, markov_msa,
-        sample_context_vectors, special_functions,
+        sample_context_vectors, special_functions, pair_score_distribution,
     )
 }
 ORACLES = {
@@ -459,8 +480,8 @@ ORACLES = {
     "vector_probability_discrete": f"WITH {CODED} SELECT code, count(*) AS n, {sql6('count(*) / (SELECT count(*) FROM k)')} AS p FROM k GROUP BY code",
     "vector_probability_profile": PROFILE_P,
     "vector_probability_multinomial": MULTINOMIAL,
-    "vector_membership": f"WITH {CODED} SELECT vec_id, label FROM k WHERE label % 2 = 1 AND code IN (SELECT code FROM k WHERE label % 2 = 0)",
-    "vector_missing": f"WITH {CODED} SELECT vec_id, label FROM k WHERE label % 2 = 1 AND code NOT IN (SELECT code FROM k WHERE label % 2 = 0)",
+    "store_membership": "SELECT c_custkey AS key, c_nationkey AS nation FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    "store_missing": "SELECT c_custkey AS key, c_nationkey AS nation FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "vector_lookup": f"WITH {CODED} SELECT vec_id, count(*) OVER (PARTITION BY code) AS n FROM k",
     "context_windows": CONTEXT,
     "context_mix": _mix_sql(),
@@ -471,4 +492,5 @@ ORACLES = {
     "niw_moments": NIW,
     "hdp_cluster_priors": PRIORS,
     "posterior_overlap_score": OVERLAP,
+    "pair_score_distribution": PAIR_DISTRIBUTION,
 }
