@@ -40,6 +40,8 @@ BLOCK = 1024
 MISS = 1e-4
 MOST_TABLES = 192
 MOST_BITS = 256
+#: Vectors that share a bucket by chance; up to so many vectors there is one table of no bits, which is a full comparison.
+OCCUPANCY = 32
 PROBES = 20_000
 SEED = 20_241
 
@@ -56,6 +58,8 @@ class Index:
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """Rows by tables: the substrings of the codes as numbers."""
+        if not self.bits:
+            return np.zeros((len(x), 1), np.uint32)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean
         each = self.rotations[0].shape[1] // self.bits
         weights = (1 << np.arange(self.bits, dtype=np.uint32)).astype(np.uint32)
@@ -77,6 +81,9 @@ def quantise(v: np.ndarray, rng: np.random.Generator, rounds: int = 25) -> np.nd
 
 def fit(sample: np.ndarray, total: int, least_cos: float) -> Index:
     """An index for ``total`` vectors of which ``sample`` (rows, not zero) is a part."""
+    most_bits = max(0, math.ceil(math.log2(max(total, 1) / OCCUPANCY)))
+    if not most_bits:
+        return Index(sample[0], [], 0, 1, 0)
     rng = np.random.default_rng(SEED)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = unit.mean(axis=0)
@@ -92,7 +99,7 @@ def fit(sample: np.ndarray, total: int, least_cos: float) -> Index:
     mate = least_cos * base + math.sqrt(1 - least_cos**2) * off
     learn = (centred @ axes)[rng.permutation(len(centred))[:4000]]
     rotations: list[np.ndarray] = []
-    for bits in range(min(axes.shape[1], max(4, math.ceil(math.log2(max(total, 2))))), 0, -1):
+    for bits in range(min(axes.shape[1], most_bits), 0, -1):
         each = axes.shape[1] // bits
         while len(rotations) * each < MOST_TABLES:
             rotations.append(axes @ quantise(learn, rng))
