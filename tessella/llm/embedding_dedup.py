@@ -10,10 +10,12 @@ simulated pairs at the threshold share none, and the Hamming bound is taken
 from the same pairs, six standard deviations beyond their mean.
 
 Search (distributed): every vector enters every table.  Buckets are compared in
-blocks by the Hamming distance of whole codes; a pair is given out by the first
-table it shares.  Pairs are then measured with the original vectors in double
-precision.  Equal vectors form one class, so a vector repeated any number of
-times is compared once.
+blocks by the Hamming distance of whole codes; a pair is judged in the first
+table it shares.  Rows with such a pair are compared again with the original
+vectors in double precision.  What leaves a block are the rows' numbers of links
+and a spanning forest of the links, so rows do not grow with pairs.  Equal
+vectors form one class, so a vector repeated any number of times is compared
+once.
 
 Vectors that are null or zero or hold null or non-finite components link with
 nothing, nor do vectors of different lengths with each other.  A null id takes
@@ -37,6 +39,7 @@ from tessella.llm.components import components
 SAMPLE_ROWS = 20_000
 SAMPLE_BYTES = 32 << 20
 BLOCK = 1024
+STRIP = 256
 MISS = 1e-4
 MOST_TABLES = 192
 MOST_BITS = 256
@@ -61,13 +64,14 @@ class Index:
         if not self.bits:
             return np.zeros((len(x), 1), np.uint32)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean
-        each = self.rotations[0].shape[1] // self.bits
-        weights = (1 << np.arange(self.bits, dtype=np.uint32)).astype(np.uint32)
-        out = np.empty((len(x), len(self.rotations) * each), np.uint32)
-        for i, r in enumerate(self.rotations):
-            signs = (unit @ r >= 0)[:, : each * self.bits].reshape(len(x), each, self.bits)
-            out[:, i * each : (i + 1) * each] = (signs * weights).sum(axis=2, dtype=np.uint32)
-        return out[:, : self.tables]
+        return np.hstack([substrings(unit, r, self.bits) for r in self.rotations])[:, : self.tables]
+
+
+def substrings(centred: np.ndarray, rotation: np.ndarray, bits: int) -> np.ndarray:
+    """The signs of rotated vectors in numbers of ``bits`` bits; bits that do not fill a number are left out."""
+    each = rotation.shape[1] // bits
+    signs = (centred @ rotation >= 0)[:, : each * bits].reshape(len(centred), each, bits)
+    return (signs * (1 << np.arange(bits, dtype=np.uint32))).sum(axis=2, dtype=np.uint32)
 
 
 def quantise(v: np.ndarray, rng: np.random.Generator, rounds: int = 25) -> np.ndarray:
@@ -100,18 +104,22 @@ def fit(sample: np.ndarray, total: int, least_cos: float) -> Index:
     learn = (centred @ axes)[rng.permutation(len(centred))[:4000]]
     rotations: list[np.ndarray] = []
     for bits in range(min(axes.shape[1], most_bits), 0, -1):
-        each = axes.shape[1] // bits
-        while len(rotations) * each < MOST_TABLES:
-            rotations.append(axes @ quantise(learn, rng))
-        index = Index(mean, rotations, bits, MOST_TABLES, 0)
-        a, b = index.keys(base), index.keys(mate)
-        missed = ~np.logical_or.accumulate(a == b, axis=1)
-        enough = np.flatnonzero(missed.mean(axis=0) <= MISS)
-        if len(enough) or bits == 1:
-            tables = int(enough[0]) + 1 if len(enough) else MOST_TABLES
-            apart = np.bitwise_count(a[:, :tables] ^ b[:, :tables]).sum(axis=1)
+        missed = np.ones(len(base), bool)
+        codes: list[tuple[np.ndarray, np.ndarray]] = []
+        tables = 0
+        while tables < MOST_TABLES and missed.mean() > MISS:
+            if len(rotations) == len(codes):
+                rotations.append(axes @ quantise(learn, rng))
+            codes.append(tuple(substrings(x - mean, rotations[len(codes)], bits) for x in (base, mate)))
+            for a, b in zip(codes[-1][0].T, codes[-1][1].T, strict=True):
+                if missed.mean() > MISS:
+                    missed &= a != b
+                    tables += 1
+        if missed.mean() <= MISS or bits == 1:
+            a, b = (np.hstack(x)[:, :tables] for x in zip(*codes, strict=True))
+            apart = np.bitwise_count(a ^ b).sum(axis=1)
             reach = max(int(apart.max()), math.ceil(apart.mean() + 6 * apart.std()))
-            return Index(mean, rotations[: math.ceil(tables / each)], bits, tables, reach)
+            return Index(mean, rotations[: len(codes)], bits, tables, reach)
     raise AssertionError
 
 
@@ -162,36 +170,79 @@ def _codes(index: Index, width: int):
     return run
 
 
+class _Block:
+    """The rows of one pair of chunks of a bucket, and which of their pairs it has to judge."""
+
+    def __init__(self, table: pa.Table, reach: int) -> None:
+        self.node, chunk = table["node"].to_numpy(), table["chunk"].to_numpy()
+        lo, hi, self.place = (table[c][0].as_py() for c in ("lo", "hi", "place"))
+        self.codes = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint32).reshape(len(self.node), -1)
+        self.left, self.right, self.same, self.reach = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi), lo == hi, reach
+
+    def strips(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of the left chunk, ``STRIP`` at a time, and which rows of the right one each has to be compared with.
+
+        Those are within reach and share no earlier table; each pair comes once.
+        """
+        for at in range(0, len(self.left), STRIP):
+            rows = self.left[at : at + STRIP]
+            ok = np.ones((len(rows), len(self.right)), bool)
+            if self.same:
+                ok = self.node[self.right] > self.node[rows][:, None]
+            for t in range(self.place):
+                ok &= self.codes[rows, t][:, None] != self.codes[self.right, t]
+            i, j = np.nonzero(ok)
+            apart = np.zeros(len(i), np.int32)
+            for t in range(self.codes.shape[1]):
+                apart += np.bitwise_count(self.codes[rows[i], t] ^ self.codes[self.right[j], t])
+            ok[i, j] = apart <= self.reach
+            yield rows, ok
+
+
 def _near(reach: int):
-    """Pairs of a block within ``reach`` bits that no earlier table has given out."""
+    """The rows of a block that have a pair to judge."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, chunk = table["node"].to_numpy(), table["chunk"].to_numpy()
-        lo, hi, place = (table[c][0].as_py() for c in ("lo", "hi", "place"))
-        codes = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint32).reshape(len(node), -1)
-        left, right = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
-        us, vs = [], []
-        for i in left:
-            to = right[node[right] > node[i]] if lo == hi else right
-            apart = np.bitwise_count(codes[to] ^ codes[i]).sum(axis=1)
-            to = to[apart <= reach]
-            to = to[~(codes[to][:, :place] == codes[i][:place]).any(axis=1)]
-            us.append(np.full(len(to), node[i]))
-            vs.append(node[to])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        block = _Block(table, reach)
+        found = np.zeros(table.num_rows, bool)
+        for rows, ok in block.strips():
+            found[rows] |= ok.any(axis=1)
+            found[block.right] |= ok.any(axis=0)
+        return table.filter(pa.array(found))
 
     return run
 
 
-def _measure(least_cos: float, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (_matrix(batch[c].to_pylist(), width) for c in ("a", "b"))
-            cos = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-            yield batch.select(["u", "v"]).filter(pa.array(cos >= least_cos))
+def _links(least_cos: float, width: int, reach: int):
+    """Measured in double precision: how many vectors each row links with (``n``), and a spanning forest of the links (``v``)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = _Block(table, reach)
+        copies = table["copies"].to_numpy()
+        x = _matrix(table["raw"].to_pylist(), width)
+        norm = np.sqrt((x * x).sum(axis=1))
+        others = np.zeros(len(x), np.int64)
+        label = np.arange(len(x))
+        forest = []
+        for rows, ok in block.strips():
+            ok &= x[rows] @ x[block.right].T / np.outer(norm[rows], norm[block.right]) >= least_cos
+            others[rows] += ok @ copies[block.right]
+            others[block.right] += copies[rows] @ ok
+            for i, near in zip(rows, ok, strict=True):
+                to = block.right[near]
+                for j in to[np.unique(label[to], return_index=True)[1]]:
+                    if label[j] != label[i]:
+                        label[label == label[j]] = label[i]
+                        forest.append((block.node[i], block.node[j]))
+        at = np.flatnonzero(others)
+        u, v = np.array(forest, np.int64).reshape(-1, 2).T
+        return pa.table(
+            {
+                "u": pa.array(np.concatenate([block.node[at], u]), pa.int64()),
+                "v": pa.array([*[None] * len(at), *v.tolist()], pa.int64()),
+                "n": pa.array([*others[at].tolist(), *[None] * len(u)], pa.int64()),
+            }
+        )
 
     return run
 
@@ -211,7 +262,7 @@ def near_vectors(vectors: DataFrame, least_cos: float = 0.95) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id()),  # fixed by the write
         "nodes",
     )
-    links = spark.createDataFrame([], "u long, v long")
+    links = spark.createDataFrame([], "u long, v long, n long")
     for size, total in nodes.groupBy(F.length("raw")).count().collect():  # one row for each length of vector
         part = nodes.where(F.length("raw") == size)
         take = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // size))
@@ -227,17 +278,15 @@ def near_vectors(vectors: DataFrame, least_cos: float = 0.95) -> DataFrame:
             .select("place", "key", "node", "code", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("row"))
             .withColumns({"lo": F.least("chunk", "row"), "hi": F.greatest("chunk", "row")})
         )
-        near = blocks.groupBy("place", "key", "lo", "hi").applyInArrow(_near(index.reach), "u long, v long")
-        side = lambda key, item: part.select(F.col("node").alias(key), F.col("raw").alias(item))  # noqa: B023, E731
-        found = near.join(side("u", "a"), "u").join(side("v", "b"), "v").mapInArrow(_measure(least_cos, width), "u long, v long")
-        links = links.union(found)
+        by = ["place", "key", "lo", "hi"]
+        near = scratch.cut(blocks.groupBy(*by).applyInArrow(_near(index.reach), blocks.schema), "near")
+        ready = near.join(part.select("node", "copies", "raw"), "node")
+        links = links.union(ready.groupBy(*by).applyInArrow(_links(least_cos, width, index.reach), links.schema).hint("rebalance"))
     links = scratch.cut(links, "links")
-    weight = nodes.select(F.col("node").alias("v"), "copies")
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = both.join(weight, "v").groupBy("u").agg(F.sum("copies").alias("others")).select(F.col("u").alias("node"), "others")
+    degree = links.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     final = (
         nodes.join(degree, "node", "left")
-        .join(components(links, scratch), "node", "left")
+        .join(components(links.where("v is not null").select("u", "v"), scratch), "node", "left")
         .select("raw", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("label", "node").alias("label"))
     )
     final = scratch.cut(final, "final")
