@@ -86,12 +86,12 @@ HISTOGRAM = (
 
 
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histograms by query and over all queries, as grouping sets of one aggregate."""
+    """Histograms by query and over all queries (-1), as grouping sets of one aggregate."""
     sums = _histogram(spark, sf_dir).rollup("score", "query_id").agg(F.sum("n").alias("n")).where("score is not null")
-    return sums.select("query_id", "score", "n")
+    return sums.select(F.coalesce("query_id", F.lit(-1)).cast("long").alias("query_id"), "score", "n")
 
 
-SCORE_HISTOGRAM = f"WITH {HISTOGRAM} SELECT query_id, score, sum(n)::BIGINT AS n FROM g GROUP BY GROUPING SETS ((score, query_id), (score))"
+SCORE_HISTOGRAM = f"WITH {HISTOGRAM} SELECT coalesce(query_id, -1) AS query_id, score, sum(n)::BIGINT AS n FROM g GROUP BY GROUPING SETS ((score, query_id), (score))"
 
 
 def score_histogram_rowcol(spark: SparkSession, sf_dir: str) -> DataFrame:

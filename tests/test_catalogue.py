@@ -22,7 +22,7 @@ def duck():
 
 
 def plain(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)]
+    frame = frame[sorted(frame.columns)].astype(object).where(frame.notna(), None)
     rows = [tuple(None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r) for r in frame.to_numpy(dtype=object).tolist()]
     return sorted(rows, key=lambda r: [(x is None, str(type(x)), x if x is not None else 0) for x in r])
 
