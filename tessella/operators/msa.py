@@ -218,32 +218,6 @@ def effective_sequences(freqs: DataFrame) -> DataFrame:
     return found.select("msa_id", F.rint(draws).alias("n")).groupBy("msa_id").agg(F.median("n").alias("effective"))
 
 
-def identities(rows: DataFrame, least_segment: int = 1) -> DataFrame:
-    """All pairs of sequences of an alignment: compared columns, equal ones, their share.
-
-    A column counts when both sequences are inside their ends and neither has a
-    gap or X.  Pairs grow with the square of an alignment's size, which is what
-    the operator returns; ``operators.clusters`` does not need them.
-    """
-    arrays = (
-        trimmed(rows)
-        .select("msa_id", "seq_id", "pos", F.when(F.col("used") & (F.col("code") < A.X), F.col("code")).alias("c"))
-        .groupBy("msa_id", "seq_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("v"))
-    )
-    a, b = arrays.alias("a"), arrays.alias("b")
-    both = F.zip_with("a.v", "b.v", lambda x, y: F.when(x.isNotNull() & y.isNotNull(), (x == y).cast("int")))
-    known = F.filter(both, lambda x: x.isNotNull())
-    pairs = a.join(b, (F.col("a.msa_id") == F.col("b.msa_id")) & (F.col("a.seq_id") < F.col("b.seq_id"))).select(
-        F.col("a.msa_id").alias("msa_id"), F.col("a.seq_id").alias("seq_a"), F.col("b.seq_id").alias("seq_b"), known.alias("k")
-    )
-    counted = pairs.select(
-        "msa_id", "seq_a", "seq_b", F.size("k").cast("long").alias("segment"),
-        F.aggregate("k", F.lit(0).cast("long"), lambda s, x: s + x).alias("matches"),
-    )
-    return counted.where(F.col("segment") >= least_segment).withColumn("identity", F.col("matches") / F.col("segment"))
-
-
 def transitions(table: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted counts of moves between match, insert and delete states along each sequence.
 

@@ -133,7 +133,7 @@ SELECT msa_id, state, {sql6("raw / sum(raw) OVER (PARTITION BY msa_id)")} AS pro
 
 
 def identity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return msa.identities(_cells(spark, sf_dir)).select("msa_id", "seq_a", "seq_b", "segment", "matches", r6("identity").alias("identity"))
+    return clusters.identities(_cells(spark, sf_dir)).select("msa_id", "seq_a", "seq_b", "segment", "matches", r6("identity").alias("identity"))
 
 
 PAIRS = """us AS (SELECT c.msa_id, c.seq_id, c.pos, c.code FROM c JOIN first USING (msa_id)
@@ -156,17 +156,17 @@ rc AS (SELECT DISTINCT msa_id, seq_id, seq_id AS other FROM c UNION SELECT rc.ms
 cl AS (SELECT msa_id, seq_id, min(other) AS cluster, count(*) AS size FROM rc GROUP BY 1, 2)"""
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark, sf_dir)
-    return tuple(map(clusters.held, clusters.between_cluster_counts(cells, clusters.single_linkage(cells, IDENTITY))))
+    return clusters.held(clusters.between_cluster_counts(cells, clusters.single_linkage(cells, IDENTITY)))
 
 
 def between_cluster_residue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(spark, sf_dir)[0].select("code", r6("n").alias("n"))
+    return clusters.residue_counts(_counts(spark, sf_dir)).select("code", r6("n").alias("n"))
 
 
 def between_cluster_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(spark, sf_dir)[1].select("a", "b", r6("n").alias("n"))
+    return clusters.pair_counts(_counts(spark, sf_dir)).select("a", "b", r6("n").alias("n"))
 
 
 BETWEEN = f"""{LINKED}, wc AS (SELECT us.*, cluster, 1.0::DOUBLE / size AS w FROM us JOIN cl USING (msa_id, seq_id) WHERE code < 20),
@@ -179,18 +179,18 @@ sc AS (SELECT x.code AS a, y.code AS b, coalesce(target, 0) AS target, x.m * y.m
 
 
 def logodds_from_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = clusters.substitution_scores(_counts(spark, sf_dir)[1])
+    s = clusters.substitution_scores(clusters.pair_counts(_counts(spark, sf_dir)))
     return s.select("a", "b", r6("target").alias("target"), r6("product").alias("product"), r6("score").alias("score"))
 
 
 def logodds_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = clusters.score_summary(clusters.substitution_scores(_counts(spark, sf_dir)[1]))
+    s = clusters.score_summary(clusters.substitution_scores(clusters.pair_counts(_counts(spark, sf_dir))))
     return s.select(r6("entropy").alias("entropy"), r6("expected").alias("expected"), "scale")
 
 
 def abstract_symbol_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    residues, pairs = _counts(spark, sf_dir)
-    s = clusters.abstract_scores(clusters.substitution_scores(pairs), residues)
+    counts = _counts(spark, sf_dir)
+    s = clusters.abstract_scores(clusters.substitution_scores(clusters.pair_counts(counts)), clusters.residue_counts(counts))
     return s.select("a", "b", r6("score").alias("score"))
 
 

@@ -37,15 +37,15 @@ def make_db(spark: SparkSession, root: str, profiles: DataFrame, positions: Data
     return store
 
 
-def cluster_counts(rows: DataFrame, identity: float = 0.62, gaps: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Residue and pair counts between clusters of each alignment's sequences, gappy columns left out."""
+def cluster_counts(rows: DataFrame, identity: float = 0.62, gaps: float = 0.5) -> DataFrame:
+    """Residue and pair counts ``(a, b, n)`` between clusters of each alignment's sequences, gappy columns left out."""
     cells = msa.without_gappy_columns(msa.cells(rows), gaps).drop("gap_share")
     return clusters.between_cluster_counts(cells, clusters.single_linkage(cells, identity))
 
 
-def derive_scores(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pair counts to log-odds scores and their summary."""
-    scores = clusters.substitution_scores(clusters.held(pairs))
+def derive_scores(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts to log-odds scores and their summary."""
+    scores = clusters.substitution_scores(clusters.pair_counts(clusters.held(counts)))
     return scores, clusters.score_summary(scores)
 
 

@@ -128,7 +128,7 @@ def test_columns_by_hand(spark):
     targets = msa.target_frequencies(freqs)
     assert all(r.s == pytest.approx(1, abs=1e-3) for r in targets.groupBy("pos").agg(F.sum("target").alias("s")).collect())
     assert msa.sequences(cells).where("seq_id = 2").first().seq == "A-NB"
-    pairs = {(r.seq_a, r.seq_b): (r.segment, r.matches) for r in msa.identities(cells).collect()}
+    pairs = {(r.seq_a, r.seq_b): (r.segment, r.matches) for r in clusters.identities(cells).collect()}
     assert pairs[1, 5] == (3, 3) and pairs[1, 2] == (2, 2) and (1, 3) not in pairs
 
 

@@ -23,9 +23,9 @@ def test_profiles_from_alignments(spark, rows):
     assert kept == {("m", 1), ("m", 3), ("m", 4), ("k", 7), ("k", 9)}
     profile = programs.build_profile(rows)
     assert profile.where("msa_id = 'm'").count() == 240 and profile.where("target < 0 or target > 1").count() == 0
-    residues, pairs = programs.cluster_counts(rows)
-    scores, summary = programs.derive_scores(pairs)
-    assert residues.count() > 0 and scores.count() > 0 and summary.first()["scale"] >= 2
+    counts = programs.cluster_counts(rows)
+    scores, summary = programs.derive_scores(counts)
+    assert counts.where("b = -1").count() > 0 and scores.count() > 0 and summary.first()["scale"] >= 2
 
 
 def test_kinds_of_pseudo_weight(spark, rows):
