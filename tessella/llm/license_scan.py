@@ -4,7 +4,8 @@ A text is lower-cased, everything but letters a-z and digits becomes one space,
 and its lines, its paragraphs and the whole are compared with each template.
 With a least coefficient t only templates whose number of bigrams lies within
 [t / (2 - t), (2 - t) / t] times that of the stretch can reach it; the others
-are not looked at.  All of it is one projection of built-in functions.
+are not looked at.  A text without any of the templates' anchor words (see
+``anchors``) can match none and is passed over.  All of it is one projection of built-in functions.
 
 Nulls count as empty texts, which match nothing; repeated rows give repeated
 results; ties between templates go to the first by name.
@@ -12,6 +13,7 @@ results; ties between templates go to the first by name.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -61,6 +63,9 @@ TEMPLATES = {
     ),
 }
 
+#: Words too frequent in prose to tell a notice.
+FREQUENT = frozenset("a any and at be by file for from in is it may not of on or or so that the this to under use was with you".split())
+
 
 @dataclass(frozen=True)
 class Template:
@@ -82,6 +87,22 @@ def bounds(size: int, least: float) -> tuple[float, float]:
     return size * least / (2 - least), size * (2 - least) / least
 
 
+def anchors(t: Template, least: float) -> list[str]:
+    """Words of a template of which every stretch that reaches ``least`` with it has at least one.
+
+    Such a stretch shares at least least / (2 - least) of the template's bigrams.
+    Words are taken, the longest first and frequent ones last, until the bigrams
+    without any of them are fewer than that.
+    """
+    need = math.ceil(len(t.bigrams) * least / (2 - least) - 1e-9)
+    taken: list[str] = []
+    for word in sorted({w for b in t.bigrams for w in b.split()}, key=lambda w: (w in FREQUENT, -len(w), w)):
+        if sum(not set(b.split()) & set(taken) for b in t.bigrams) < need:
+            break
+        taken.append(word)
+    return taken
+
+
 def _best(stretch: Column, known: list[Template], least: float) -> Column:
     """The best template of a normalised stretch as (dice, license); null below ``least``."""
     w = F.split(F.btrim(stretch), " +")
@@ -115,7 +136,11 @@ def licenses(docs: DataFrame, least: float = LEAST_DICE, texts: dict[str, tuple[
         paragraphs = F.transform(F.split(t, "\\n *\\n", -1), lambda p: F.translate(p, "\n", " "))
         return F.array_distinct(F.concat(F.split(t, "\\n", -1), paragraphs, F.array(F.translate(t, "\n", " "))))
 
+    words = "|".join(sorted({w for t in known for w in anchors(t, least)}))
+    maybe = F.coalesce(F.col("text").rlike(f"(?i)(?<![A-Za-z0-9])(?:{words})(?![A-Za-z0-9])"), F.lit(False))
     found = F.filter(F.transform(let(plain, stretches), lambda s: _best(s, known, least)), lambda x: x.isNotNull())
+    nothing = F.array().cast("array<struct<dice:double,order:int,license:string>>")
+    found = F.when(maybe, found).otherwise(nothing)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
     return out.select(
         "doc_id",

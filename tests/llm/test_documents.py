@@ -192,6 +192,13 @@ def test_licenses(spark):
     assert got[2].best_dice == 1.0 and got[4].n_matches == 0 and got[7].licenses == "MIT"
 
 
+def test_license_anchors_lose_nothing():
+    for t in license_scan.templates():
+        need = license_scan.LEAST_DICE / (2 - license_scan.LEAST_DICE) * len(t.bigrams)
+        chosen = set(license_scan.anchors(t, license_scan.LEAST_DICE))
+        assert sum(not set(b.split()) & chosen for b in t.bigrams) < need
+
+
 def test_packing_covers_every_id_once(docs, monkeypatch):
     monkeypatch.setattr(lexical_packing, "SHARD_TOKENS", 3000)
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
