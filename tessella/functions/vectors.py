@@ -73,3 +73,29 @@ def geometric_weights(reach: int, centre: float) -> list[float]:
         else:
             low = q
     return [centre * q ** abs(k) for k in range(-reach, reach + 1)]
+
+
+def summing_to_one(values: list[float], tolerance: float = 0.1) -> list[float]:
+    """Shares corrected so that they sum to 1.
+
+    An error up to 1e-6 goes to the first share that can take it; a larger one is
+    spread evenly over the shares above 0, each kept within [0, 1]; one above
+    ``tolerance`` raises.
+    """
+    out, error = list(values), 1.0 - sum(values)
+    if abs(error) > tolerance:
+        raise ValueError(f"shares sum to {1.0 - error}")
+    if abs(error) <= 1e-6:
+        for i, v in enumerate(out):
+            if v > 0 and 0 <= v + error <= 1:
+                out[i] = v + error
+                return out
+    left = [i for i, v in enumerate(out) if v > 0]
+    while left and abs(error) > 1e-15:
+        part, error = error / len(left), 0.0
+        for i in left:
+            new = min(1.0, max(0.0, out[i] + part))
+            error += out[i] + part - new
+            out[i] = new
+        left = [i for i in left if 0 < out[i] < 1]
+    return out

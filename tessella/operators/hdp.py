@@ -9,6 +9,7 @@ of batches are combined and no dish is gathered.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -123,6 +124,56 @@ def log_marginal(prior: Prior, dish: Dish) -> float:
     )
 
 
+def log_joint(x: np.ndarray, dish: Dish, prior: Prior) -> float:
+    """Log density of all rows of ``x`` together, given a dish: what they add to its log probability."""
+    total = dish.kappa * dish.mu - prior.kappa * prior.mu
+    # the dish's sums, from its parameters
+    outer = dish.scatter - prior.scatter + dish.kappa * np.outer(dish.mu, dish.mu) - prior.kappa * np.outer(prior.mu, prior.mu)
+    more = posterior(prior, dish.n + len(x), total + x.sum(axis=0), (outer + x.T @ x).ravel())
+    return log_marginal(prior, more) - log_marginal(prior, dish)
+
+
+def mixed_vector(x: np.ndarray, model: dict[int, Dish], weights: dict[int, float], share: float) -> np.ndarray:
+    """(1 - share) * x plus share times the mean of the dishes' centres, weighted by the vector's cluster probabilities."""
+    known = {k: w for k, w in weights.items() if k in model and w > 0}
+    if not known:
+        return np.asarray(x, float)
+    centre = sum(w * model[k].mu for k, w in known.items()) / sum(known.values())
+    return (1 - share) * np.asarray(x, float) + share * centre
+
+
+def log_probability(model: dict[int, Dish], prior: Prior) -> float:
+    """Log probability of all vectors of a model given its clusters."""
+    return sum(log_marginal(prior, d) for d in model.values())
+
+
+def sample_scale(prior: Prior, sums: list[tuple[int, np.ndarray, np.ndarray]], name: str, rng: np.random.Generator) -> Prior:
+    """``prior`` with ``kappa`` or ``nu`` drawn anew given the dishes' (n, total, outer), by slice sampling under 1 / x."""
+    low = 0.0 if name == "kappa" else len(prior.mu) - 1.0
+
+    def with_value(v: float) -> Prior:
+        return Prior(**{**prior.__dict__, name: v})
+
+    def log_f(v: float) -> float:
+        new = with_value(v)
+        return -math.log(v) + sum(log_marginal(new, posterior(new, *s)) for s in sums)
+
+    return with_value(slice_sample(log_f, getattr(prior, name), 1.0, rng, low))
+
+
+def to_json(prior: Prior, model: dict[int, Dish]) -> str:
+    """A model's parameters as one JSON text."""
+    plain = lambda d: {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in d.__dict__.items()}
+    return json.dumps({"prior": plain(prior), "dishes": {str(k): plain(d) for k, d in model.items()}})
+
+
+def from_json(text: str) -> tuple[Prior, dict[int, Dish]]:
+    """The inverse of ``to_json``."""
+    spec = json.loads(text)
+    made = lambda kind, d: kind(**{k: np.array(v) if isinstance(v, list) else v for k, v in d.items()})
+    return made(Prior, spec["prior"]), {int(k): made(Dish, d) for k, d in spec["dishes"].items()}
+
+
 def dishes(vectors: DataFrame, prior: Prior) -> dict[int, Dish]:
     """All dishes of a model, on the driver: as many as there are clusters."""
     tables = {r.dish_id: r.m for r in vectors.groupBy("dish_id").agg(F.count_distinct("group_id", "table_id").alias("m")).collect()}
@@ -244,7 +295,9 @@ def table_scan(vectors: DataFrame, model: dict[int, Dish], prior: Prior, seed: i
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         x = np.array(part["x"].tolist(), float)
         rng = np.random.default_rng([seed, int(part["group_id"].iloc[0]) & 0xFFFFFFFF, int(part["table_id"].iloc[0]) & 0xFFFFFFFF])
-        logs = np.array([math.log(model[k].tables) + log_predictive(x, model[k]).sum() for k in order] + [math.log(prior.gamma) + log_predictive(x, prior).sum()])
+        fresh = posterior(prior, 0, np.zeros(x.shape[1]), np.zeros(x.shape[1] ** 2))
+        logs = [math.log(model[k].tables) + log_joint(x, model[k], prior) for k in order]
+        logs = np.array([*logs, math.log(prior.gamma) + log_joint(x, fresh, prior)])
         p = np.exp(logs - logs.max())
         at = rng.choice(len(p), p=p / p.sum())
         dish = order[at] if at < len(order) else int(rng.integers(1 << 62))
@@ -322,12 +375,16 @@ def log_concentration(alpha: float, draws: list[int], kinds: int, shape: float =
     return (shape - 1 + kinds) * math.log(alpha) - rate * alpha + sum(math.lgamma(alpha) - math.lgamma(alpha + n) for n in draws)
 
 
-def fit(vectors: DataFrame, prior: Prior, scans: int, seed: int, cut: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def fit(
+    vectors: DataFrame, prior: Prior, scans: int, seed: int, cut: Callable[[DataFrame, int], DataFrame], keep_best: bool = False
+) -> DataFrame:
     """``scans`` rounds of vector and table scans; ``cut`` writes a state so that a round does not recompute the last.
 
-    Concentrations are drawn anew before each round.
+    Concentrations are drawn anew before each round.  The last state is
+    returned, or with ``keep_best`` the one with the highest log probability.
     """
     rng = np.random.default_rng(seed)
+    best, at = vectors, -math.inf
     for r in range(scans):
         model = dishes(vectors, prior)
         sizes = [x.n for x in vectors.groupBy("group_id").agg(F.count("*").alias("n")).collect()]
@@ -337,4 +394,6 @@ def fit(vectors: DataFrame, prior: Prior, scans: int, seed: int, cut: Callable[[
         prior = Prior(prior.mu, prior.scatter, prior.kappa, prior.nu, tau, gamma)
         vectors = cut(gibbs_scan(vectors, model, prior, seed + 2 * r), 2 * r)
         vectors = cut(table_scan(vectors, dishes(vectors, prior), prior, seed + 2 * r + 1), 2 * r + 1)
-    return vectors
+        if keep_best and (now := log_probability(dishes(vectors, prior), prior)) > at:
+            best, at = vectors, now
+    return best if keep_best else vectors

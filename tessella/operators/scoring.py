@@ -193,6 +193,13 @@ def combined_expectation(expect: float, positives: int, q_length: int, s_length:
     return max(pair * space / (q_length * s_length), 1e-300)
 
 
+def mixture_expectation(expectations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Mean of ``expectations(id, e1, l1, e2, l2, evalue)`` over bins of profile pairs, weighted by ``pairs(e1, l1, e2, l2, prob)``."""
+    by = ["e1", "l1", "e2", "l2"]
+    joined = expectations.join(F.broadcast(pairs.select(*by, "prob")), by)
+    return joined.groupBy("id").agg((F.sum(F.col("evalue") * F.col("prob")) / F.sum("prob")).alias("evalue"))
+
+
 def optimised_targets(targets: np.ndarray, rows: np.ndarray, cols: np.ndarray, entropy: float, steps: int = 200) -> np.ndarray:
     """Joint probabilities with the given marginals and relative entropy, closest to ``targets``.
 

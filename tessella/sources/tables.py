@@ -69,6 +69,60 @@ def render_counts(residues: dict[int, float], pairs: dict[tuple[int, int], float
     return f"## Residue counts\n##{head}\n{row(residues.get(a, 0.0) for a in range(RESIDUES))}\n## Pair counts\n##\n{body}\n//\n"
 
 
+def render_scores(scores: list[list[float]], background: list[float], targets: list[list[float]], scale: float, parameters: dict[str, float]) -> str:
+    """Substitution scores as whole numbers of 1 / scale bits, with probabilities and statistical parameters."""
+    shown = SYMBOLS[: len(scores)]
+    head = [f"## Scores in 1/{round(scale)} bit units", "     " + ", ".join(f"{k} = {v:.4f}" for k, v in parameters.items()), "# " + "   ".join(shown)]
+    body = ["".join(f" {int(round(scale * v)):3d}" for v in row) for row in scores]
+    probs = "".join(f" {v:8.6f}" for v in background)
+    pairs = ["".join(f" {v:8.6f}" for v in row) for row in targets]
+    return "\n".join([*head, *body, "## Background probabilities", probs, "## Target frequencies", *pairs, "//"]) + "\n"
+
+
+def parse_scores(text: str) -> list[tuple]:
+    """A score file to (kind, a, b, value): kinds ``score``, ``background``, ``target`` and the parameters' names."""
+    lines = data_lines(text.split("//")[0])
+    parameters = [("parameter:" + k.strip(), -1, -1, float(v)) for part in lines[0].split(",") for k, v in [part.split("=")]]
+    rows = [[float(x) for x in line.split()] for line in lines[1:]]
+    size = len(rows[0])
+    if len(rows) != size + 1 + RESIDUES or any(len(r) != size for r in rows[:size]) or any(len(r) != RESIDUES for r in rows[size:]):
+        raise ValueError("a row of the wrong length")
+    out = [("score", a, b, v) for a, row in enumerate(rows[:size]) for b, v in enumerate(row)]
+    out += [("background", a, -1, v) for a, v in enumerate(rows[size])]
+    return parameters + out + [("target", a, b, v) for a, row in enumerate(rows[size + 1 :]) for b, v in enumerate(row)]
+
+
+SCORES = "kind string, a int, b int, value double"
+
+
+def parse_contexts(text: str) -> list[tuple]:
+    """Context windows of frequencies, one window of rows between lines of ``*``: (window, row, residue, values)."""
+    out, window, row = [], 0, 0
+    for line in data_lines(text):
+        words = line.split()
+        if words == ["*"]:
+            window, row = window + 1, 0
+            continue
+        if len(words[0]) != 1 or words[0].upper() not in SYMBOLS:
+            raise ValueError(f"no residue: {words[0]}")
+        out.append((window, row, words[0], [float(x) for x in words[1:]]))
+        row += 1
+    return out
+
+
+CONTEXTS = "context int, row int, residue string, x array<double>"
+
+
+def profile_dump(p: Profile) -> str:
+    """A profile for reading: for each position log-odds, frequencies in percent, gap weight and information."""
+    lines = [" " * 8 + "".join(f"{c:>5}" for c in SYMBOLS[:RESIDUES]) + "".join(f"{c:>4}" for c in SYMBOLS[:RESIDUES]) + "  gaps  info"]
+    for i, residue in enumerate(p.residues):
+        odds = "".join(f"{v:5.1f}" for v in p.scores[i][:RESIDUES])
+        shares = "".join(f"{round(100 * v):4d}" for v in p.freqs[i][:RESIDUES])
+        lines.append(f"{i + 1:5d} {residue} {odds}{shares} {p.weight[i]:5.2f} {p.information[i]:5.2f}")
+    return "\n".join(lines) + "\n"
+
+
 def parse_score_table(text: str) -> list[tuple]:
     """A triangular table to (row, col, score), rows and columns from 0; NA gives a null score."""
     lines = data_lines(text)

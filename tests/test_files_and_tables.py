@@ -104,6 +104,22 @@ def test_profile_text(spark):
         tables.with_states(pos, pred.withColumn("residue", F.lit("W"))).collect()
 
 
+def test_scores_contexts_and_dumps(spark):
+    scores = [[float(a == b) - 0.25 * (a != b) for b in range(24)] for a in range(24)]
+    background, targets = [0.05] * 20, [[0.0025] * 20] * 20
+    text = tables.render_scores(scores, background, targets, 4, {"Lambda": 0.3, "K": 0.1})
+    rows = tables.parse_scores(text)
+    assert ("parameter:K", -1, -1, 0.1) in rows and ("score", 2, 2, 4.0) in rows and ("score", 2, 3, -1.0) in rows
+    assert ("background", 19, -1, 0.05) in rows and sum(k == "target" for k, *_ in rows) == 400
+    files = spark.createDataFrame([("good", text), ("bad", "x = 1\n1 2\n")], "path string, value string")
+    good, bad = tables.readable(tables.parsed(files, tables.parse_scores, tables.SCORES))
+    assert good.count() == len(rows) and bad.count() == 1
+    assert tables.parse_contexts("A 0.5 0.5\nR 1 0\n*\nN 0 1\n") == [(0, 0, "A", [0.5, 0.5]), (0, 1, "R", [1.0, 0.0]), (1, 0, "N", [0.0, 1.0])]
+    p = tables.Profile("d", "n", 1, 1.0, [0.0] * 25, [0.0] * 25, [0.1] * 9, [1.0, 0.0, 0.0], "W", [[1.5] * 25], [[0.05] * 25], [[0.1] * 9], [[1, 0, 0]], [0.5], [2.0], [[]], [None], [None])
+    dump = tables.profile_dump(p).splitlines()
+    assert len(dump) == 2 and dump[1].startswith("    1 W   1.5") and dump[1].endswith(" 0.50  2.00")
+
+
 def test_alphabet(spark):
     row = spark.range(1).select(*(A.encode(F.lit(c)).alias(f"c{i}") for i, c in enumerate("aV-xJ*")), A.decode(F.lit(1)).alias("d")).first()
     assert list(row) == [0, 19, 24, 22, 22, 23, "R"]

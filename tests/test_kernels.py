@@ -185,3 +185,29 @@ def test_split_merge_and_slice_sampling():
         now = hdp.slice_sample(lambda a: -a, now, 1.0, rng)
         draws.append(now)
     assert np.mean(draws) == pytest.approx(1.0, abs=0.15)
+
+
+def test_joint_density_and_model_text():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(12, 3))
+    prior = hdp.uninformative(x.mean(axis=0), 2.0, 0.5)
+    dish = hdp.posterior(prior, 8, x[:8].sum(axis=0), (x[:8].T @ x[:8]).ravel(), 2)
+    steps = 0.0
+    for k in range(8, 12):
+        d = hdp.posterior(prior, k, x[:k].sum(axis=0), (x[:k].T @ x[:k]).ravel())
+        steps += hdp.log_predictive(x[k], d)[0]
+    assert hdp.log_joint(x[8:], dish, prior) == pytest.approx(steps)
+    back_prior, back = hdp.from_json(hdp.to_json(prior, {4: dish}))
+    assert np.allclose(back_prior.scatter, prior.scatter) and back[4].n == 8 and np.allclose(back[4].mu, dish.mu)
+    assert hdp.log_probability({4: dish}, prior) == pytest.approx(hdp.log_marginal(prior, dish))
+    assert np.allclose(hdp.mixed_vector(x[0], {4: dish}, {4: 0.7, -1: 0.3}, 0.25), 0.75 * x[0] + 0.25 * dish.mu)
+    sums = [(8, x[:8].sum(axis=0), (x[:8].T @ x[:8]).ravel())]
+    assert hdp.sample_scale(prior, sums, "kappa", rng).kappa > 0 and hdp.sample_scale(prior, sums, "nu", rng).nu > 2
+
+
+def test_shares_that_sum_to_one():
+    assert V.summing_to_one([0.5, 0.5 + 5e-7]) == pytest.approx([0.5 - 5e-7, 0.5 + 5e-7], abs=1e-12)
+    assert V.summing_to_one([0.5, 0.0, 0.46]) == pytest.approx([0.52, 0.0, 0.48])
+    assert V.summing_to_one([0.99, 0.05, 0.0]) == pytest.approx([0.97, 0.03, 0.0])
+    with pytest.raises(ValueError):
+        V.summing_to_one([0.5, 0.1])

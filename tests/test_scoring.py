@@ -88,3 +88,9 @@ def test_target_frequencies_with_ratios(spark):
     plain = {(r.pos, r.code): r.target for r in msa.target_frequencies(freqs).collect()}
     same = {(r.pos, r.code): r.target for r in msa.target_frequencies(freqs, even).collect()}
     assert plain == pytest.approx(same)
+
+
+def test_mixture_expectation(spark):
+    pairs = spark.createDataFrame([(2, 50, 2, 50, 0.25), (4, 50, 2, 50, 0.75)], "e1 int, l1 int, e2 int, l2 int, prob double")
+    values = spark.createDataFrame([(1, 2, 50, 2, 50, 4.0), (1, 4, 50, 2, 50, 8.0), (2, 4, 50, 2, 50, 8.0)], "id long, e1 int, l1 int, e2 int, l2 int, evalue double")
+    assert {r.id: r.evalue for r in scoring.mixture_expectation(values, pairs).collect()} == {1: 7.0, 2: 8.0}
