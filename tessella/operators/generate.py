@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import alphabet as A
-from tessella.functions.vectors import superposed
+from tessella.functions.vectors import scaled, superposed
+
+BUCKETS = 1024
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -26,6 +28,20 @@ def below(seed: int, bound: Column, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), bound)
 
 
+def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with a number ``n`` from 0 on, fixed by the keys.
+
+    Rows are numbered inside hash buckets, which are numbered by their sizes
+    before them, so only a table of ``BUCKETS`` rows is ordered as a whole.
+    """
+    placed = rows.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    sizes = placed.groupBy("_b").agg(F.count("*").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("_b", before.alias("_o")))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*keys)) - 1
+    return placed.withColumn("_i", inside).join(offsets, "_b").withColumn("n", F.col("_o") + F.col("_i")).drop("_b", "_i", "_o")
+
+
 def labelled_clusters(spark: SparkSession, clusters: int, size: int, dim: int, seed: int, spread: float = 5.0) -> DataFrame:
     """``(vec_id, cluster, mixed, x)``: normal vectors around random centres; ``mixed`` is a label that ignores the cluster."""
     centres = np.random.default_rng(seed).normal(0, spread, (clusters, dim))
@@ -43,12 +59,12 @@ def shuffled_fragments(library: DataFrame, wanted: int, length: int, fragment: i
     """New series of ``length`` rows put together from random fragments of ``library(id, pos, ...)``.
 
     Each fragment comes from a random source and place, away from its ends by
-    up to ``edge`` positions or a fifth of its length.  Sources are numbered by
-    rank, so the choice is a join on that number.
+    up to ``edge`` positions or a fifth of its length.  Sources are numbered, so
+    the choice is a join on that number.
     """
     spark = library.sparkSession
     sizes = library.groupBy("id").agg(F.count("*").alias("size")).where(F.col("size") >= fragment)
-    sources = sizes.withColumn("n", F.row_number().over(Window.orderBy("id")) - 1)
+    sources = numbered(sizes, "id")
     many = sources.count()
     parts = -(-length // fragment)
     grid = spark.range(wanted * parts).select(
@@ -66,6 +82,33 @@ def shuffled_fragments(library: DataFrame, wanted: int, length: int, fragment: i
     return rows.select("new_id", "new_pos", F.col("id").alias("source_id"), F.col("pos").alias("source_pos"), *rest)
 
 
+def shuffled_elements(library: DataFrame, wanted: int, length: int, seed: int, edge: int = 40) -> DataFrame:
+    """New series of ``length`` rows put together from whole runs of one state of ``library(id, pos, state, ...)``.
+
+    Runs are numbered over the library and drawn by hash; a run within ``edge``
+    positions (or a fifth of its source) of an end is not drawn, and the last
+    run is cut where the series is full.
+    """
+    spark = library.sparkSession
+    by = Window.partitionBy("id").orderBy("pos")
+    change = F.when(F.lag("state").over(by).eqNullSafe(F.col("state")), 0).otherwise(1)
+    runs = library.withColumn("_c", change).withColumn("run", F.sum("_c").over(by)).drop("_c")
+    spans = runs.groupBy("id", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    size = F.max("last").over(Window.partitionBy("id"))
+    away = F.least(F.lit(edge), F.floor(size / 5))
+    inner = spans.withColumns({"away": away, "size": size}).where((F.col("first") > F.col("away")) & (F.col("last") <= F.col("size") - F.col("away")))
+    known = numbered(inner.select("id", "run", "first", "last"), "id", "run")
+    many = known.count()
+    grid = spark.range(wanted * length).select(F.floor(F.col("id") / length).alias("new_id"), (F.col("id") % length).alias("draw"))
+    drawn = grid.withColumn("n", below(seed, F.lit(max(many, 1)), F.col("new_id"), F.col("draw"))).join(known, "n")
+    before = F.coalesce(F.sum(F.col("last") - F.col("first") + 1).over(Window.partitionBy("new_id").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = drawn.withColumn("before", before).where(F.col("before") < length)
+    rows = placed.select("new_id", "id", "before", "first", F.explode(F.sequence("first", "last")).alias("pos"))
+    rows = rows.withColumn("new_pos", F.col("before") + F.col("pos") - F.col("first") + 1).where(F.col("new_pos") <= length)
+    rest = [c for c in library.columns if c not in ("id", "pos")]
+    return rows.join(library, ["id", "pos"]).select("new_id", "new_pos", F.col("id").alias("source_id"), F.col("pos").alias("source_pos"), *rest)
+
+
 def noisy(probs: np.ndarray, weight: float, rng: np.random.Generator) -> np.ndarray:
     """(1 - weight) * probs + weight * a logistic-normal draw."""
     draw = np.exp(rng.standard_normal(probs.shape))
@@ -114,12 +157,21 @@ def width_for(target: float, effective, low: int = 1, high: int = 400) -> int:
     return low
 
 
-def sampled_contexts(series: DataFrame, wanted: int, size: int, seed: int, weights: list[float] | None = None) -> DataFrame:
+def _weighted(vectors: list[Column], weights: list[float]) -> Column:
+    out = scaled(vectors[0], F.lit(weights[0]))
+    for v, w in zip(vectors[1:], weights[1:], strict=True):
+        out = superposed(out, v, F.lit(w))
+    return out
+
+
+def sampled_contexts(series: DataFrame, wanted: int, size: int, seed: int, weights: list[float] | None = None, three: bool = False) -> DataFrame:
     """Windows of ``size`` vectors around positions of ``series(id, pos, x)``, taken at the rate wanted / positions.
 
     Which positions are taken depends on id, position and seed alone.  Without
     ``weights`` a context is its vectors one after another, with them their
-    weighted sum.  Positions without a whole window are not taken.
+    weighted sum, and with ``three`` the weighted means of the left half, of the
+    centre and of the right half one after another.  Positions without a whole
+    window are not taken.
     """
     half = size // 2
     frame = Window.partitionBy("id").orderBy("pos").rowsBetween(-half, size - 1 - half)
@@ -128,11 +180,11 @@ def sampled_contexts(series: DataFrame, wanted: int, size: int, seed: int, weigh
     taken = windows.crossJoin(F.broadcast(rate)).where(uniform(seed, F.col("id"), F.col("pos")) < F.col("rate"))
     if weights is None:
         return taken.select("id", "pos", F.flatten("near").alias("context"))
-    mixed = F.get("near", 0)
-    mixed = F.transform(mixed, lambda v: v * weights[0])
-    for k in range(1, size):
-        mixed = superposed(mixed, F.get("near", k), F.lit(weights[k]))
-    return taken.select("id", "pos", mixed.alias("context"))
+    if three:
+        parts = [(range(half), weights[:half]), ((half,), [1.0]), (range(half + 1, size), weights[half + 1 :])]
+        sums = [_weighted([F.get("near", k) for k in at], [w / sum(ws) for w in ws]) for at, ws in parts]
+        return taken.select("id", "pos", F.concat(*sums).alias("context"))
+    return taken.select("id", "pos", _weighted([F.get("near", k) for k in range(size)], weights).alias("context"))
 
 
 def variates(kind: str, rng: np.random.Generator, n: int, **par) -> np.ndarray:

@@ -207,6 +207,13 @@ def test_generators_are_fixed_by_their_seed(spark):
     series = spark.range(60).select((F.col("id") % 2).alias("id"), (F.floor(F.col("id") / 2) + 1).alias("pos"), F.array(F.col("id") * 1.0).alias("x"))
     taken = generate.sampled_contexts(series, 60, 3, 5, [0.25, 0.5, 0.25])
     assert taken.count() == 56 and all(r.context == [float(2 * (r.pos - 1) + r.id)] for r in taken.collect())
+    three = generate.sampled_contexts(series, 60, 3, 5, [0.25, 0.5, 0.25], three=True)
+    assert all(r.context == [float(2 * (r.pos - 2) + r.id), float(2 * (r.pos - 1) + r.id), float(2 * r.pos + r.id)] for r in three.collect())
+    states = library.withColumn("state", F.floor((F.col("pos") - 1) / 5) % 3)
+    whole = generate.shuffled_elements(states, 2, 23, 6)
+    assert whole.count() == 46 and whole.select("new_id", "new_pos").distinct().count() == 46
+    runs = whole.groupBy("new_id", F.floor((F.col("new_pos") - 1) / 5).alias("r")).agg(F.count_distinct("state").alias("s"), F.max("source_pos").alias("m"))
+    assert runs.where("s <> 1").count() == 0 and whole.where("source_pos <= 20 or source_pos > 80").count() == 0
     assert generate.width_for(10, lambda w: w / 2) == 20
     rng = np.random.default_rng(0)
     for kind, par in (
