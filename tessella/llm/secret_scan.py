@@ -43,9 +43,12 @@ PLACEHOLDERS = frozenset(
 LEAST_SCORE = 4.0
 LEAST_LENGTH = 6
 
-#: What a text must hold for the lexer or a base pattern to find anything.
-MAYBE = r"(?i:pass|secret|token|api_?key|access|private|signing|credential|auth|encryption|bearer|pwd)|AKIA|[0-9a-f]{24}"
-NAMED = re.compile(r"(?i:pass|secret|token|key|credential|bearer|pwd)")
+_GAP = r"[^A-Za-z0-9\s]*"
+#: Every name with a score holds a sensitive word, with nothing but signs (two parts may be joined) between its letters.
+_WORDS = "|".join(_GAP.join(f"[{c}{c.upper()}]" for c in w) for w in SENSITIVE)
+#: What a text must hold for the lexer or a base pattern to find anything; ``assign`` names are sensitive words themselves.
+MAYBE = rf"{_WORDS}|AKIA|[0-9a-f]{{24}}"
+NAMED = re.compile(_WORDS)
 _QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 PAIR = re.compile(
     rf"(?P<name>[A-Za-z_$][\w$.-]{{0,99}})[\"'\]]{{0,2}}[ \t]{{0,8}}(?::=|=>|=(?!=)|:(?!:))[ \t]{{0,8}}"

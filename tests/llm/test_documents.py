@@ -176,6 +176,21 @@ def test_secret_spans_and_redaction(spark):
     assert "b7db7aa4" not in new[1] and "Zx81kkQw" not in new[5] and "Qm9vbGVhbi1yYW5kb20" not in new[6]
 
 
+def test_secret_prefilter_loses_nothing(spark):
+    names = ["x-api-key", "api-key", "spring.api.key", "api__key", "Api$Key", "to_ken", "p.wd", "bear-er", "pa_ssword", "se\u00e9cret", "to\u212aken"]
+    names += [w[:i] + gap + w[i:] for w in secret_scan.SENSITIVE for i in (1, len(w) // 2, len(w) - 1) for gap in ("", "_", "-", "__.")]
+    cases = [f'{n}: "Qm9vbGVhbi1yYW5kb20"' for n in names] + [f"<{n}>Zx81kkQw9TTpLm22</{n}>" for n in names if "$" not in n]
+    cases += ["api-key = Zx81kkQw9TTpLm22", "the monkey = Zx81kkQw9TTpLm22", "to ken: Zx81kkQw9TTpLm22"]
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(frame).collect()}
+    new = {r.doc_id: r.text for r in secret_scan.redact(frame).collect()}
+    for i, text in enumerate(cases):
+        every = sorted({*secret_scan.base_spans(text), *secret_scan.named_spans(text)})
+        assert got[i] == secret_scan.joined(every), text
+        assert bool(every) == ("<secret>" in new[i])
+    assert all(got[i] for i in range(len(names))) and got[len(cases) - 3] and not got[len(cases) - 2] and not got[len(cases) - 1]
+
+
 def test_licenses(spark):
     known = license_scan.TEMPLATES
     rows = [
