@@ -3,7 +3,8 @@
 Documents become token ids with an end id.  Each task reads its part of the
 table as a stream of shards of at most ``SHARD_TOKENS`` ids (or one longer
 document), so memory does not grow with the input and no row is shuffled.  A
-shard gets a BM25 inverted index over its documents' token ids.  The next
+shard gets a BM25 inverted index over its documents' token ids; a document's
+query is all of its distinct ids.  The next
 unused document seeds a window; its best unused neighbours fill the window,
 first those that fit whole, then the best one cut to the room left, whose rest
 opens the next window.  What is left at the end of a shard opens the next
@@ -31,7 +32,10 @@ from tessella.llm._tokens import byte_bpe, default_path
 END = 0
 WINDOW = 1024
 SHARD_TOKENS = 1 << 20
-QUERY_TERMS = 16
+#: A term that more than one in so many documents of a shard holds is scored for all of them at once, by a matrix product,
+DENSE = 10
+#: in shards of at most so many documents; elsewhere all scores come from postings.
+DENSE_DOCS = 2048
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -51,27 +55,39 @@ class Bm25:
         self.end = self.begin + df
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / sizes.mean())
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
-        # each document's query: its terms of highest idf that another document has too
-        useful = np.repeat((df > 1) & (2 * df <= max(n, 4)), df)
-        at = np.flatnonzero(useful)
-        at = at[np.lexsort((-np.repeat(idf, df)[at], self.docs[at]))]
-        who = self.docs[at]
-        start = np.searchsorted(who, np.arange(n + 1))
+        # in steps of 2^-32, so that sums are exact in any order and equal documents get equal scores
+        self.weight = np.rint(np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.docs]) * 2.0**32) / 2.0**32
+        # each document's query: its terms that another document has too
+        useful = (df > 1) & (2 * df <= max(n, 4))
+        dense = useful & (DENSE * df > n) & (n <= DENSE_DOCS)
         term_of = np.repeat(np.arange(len(df)), df)
-        self.query = [term_of[at[start[d] : min(start[d] + QUERY_TERMS, start[d + 1])]] for d in range(n)]
+        at = np.flatnonzero((useful & ~dense)[term_of])
+        at = at[np.argsort(self.docs[at], kind="stable")]
+        self.start = np.searchsorted(self.docs[at], np.arange(n + 1))
+        self.query = term_of[at]
+        self.scores = None
+        if dense.any():
+            at = np.flatnonzero(dense[term_of])
+            weights = np.zeros((n, int(dense.sum())))
+            weights[self.docs[at], (np.cumsum(dense) - 1)[term_of[at]]] = self.weight[at]
+            self.scores = (weights > 0).astype(np.float64) @ weights.T
         self.size = n
 
-    def neighbours(self, doc: int) -> np.ndarray:
-        """Other documents that share a query term, best first; ties by position."""
-        spans = [slice(self.begin[t], self.end[t]) for t in self.query[doc]]
-        if not spans:
-            return np.zeros(0, np.int64)
-        score = np.bincount(
-            np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=self.size
-        )
+    def score(self, doc: int) -> np.ndarray:
+        """BM25 scores of all documents for all terms of ``doc``."""
+        score = np.zeros(self.size) if self.scores is None else self.scores[doc].copy()
+        terms = self.query[self.start[doc] : self.start[doc + 1]]
+        if len(terms):
+            begin, size = self.begin[terms], self.end[terms] - self.begin[terms]
+            at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+            score += np.bincount(self.docs[at], self.weight[at], minlength=self.size)
+        return score
+
+    def neighbours(self, doc: int, free: np.ndarray) -> np.ndarray:
+        """Other documents among ``free`` that share a term, best first; ties by position."""
+        score = self.score(doc)
         score[doc] = 0
-        hit = np.flatnonzero(score)
+        hit = np.flatnonzero((score > 0) & free)
         return hit[np.argsort(-score[hit], kind="stable")]
 
 
@@ -105,6 +121,7 @@ class Packer:
     def shard(self, docs: list[tuple[int | None, np.ndarray]]) -> None:
         """Pack all of ``docs``; the last window may stay open."""
         index = Bm25([ids for _, ids in docs])
+        sizes = np.array([len(ids) for _, ids in docs], np.int64)
         free = np.ones(len(docs), bool)
         at, seed = 0, -1
         while True:
@@ -122,9 +139,12 @@ class Packer:
             if self.room == WINDOW:
                 seed = -1
                 continue
-            near = index.neighbours(seed)
-            near = near[free[near]]
-            for d in near:
+            near = index.neighbours(seed, free)
+            fit = near[sizes[near] <= self.room]
+            least = np.minimum.accumulate(sizes[fit][::-1])[::-1]  # of this and all later ones
+            for d, low in zip(fit.tolist(), least.tolist(), strict=True):
+                if low > self.room:
+                    break
                 if len(docs[d][1]) <= self.room:
                     free[d] = False
                     self.place(*docs[d], 0)

@@ -1,11 +1,13 @@
 """Operators on documents against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +245,37 @@ def test_packing_covers_every_id_once(docs, monkeypatch):
     assert padding == 0
 
 
+def brute_bm25(docs):
+    """Scores of all documents (columns) for each document's distinct ids (rows), from the formula."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    counts = [Counter(d.tolist()) for d in docs]
+    df = Counter(t for c in counts for t in c)
+    k1, b = lexical_packing.K1, lexical_packing.B
+    weight = lambda t, c, size: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * (k1 + 1) / (c[t] + k1 * (1 - b + b * size / mean))
+    return np.array([[sum(weight(t, c, len(d)) for t in q if t in c and 1 < df[t] <= max(n, 4) / 2) for c, d in zip(counts, docs, strict=True)] for q in counts])
+
+
+@pytest.mark.parametrize("most", [2048, 10])
+def test_neighbours_are_ranked_by_all_terms(monkeypatch, most):
+    monkeypatch.setattr(lexical_packing, "DENSE_DOCS", most)
+    rng = np.random.default_rng(6)
+    docs = [np.append(np.minimum(rng.zipf(1.3, rng.integers(0, 300)), 3000), 0).astype(np.uint32) for _ in range(70)]
+    docs += [docs[3], docs[9], docs[3]]
+    index, wanted = lexical_packing.Bm25(docs), brute_bm25(docs)
+    free = np.ones(len(docs), bool)
+    for d in range(len(docs)):
+        near = index.neighbours(d, free)
+        row = wanted[d].copy()
+        row[d] = 0
+        assert set(near.tolist()) == set(np.flatnonzero(row).tolist())
+        assert (np.diff(row[near]) <= 1e-6).all()
+        assert np.allclose(index.score(d), wanted[d], atol=1e-6)
+    same = [np.flatnonzero(index.neighbours(0, free) == d)[0] for d in (3, 70, 72)]
+    assert same == sorted(same) and same[2] == same[0] + 2
+    free[70] = False
+    assert 70 not in index.neighbours(3, free)
+
+
 def test_tokens_are_those_of_the_tokenizers_library():
     import tokenizers
 
