@@ -4,7 +4,7 @@ Documents become token ids with an end id.  Each task reads its part of the
 table as a stream of shards of at most ``SHARD_TOKENS`` ids (or one longer
 document), so memory does not grow with the input and no row is shuffled.  A
 shard gets a BM25 inverted index over its documents' token ids; a document's
-query is all of its distinct ids.  The next
+query is all of its distinct ids, however frequent.  The next
 unused document seeds a window; its best unused neighbours fill the window,
 first those that fit whole, then the best one cut to the room left, whose rest
 opens the next window.  What is left at the end of a shard opens the next
@@ -58,7 +58,7 @@ class Bm25:
         # in steps of 2^-32, so that sums are exact in any order and equal documents get equal scores
         self.weight = np.rint(np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.docs]) * 2.0**32) / 2.0**32
         # each document's query: its terms that another document has too
-        useful = (df > 1) & (2 * df <= max(n, 4))
+        useful = df > 1
         dense = useful & (DENSE * df > n) & (n <= DENSE_DOCS)
         term_of = np.repeat(np.arange(len(df)), df)
         at = np.flatnonzero((useful & ~dense)[term_of])

@@ -252,7 +252,7 @@ def brute_bm25(docs):
     df = Counter(t for c in counts for t in c)
     k1, b = lexical_packing.K1, lexical_packing.B
     weight = lambda t, c, size: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * (k1 + 1) / (c[t] + k1 * (1 - b + b * size / mean))
-    return np.array([[sum(weight(t, c, len(d)) for t in q if t in c and 1 < df[t] <= max(n, 4) / 2) for c, d in zip(counts, docs, strict=True)] for q in counts])
+    return np.array([[sum(weight(t, c, len(d)) for t in q if t in c and df[t] > 1) for c, d in zip(counts, docs, strict=True)] for q in counts])
 
 
 @pytest.mark.parametrize("most", [2048, 10])
@@ -276,6 +276,21 @@ def test_neighbours_are_ranked_by_all_terms(monkeypatch, most):
     assert 70 not in index.neighbours(3, free)
 
 
+def test_copies_in_most_of_a_shard_are_neighbours():
+    rng = np.random.default_rng(8)
+    copy = np.append(rng.integers(1, 900, 400), 0).astype(np.uint32)
+    other = [np.append(rng.integers(1, 900, 400), 0).astype(np.uint32) for _ in range(8)]
+    docs = [d for i in range(12) for d in [copy, *other[i : i + 1]]]
+    index, free = lexical_packing.Bm25(docs), np.ones(20, bool)
+    copies = [i for i, d in enumerate(docs) if d is copy]
+    for i in copies:
+        assert index.neighbours(i, free)[:11].tolist() == [j for j in copies if j != i]
+    packer = lexical_packing.Packer(0)
+    packer.shard(list(enumerate(docs)))
+    order = list(dict.fromkeys(r[0] for r in packer.rows + [(d,) for d, *_ in packer.open]))
+    assert order[:12] == copies
+
+
 def test_tokens_are_those_of_the_tokenizers_library():
     import tokenizers
 
