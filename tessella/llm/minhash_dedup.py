@@ -121,12 +121,14 @@ def _sketch(plan: Plan):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(a, n),
+                        batch["row1"].slice(a, n),
+                        batch["row2"].slice(a, n),
                         pa.array(counts),
                         *_set_keys(sets),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * plan.bands), flat),
                         pa.array([row.tobytes() for row in low], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "k1", "k2", "bands", "sig"],
+                    ["doc_id", "row1", "row2", "n_shingles", "k1", "k2", "bands", "sig"],
                 )
 
     return run
@@ -216,6 +218,11 @@ def _compare_block(plan: Plan):
     return run
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 128-bit key of id and text: equal for repeated rows alone, and there for rows without an id too."""
+    return docs.withColumns({"row1": F.xxhash64("doc_id", "text"), "row2": F.xxhash64(F.lit(1), "doc_id", "text")})
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
 
@@ -225,15 +232,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     spark = docs.sparkSession
     plan = Plan(percent, words)
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     sketch = scratch.cut(
-        docs.mapInArrow(_sketch(plan), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"), "sketch"
+        docs.mapInArrow(_sketch(plan), "doc_id long, row1 long, row2 long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"), "sketch"
     )
     nodes = scratch.cut(
         sketch.where("k1 is not null")
         .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row1", "row2")).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         .withColumn("node", F.monotonically_increasing_id()),  # fixed by the write
         "nodes",
     )
@@ -242,9 +249,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     members = scratch.cut(bands.join(shared, "bucket"), "members")
 
     wanted = scratch.cut(members.select("node").distinct().join(nodes, "node").select("node", "k1", "k2", "least", "sig"), "wanted")
-    ids = wanted.select(F.col("least").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
-    found = docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(plan), "k1 long, k2 long, items binary")
+    rows = wanted.select(F.col("least.row1").alias("row1")).distinct()
+    rows = F.broadcast(rows) if wanted.count() <= BROADCAST_ROWS else rows
+    found = docs.join(rows, "row1", "left_semi").select("doc_id", "text").mapInArrow(_full_sets(plan), "k1 long, k2 long, items binary")
     found = found.groupBy("k1", "k2").agg(F.first("items").alias("items"))
     sets = scratch.cut(found.join(wanted, ["k1", "k2"]).select("node", "items", "sig"), "sets")
 
@@ -275,7 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
         .join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
         .select("k1", "k2", "least", F.coalesce("top", "label").alias("label"))
     )
-    named = final.join(final.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("k1", "k2", "component_id")
+    named = final.join(final.groupBy("label").agg(F.min("least.doc_id").alias("component_id")), "label").select("k1", "k2", "component_id")
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     scratch.drop(members, wanted, sets, stars, near, rest)
     return out.select(

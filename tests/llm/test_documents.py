@@ -149,6 +149,14 @@ def test_near_duplicates_of_one_large_group(spark, monkeypatch):
     assert got == brute_components(shingle_sets(rows), 85)
 
 
+def test_near_duplicates_over_a_bridge_without_an_id(spark):
+    parts = words(random.Random(12), 100).split()
+    text = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(parts))
+    rows = [(1, text()), (None, text(50)), (2, text(50, 20)), (None, text(50)), (None, text(50, 20, 80))]
+    got = Counter(map(tuple, minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()))
+    assert got == brute_components(shingle_sets(rows), 85) and {r[2] for r in got} == {1}
+
+
 def test_secret_spans_and_redaction(spark):
     cases = {
         1: 'password=b7db7aa4a5fcc78305 and token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"',
