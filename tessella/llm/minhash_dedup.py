@@ -18,7 +18,8 @@ of at most ``MISS`` (1e-6), one above it with less, and each link found is
 confirmed on full sets.
 
 Nulls and empty texts: a document without words has no shingles and is alone
-in its component.  A null id takes no part in the minimum.  Repeated rows give
+in its component.  A null id takes no part in the minimum, but its row in the
+links.  Repeated rows give
 repeated results.  The sketches of very long texts cost memory in proportion
 to the one text (see ``_text``).  Other input columns are ignored.
 """
@@ -121,14 +122,14 @@ def _sketch(plan: Plan):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(a, n),
-                        batch["row1"].slice(a, n),
-                        batch["row2"].slice(a, n),
+                        batch["__row1"].slice(a, n),
+                        batch["__row2"].slice(a, n),
                         pa.array(counts),
                         *_set_keys(sets),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * plan.bands), flat),
                         pa.array([row.tobytes() for row in low], pa.binary()),
                     ],
-                    ["doc_id", "row1", "row2", "n_shingles", "k1", "k2", "bands", "sig"],
+                    ["doc_id", "__row1", "__row2", "n_shingles", "k1", "k2", "bands", "sig"],
                 )
 
     return run
@@ -218,29 +219,25 @@ def _compare_block(plan: Plan):
     return run
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with a 128-bit key of id and text: equal for repeated rows alone, and there for rows without an id too."""
-    return docs.withColumns({"row1": F.xxhash64("doc_id", "text"), "row2": F.xxhash64(F.lit(1), "doc_id", "text")})
+def _keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 128-bit key of id and text in two columns: equal for repeated rows alone, also among those without an id."""
+    key = [F.col("doc_id").cast("long"), "text"]
+    return docs.withColumns({"__row1": F.xxhash64(*key), "__row2": F.xxhash64(F.lit(1), *key)})
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
+def _labelled(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Sketches of the rows of ``docs(doc_id, text, __row1, __row2)``, and ``k1, k2, least, label`` of each class.
 
-    Two documents are linked when 100 * intersection >= percent * union of
-    their sets of shingles of ``words`` words.
+    ``least`` is the row that stands for the class: by id, those without one
+    last, then by key.  Classes of one component have one label.
     """
-    spark = docs.sparkSession
-    plan = Plan(percent, words)
-    scratch = Scratch(spark, "minhash")
-    docs = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-
     sketch = scratch.cut(
-        docs.mapInArrow(_sketch(plan), "doc_id long, row1 long, row2 long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"), "sketch"
+        docs.mapInArrow(_sketch(plan), "doc_id long, __row1 long, __row2 long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"), "sketch"
     )
     nodes = scratch.cut(
         sketch.where("k1 is not null")
         .groupBy("k1", "k2")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row1", "row2")).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row1", "__row2")).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         .withColumn("node", F.monotonically_increasing_id()),  # fixed by the write
         "nodes",
     )
@@ -249,9 +246,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     members = scratch.cut(bands.join(shared, "bucket"), "members")
 
     wanted = scratch.cut(members.select("node").distinct().join(nodes, "node").select("node", "k1", "k2", "least", "sig"), "wanted")
-    rows = wanted.select(F.col("least.row1").alias("row1")).distinct()
+    rows = wanted.select(F.col("least.__row1").alias("__row1")).distinct()
     rows = F.broadcast(rows) if wanted.count() <= BROADCAST_ROWS else rows
-    found = docs.join(rows, "row1", "left_semi").select("doc_id", "text").mapInArrow(_full_sets(plan), "k1 long, k2 long, items binary")
+    found = docs.join(rows, "__row1", "left_semi").select("doc_id", "text").mapInArrow(_full_sets(plan), "k1 long, k2 long, items binary")
     found = found.groupBy("k1", "k2").agg(F.first("items").alias("items"))
     sets = scratch.cut(found.join(wanted, ["k1", "k2"]).select("node", "items", "sig"), "sets")
 
@@ -282,12 +279,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
         .join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
         .select("k1", "k2", "least", F.coalesce("top", "label").alias("label"))
     )
+    scratch.drop(members, wanted, sets, stars, near, rest)
+    return sketch, final
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
+
+    Two documents are linked when 100 * intersection >= percent * union of
+    their sets of shingles of ``words`` words.
+    """
+    docs = _keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    sketch, final = _labelled(docs, Plan(percent, words), Scratch(docs.sparkSession, "minhash"))
     named = final.join(final.groupBy("label").agg(F.min("least.doc_id").alias("component_id")), "label").select("k1", "k2", "component_id")
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
-    scratch.drop(members, wanted, sets, stars, near, rest)
     return out.select(
         "doc_id",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
     )
+
+
+def survivors(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
+    """One row of ``docs`` for each component, whole: the one of the smallest id, one without an id only where no other is.
+
+    Rows without words are alone in their components; of those that repeat id
+    and text one stays.
+    """
+    keyed = _keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    sketch, final = _labelled(keyed, Plan(percent, words), Scratch(docs.sparkSession, "minhash"))
+    best = final.groupBy("label").agg(F.min("least").alias("least")).select("least.__row1", "least.__row2")
+    alone = sketch.where("k1 is null").select("__row1", "__row2")
+    whole = _keys(docs).dropDuplicates(["__row1", "__row2"])
+    return whole.join(best.union(alone), ["__row1", "__row2"], "left_semi").select(docs.columns)

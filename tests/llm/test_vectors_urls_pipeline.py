@@ -159,3 +159,17 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert {r.doc_id for r in kept["pack"]} == {r.doc_id for r in kept["mix"]}
     assert corpus_pipeline.run(spark, folder).count() == len(kept["pack"])
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_dedup_keeps_one_row_of_each_component(spark):
+    rng = random.Random(21)
+    prose = lambda n: " ".join(f"w{rng.randint(1, 900)}" for _ in range(n))
+    a, b, c, d, e = (prose(90) for _ in range(5))
+    rows = [(None, a), (None, a), (None, a + " extra"), (None, b), (7, c), (7, d), (3, d + " extra"), (None, d), (5, e), (5, e), (None, e), (None, None), (9, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.dedup(spark, frame.repartition(3), "")
+    assert out.columns == frame.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    first = next(k for k in got if k[1] and k[1].startswith(a))
+    assert first in {(None, a), (None, a + " extra")}
+    assert got == Counter([first, (None, b), (7, c), (3, d + " extra"), (5, e), (None, None), (9, "")])
