@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,6 +300,50 @@ def test_copies_in_most_of_a_shard_are_neighbours():
     assert order[:12] == copies
 
 
+def test_weights_are_those_of_the_whole_table():
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(1, 60, 40), 0).astype(np.uint32) for _ in range(30)]
+    corpus = lexical_packing.corpus_of(docs)
+    part, whole = lexical_packing.Bm25(docs[:12], corpus), brute_bm25(docs)
+    for d in range(12):
+        others = np.arange(12) != d
+        assert np.allclose(part.score(d)[others], whole[d, :12][others], atol=1e-6)
+
+
+def _successions(pieces):
+    """Documents that follow one another in the sequences, each pair once."""
+    ordered = [p.doc_id for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset))]
+    return [(a, b) for a, b in zip(ordered, ordered[1:], strict=False) if a != b]
+
+
+def test_seeds_find_neighbours_all_over_the_table(spark, monkeypatch):
+    """Ten topics strewn over the whole table, shards that hold a tenth of it: what follows is of the same topic."""
+    monkeypatch.setattr(lexical_packing, "SHARD_TOKENS", 6000)
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(600)]
+    text = lambda topic: " ".join(rng.choice(vocabulary[60 * topic : 60 * topic + 60]) for _ in range(60))
+    rows = [(i, text(i % 10)) for i in range(300)]
+    pieces = lexical_packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    follows = _successions(pieces)
+    assert sum(a % 10 == b % 10 for a, b in follows) > 0.9 * len(follows)
+
+
+def test_copies_have_one_place():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 5000, rng.integers(1, 400)).astype(np.uint32) for _ in range(200)]
+    router = lexical_packing._routing.fit(lexical_packing._routing.presence(docs))
+    places = router.places(lexical_packing._routing.presence(docs))
+    assert len(set(places.tolist())) > 190
+    assert (router.places(lexical_packing._routing.presence(docs[::-1]))[::-1] == places).all()
+
+
+def test_ids_survive_their_compression():
+    rng = np.random.default_rng(1)
+    for most in (1, 300, 1 << 16, 1 << 20):
+        ids = rng.integers(0, most, 1000).astype(np.uint32)
+        assert (lexical_packing._unpacked(pa.py_buffer(lexical_packing._packed(ids)), 1000) == ids).all()
+
+
 def test_tokens_are_those_of_the_tokenizers_library():
     import tokenizers
 
