@@ -53,6 +53,48 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_very_small_and_very_large_vectors_have_cosines(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    rows += [(100 + k, [x * scale for x in rows[0][1]]) for k, scale in enumerate((1e-170, 1e-300, 1e200, 1e300))]
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect()}
+    assert {got[d].component_id for d in (0, 100, 101, 102, 103)} == {got[0].component_id} and got[0].n_links >= 4
+
+
+def test_only_the_sample_goes_to_the_driver(spark, monkeypatch):
+    """The rows that are ordered for the sample do not grow with partitions or rows."""
+    monkeypatch.setattr(embedding_dedup, "SAMPLE_ROWS", 200)
+    rng = np.random.default_rng(3)
+    sizes = []
+    fit = embedding_dedup.fit
+    monkeypatch.setattr(embedding_dedup, "fit", lambda sample, *rest: (sizes.append(len(sample)), fit(sample, *rest))[1])
+    frame = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(4000)], "vec_id long, embedding array<float>").repartition(40)
+    assert embedding_dedup.near_vectors(frame, 0.95).count() == 4000
+    assert 180 <= sizes[0] <= 200
+
+
+def test_codes_survive_their_packing():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 32))
+    index = embedding_dedup.fit(x, 100_000, 0.95)
+    assert (index.unpacked(index.packed(x)) == index.keys(x)).all()
+
+
+def test_recall_where_differences_lie_in_few_directions():
+    """Wide vectors of a subspace, pairs at the threshold inside it."""
+    rng = np.random.default_rng(2)
+    basis = np.linalg.qr(rng.normal(size=(400, 30)))[0].T
+    x = rng.normal(size=(3000, 30)) @ basis
+    index = embedding_dedup.fit(x, 1_000_000, 0.95)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=(3000, 30)) @ basis
+    off -= (off * unit).sum(axis=1, keepdims=True) * unit
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    a, b = index.keys(unit), index.keys(0.95 * unit + math.sqrt(1 - 0.95**2) * off)
+    assert (a == b).any(axis=1).mean() > 0.998
+    assert (np.bitwise_count(a ^ b).sum(axis=1) <= index.reach).mean() > 0.998
+
+
 def test_recall_at_the_threshold():
     """Pairs exactly at the threshold, on data with a strong common direction, share a table."""
     rng = np.random.default_rng(1)
