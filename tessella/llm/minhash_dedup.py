@@ -8,20 +8,24 @@ bucket.  What follows is exact:
 1. Documents with equal shingle sets form one class; only classes go on.
 2. In every bucket each class is compared with the bucket's smallest class (a
    star, so rows grow with memberships, not with pairs) on full sets.
-3. Buckets that still hold several components are compared in full, in blocks
-   of ``BLOCK`` classes: first on one-byte signatures (margin in ``Plan``), and
-   what comes near a class of another component on full sets.  At most a
-   spanning forest of new links leaves a block.
-
-Loss comes from banding alone: a pair at the threshold is missed with a chance
-of at most ``MISS`` (1e-6), one above it with less, and each link found is
-confirmed on full sets.
+3. In buckets that still hold several components, the classes outside the
+   bucket's largest component are compared with all of its classes, in blocks
+   of about ``BLOCK`` classes and ``BLOCK_ITEMS`` shingles a side: first on one-byte
+   signatures (margin in ``Plan``), and what comes near a class of another
+   component on full sets.  At most a spanning forest of new links leaves a block.
+
+Loss comes from banding and the one-byte signatures: a pair at the threshold
+shares no band with a chance of at most ``MISS`` (1e-6) and falls under the
+signatures' margin of five standard deviations with one of 3e-7, pairs above it
+with less; each link found is confirmed on full sets.  Minimum and maximum of
+one permutation never stand in one band: for a small set their agreement is
+less likely together than apart, which makes a miss of both bands less likely.
 
 Nulls and empty texts: a document without words has no shingles and is alone
 in its component.  A null id takes no part in the minimum, but its row in the
-links.  Repeated rows give
-repeated results.  The sketches of very long texts cost memory in proportion
-to the one text (see ``_text``).  Other input columns are ignored.
+links.  Repeated rows give repeated results; an empty table gives no rows.  The
+sketches of very long texts cost memory in proportion to the one text (see
+``_text``).  Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ from tessella.llm._text import U64, mix64, shingles, slices, stream, word_hashes
 from tessella.llm.components import components
 
 BLOCK = 1024
+#: Shingles of a block's side, 16 MB; one class with more is a side of its own size.
+BLOCK_ITEMS = 1 << 21
 _OTHER = stream(5, 1)[0]
 MISS = 1e-6
 #: Node ids up to which the candidates' list is broadcast: 8 bytes each, 16 MB at most.
@@ -67,22 +73,32 @@ class Plan:
 
     @property
     def least_equal(self) -> int:
-        """Equal one-byte values (of 2 P) below which a pair is not looked at: five standard deviations under the threshold."""
+        """Equal one-byte values (of 2 P) below which a pair is not looked at: five standard deviations under the threshold.
+
+        Values that differ have equal bytes with a chance of 1 in 256.
+        """
         n, j = 2 * self.permutations, self.percent / 100
+        j += (1 - j) / 256
         return math.floor(n * j - 5 * math.sqrt(n * j * (1 - j)))
 
 
 def min_max(sh: np.ndarray, at: np.ndarray, permutations: int) -> np.ndarray:
-    """Signatures (texts x 2 P), minimum and maximum of each permutation side by side; zeros without shingles."""
+    """Signatures (texts x 2 P): minima of half of the permutations, their maxima, then the others'; zeros without shingles.
+
+    Bands take columns in order, half of them at most, so they hold minima and
+    maxima alike, and never both of one permutation (unless a single band does).
+    """
     odd, flip = stream(3, permutations) | U64(1), stream(4, permutations)
     out = np.zeros((len(at) - 1, 2 * permutations), U64)
     full = np.flatnonzero(np.diff(at))
     if len(full):
         begins = at[:-1][full]
+        half = permutations // 2
         for p in range(permutations):
             v = (sh ^ flip[p]) * odd[p]
-            out[full, 2 * p] = np.minimum.reduceat(v, begins)
-            out[full, 2 * p + 1] = np.maximum.reduceat(v, begins)
+            at = p if p < half else p + half
+            out[full, at] = np.minimum.reduceat(v, begins)
+            out[full, at + (half if p < half else permutations - half)] = np.maximum.reduceat(v, begins)
     return out
 
 
@@ -118,7 +134,7 @@ def _sketch(plan: Plan):
                 n = b - a
                 counts = np.array([len(s) for s in sets], np.int64)
                 flat = pa.array(band_keys(sig, plan).view(np.int64).ravel())
-                low = np.ascontiguousarray((sig >> U64(56)).astype(np.uint8))
+                low = np.ascontiguousarray((mix64(sig) & U64(255)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(a, n),
@@ -167,36 +183,29 @@ def _confirm(percent: int):
     return run
 
 
-def _sides(table: pa.Table) -> tuple[list[int], np.ndarray]:
-    """The rows of a block's two chunks; both are the whole block where it pairs a chunk with itself."""
-    chunk = table["chunk"].to_numpy()
-    lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-    return np.flatnonzero(chunk == lo).tolist(), np.flatnonzero(chunk == hi)
-
-
 def _open_rows(plan: Plan):
     """The classes of a block whose signature comes near that of a class of another component."""
 
     def run(table: pa.Table) -> pa.Table:
-        label = table["label"].to_numpy()
+        label, few = table["label"].to_numpy(), table["few"].to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(label), -1)
-        rows, cols = _sides(table)
+        cols = np.flatnonzero(~few)
         near = np.zeros(len(label), bool)
-        for i in rows:
+        for i in np.flatnonzero(few):
             hit = cols[label[cols] != label[i]]
             hit = hit[np.count_nonzero(sig[hit] == sig[i], axis=1) >= plan.least_equal]
             near[hit] = True
             near[i] |= len(hit) > 0
-        return table.select(["bucket", "lo", "hi", "chunk", "node", "label", "sig"]).filter(pa.array(near))
+        return table.filter(pa.array(near))
 
     return run
 
 
 def _compare_block(plan: Plan):
-    """A spanning forest of new links among the classes of one pair of chunks of a bucket."""
+    """A spanning forest of new links between the classes of a block's two sides."""
 
     def run(table: pa.Table) -> pa.Table:
-        label = table["label"].to_pylist()
+        label, few = table["label"].to_pylist(), table["few"].to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(label), -1)
         items = [np.frombuffer(x.as_buffer(), U64) for x in table["items"]]
         up = {x: x for x in label}
@@ -207,9 +216,9 @@ def _compare_block(plan: Plan):
                 x = up[x]
             return x
 
-        rows, cols = _sides(table)
+        cols = np.flatnonzero(~few)
         links = []
-        for i in rows:
+        for i in np.flatnonzero(few):
             for j in cols[np.count_nonzero(sig[cols] == sig[i], axis=1) >= plan.least_equal]:
                 if top(label[i]) != top(label[j]) and similar(items[i], items[j], plan.percent):
                     up[top(label[i])] = top(label[j])
@@ -219,6 +228,29 @@ def _compare_block(plan: Plan):
     return run
 
 
+def _blocks(labelled: DataFrame) -> DataFrame:
+    """``labelled(bucket, node, items, label)``, of buckets that hold several labels, dealt to blocks ``(bucket, lo, hi)``.
+
+    A block's side ``few`` is a part of the classes outside the bucket's largest
+    component, the other side a part of all classes of the bucket.
+    """
+    sums = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("items").alias("items"))
+    sides = sums.groupBy("bucket").agg(
+        F.max(F.struct("n", "label"))["label"].alias("largest"),
+        F.sum("n").alias("n"), F.sum("items").alias("items"),
+        (F.sum("n") - F.max("n")).alias("n_few"),
+        (F.sum("items") - F.max(F.struct("n", "label", "items"))["items"]).alias("items_few"),
+    )
+    parts = lambda n, items: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(items) / BLOCK_ITEMS)).cast("int")
+    mixed = sides.select("bucket", "largest", parts("n_few", "items_few").alias("rows"), parts("n", "items").alias("cols"))
+    own = labelled.join(mixed, "bucket").drop("items")
+    place = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    few = own.where("label <> largest").select("bucket", place("rows").alias("lo"), each("cols").alias("hi"), F.lit(True).alias("few"), "node", "label")
+    every = own.select("bucket", each("rows").alias("lo"), place("cols").alias("hi"), F.lit(False).alias("few"), "node", "label")
+    return few.union(every)
+
+
 def _keys(docs: DataFrame) -> DataFrame:
     """``docs`` with a 128-bit key of id and text in two columns: equal for repeated rows alone, also among those without an id."""
     key = [F.col("doc_id").cast("long"), "text"]
@@ -237,11 +269,11 @@ def _labelled(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame,
     nodes = scratch.cut(
         sketch.where("k1 is not null")
         .groupBy("k1", "k2")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row1", "__row2")).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row1", "__row2")).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n_shingles").alias("items"))
         .withColumn("node", F.monotonically_increasing_id()),  # fixed by the write
         "nodes",
     )
-    bands = nodes.select("node", F.explode("bands").alias("bucket"))
+    bands = nodes.select("node", "items", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
     members = scratch.cut(bands.join(shared, "bucket"), "members")
 
@@ -259,14 +291,9 @@ def _labelled(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame,
     )
     first = components(stars, scratch)
 
-    labelled = members.join(first, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
-    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = (
-        labelled.join(mixed, "bucket")
-        .withColumns({"chunk": F.pmod(F.xxhash64("node"), chunks).cast("int"), "row": F.explode(F.sequence(F.lit(0), chunks - 1))})
-        .select("bucket", F.least("chunk", "row").alias("lo"), F.greatest("chunk", "row").alias("hi"), "chunk", "node", "label")
-    )
+    labelled = members.join(first, "node", "left").select("bucket", "node", "items", F.coalesce("label", "node").alias("label"))
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
+    blocks = _blocks(scratch.cut(labelled.join(several, "bucket"), "labelled"))
     signed = blocks.join(wanted.select("node", "sig"), "node").select(*blocks.columns, "sig")
     near = scratch.cut(signed.groupBy("bucket", "lo", "hi").applyInArrow(_open_rows(plan), signed.schema), "near")
     ready = near.join(sets.select("node", "items"), "node")

@@ -16,7 +16,8 @@ def quality_sql() -> str:
     stop = ", ".join(sorted({f"'{w}'" for group in STOP_WORDS.values() for w in group}))
     tests = []
     for r in RULES:
-        ends = [f"{r.measure} < {r.low}"] * (r.low is not None) + [f"{r.measure} > {r.high}"] * (r.high is not None)
+        value = f"{r.top} / greatest({r.of}, 1)"
+        ends = [f"{value} < {r.low}"] * (r.low is not None) + [f"{value} > {r.high}"] * (r.high is not None)
         tests.append(f"WHEN n_words >= {r.least_words} AND ({' OR '.join(ends)}) THEN '{r.name}'")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),

@@ -27,22 +27,23 @@ STOP_WORDS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """``measure`` must lie in [low, high]; an open end is None.  Rules with ``least_words`` pass shorter texts."""
+    """``top`` over ``of`` (1 at least) must lie in [low, high]; an open end is None.  Rules with ``least_words`` pass shorter texts."""
 
     name: str
-    measure: str
+    top: str
+    of: str
     low: float | None = None
     high: float | None = None
     least_words: int = 0
 
 
-#: The production table: measures are SQL over the base measures of ``measured``.
+#: The production table: ratios of the measures of ``measured``.
 RULES = (
-    Rule("mean_word_length", "word_chars / greatest(n_words, 1)", 2.0, 16.0),
-    Rule("symbols_per_word", "n_symbols / greatest(n_words, 1)", None, 0.2),
-    Rule("upper_share", "n_upper / greatest(word_chars, 1)", None, 0.5),
-    Rule("stop_share", "n_stop / greatest(n_words, 1)", 0.02, None, 100),
-    Rule("dup_line_share", "n_dup_lines / greatest(n_lines, 1)", None, 0.5),
+    Rule("mean_word_length", "word_chars", "n_words", 2.0, 16.0),
+    Rule("symbols_per_word", "n_symbols", "n_words", None, 0.2),
+    Rule("upper_share", "n_upper", "word_chars", None, 0.5),
+    Rule("stop_share", "n_stop", "n_words", 0.02, None, 100),
+    Rule("dup_line_share", "n_dup_lines", "n_lines", None, 0.5),
 )
 
 
@@ -85,75 +86,74 @@ def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
     return F.when(size > window, counted).otherwise(F.lit(0).cast("long"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the measures the rules are written in; ``docs`` needs a column ``text``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def measures(text: Column) -> Column:
+    """The measures the rules are written in, as a struct."""
+    text = F.coalesce(text, F.lit(""))
     dense = F.translate(text, SPACES, "")
     stop = sorted({w for group in STOP_WORDS.values() for w in group})
 
     def line_counts(lines: Column) -> Column:
         return F.struct(F.size(lines).cast("long").alias("all"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("dup"))
 
-    lines = let(F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0), line_counts)
-    facts = let(
-        words(text),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            repeated_words(w).alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: x.isin(stop))).cast("long").alias("n_stop"),
+    def word_counts(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("all"),
+            repeated_words(w).alias("repeated"),
+            F.size(F.filter(w, lambda x: x.isin(stop))).cast("long").alias("stop"),
+        )
+
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+    return let(
+        F.struct(let(words(text), word_counts).alias("w"), let(lines, line_counts).alias("l")),
+        lambda x: F.struct(
+            x["w"]["all"].alias("n_words"),
+            F.length(dense).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            x["l"]["dup"].alias("n_dup_lines"),
+            x["w"]["repeated"].alias("n_repeat_words"),
+            x["l"]["all"].alias("n_lines"),
+            F.regexp_count(text, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
+            x["w"]["stop"].alias("n_stop"),
         ),
     )
-    return docs.withColumns(
-        {
-            "_facts": facts,
-            "_lines": lines,
-            "word_chars": F.length(dense).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_upper": F.regexp_count(text, F.lit("\\p{Lu}")).cast("long"),
-        }
-    ).withColumns(
-        {
-            "n_words": F.col("_facts.n_words"),
-            "n_repeat_words": F.col("_facts.n_repeat_words"),
-            "n_stop": F.col("_facts.n_stop"),
-            "n_lines": F.col("_lines.all"),
-            "n_dup_lines": F.col("_lines.dup"),
-        }
-    )
 
 
-def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The first rule a row breaks, by name; null if it keeps them all."""
-    broken = []
+def broken(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The first rule that ``measures`` break, by name; null if they keep them all."""
+    found = []
     for rule in rules:
-        value = F.expr(rule.measure)
+        value = m[rule.top] / F.greatest(m[rule.of], F.lit(1).cast("long"))
         out = F.lit(False)
         if rule.low is not None:
             out |= value < rule.low
         if rule.high is not None:
             out |= value > rule.high
-        broken.append(F.when(out & (F.col("n_words") >= rule.least_words), F.lit(rule.name)))
-    return F.coalesce(*broken, F.lit(None).cast("string"))
+        found.append(F.when(out & (m["n_words"] >= rule.least_words), F.lit(rule.name)))
+    return F.coalesce(*found, F.lit(None).cast("string"))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row for each document: its base measures, ``base_failed``, the rule broken and ``kept``."""
-    out = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    out = out.withColumn("base_failed", base_failed())
-    out = out.withColumn("broken", F.when(~F.col("base_failed"), verdict(rules)))
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("broken").isNull()).alias("kept"),
-        "n_lines", "n_upper", "n_stop", "broken",
-    )
+
+    def judged(m: Column) -> Column:
+        failed = base_failed(m)
+        rule = F.when(~failed, broken(m, rules))
+        return F.struct(
+            *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+            failed.alias("base_failed"),
+            (~failed & rule.isNull()).alias("kept"),
+            *(m[c].alias(c) for c in ("n_lines", "n_upper", "n_stop")),
+            rule.alias("broken"),
+        )
+
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(let(measures(F.col("text")), judged))).alias("_out"))
+    return out.select("doc_id", "_out.*")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns only."""
-    bare = docs.select("doc_id", "text", F.struct("*").alias("_row"))
-    out = measured(bare).where(~base_failed() & verdict(rules).isNull())
-    return out.select("_row.*")
+    """The rows of ``docs`` that pass, with their own columns only; the filter holds one copy of the measures."""
+    return docs.where(let(measures(F.col("text")), lambda m: ~base_failed(m) & broken(m, rules).isNull()))

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from tessella.llm import (
     embedding_dedup,
     lexical_packing,
@@ -72,6 +71,13 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline, which is built on this subpackage and so is imported when it runs."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -83,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_url_filter": op9_url_filter,
     "op10_token_rollup": op10_token_rollup,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_sql(),

@@ -133,9 +133,11 @@ def test_near_duplicates_against_brute_force(docs, percent):
     assert got == brute_components(shingle_sets(rows), percent)
 
 
-def test_near_duplicates_of_one_large_group(spark, monkeypatch):
-    """Chains and stars of near copies, more than a block of them, compared in full."""
+@pytest.mark.parametrize("most", [1 << 21, 150])
+def test_near_duplicates_of_one_large_group(spark, monkeypatch, most):
+    """Chains and stars of near copies, more than a block of them (by classes or by shingles), compared in full."""
     monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ITEMS", most)
     rng = random.Random(3)
     parts = words(rng, 70).split()
     rows = []
@@ -150,6 +152,29 @@ def test_near_duplicates_of_one_large_group(spark, monkeypatch):
     assert got == brute_components(shingle_sets(rows), 85)
 
 
+@pytest.mark.parametrize("size", [30, 300, 5000, 60_000])
+def test_signatures_tell_unrelated_texts_from_near_ones(size):
+    """Whatever the texts' length: unrelated sets fall under the margin, sets at the threshold come over it."""
+    rng = np.random.default_rng(size)
+    plan = minhash_dedup.Plan(85)
+    low = lambda x: minhash_dedup.mix64(minhash_dedup.min_max(x, np.array([0, len(x)]), plan.permutations)[0]) & np.uint64(255)
+    one, other = (rng.integers(0, 1 << 63, size).astype(np.uint64) for _ in range(2))
+    shared = math.ceil(size * 2 * 0.85 / 1.85)
+    near = np.concatenate([one[:shared], other[shared:]])
+    assert np.count_nonzero(low(one) == low(other)) < 40
+    assert np.count_nonzero(low(one) == low(near)) >= plan.least_equal
+
+
+def test_bands_never_hold_both_ends_of_a_permutation():
+    sh = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
+    for percent in (80, 85, 95):
+        plan = minhash_dedup.Plan(percent)
+        sig = minhash_dedup.min_max(sh, np.array([0, 500]), plan.permutations)[0]
+        half = plan.permutations // 2
+        assert (sig[:half] < 1 << 60).all() and (sig[half : 2 * half] > 2**64 - (1 << 60)).all()
+        assert plan.rows * plan.bands <= 2 * half and plan.rows <= half
+
+
 def test_near_duplicates_over_a_bridge_without_an_id(spark):
     parts = words(random.Random(12), 100).split()
     text = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(parts))
