@@ -1,11 +1,20 @@
 """Secret scans by assignment-aware lexing.
 
-Base spans come from three patterns.  The lexer then reads name-literal pairs
-of source and configuration syntax (``name = "literal"``, ``name: literal``,
-``"name": "literal"``, ``name := literal``, ``<name>literal</name>``), follows
-names that are assigned to other names, joins literals added with ``+``, and
-scores each literal by how sensitive the names are that it reaches and by how
-random it looks.
+Base spans come from three patterns.  The lexer then reads the assignments of
+source and configuration syntax:
+
+* ``name = value``, ``name: value``, ``"name": value``, ``name := value``,
+  ``name => value``, ``name: type = value``;
+* ``name: |`` and ``name: >`` with the indented block below;
+* ``<name>value</name>``, elements with attributes such as ``key="name"
+  value="value"``, and calls such as ``set("name", "value")``.
+
+A value is a sum (``+``, or strings that stand side by side) of literals and
+names.  When all assignments are known, names are replaced by what they were
+assigned last before, else first after, until only literals are left; a name
+that leads back to itself ends there.  Every literal that so reaches a name is
+scored by how sensitive the name is and how random the whole value looks.  What
+is in comments counts like the rest.
 
 Positions are code points, ends exclusive.  A null text counts as empty;
 repeated rows give repeated results; whole texts are read, whatever their
@@ -17,8 +26,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,6 +51,13 @@ SENSITIVE = {
 PLACEHOLDERS = frozenset(
     "null none true false undefined nil changeme change_me example placeholder password secret token redacted xxx todo your_password".split()
 )
+#: Last parts of names that hold something about a secret, not the secret.
+ABOUT = frozenset(
+    "count name names length len size type kind url uri path file dir field label limit ttl expiry expires expiration timeout max min policy hint id "
+    "header param prefix".split()
+)
+#: Words that stand for a type where a value may stand.
+TYPES = frozenset("string str text char varchar bytes byte int integer long short float double bool boolean number any object optional void".split())
 LEAST_SCORE = 4.0
 LEAST_LENGTH = 6
 
@@ -49,16 +67,41 @@ _WORDS = "|".join(_GAP.join(f"[{c}{c.upper()}]" for c in w) for w in SENSITIVE)
 #: What a text must hold for the lexer or a base pattern to find anything; ``assign`` names are sensitive words themselves.
 MAYBE = rf"{_WORDS}|AKIA|[0-9a-f]{{24}}"
 NAMED = re.compile(_WORDS)
-_QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
-PAIR = re.compile(
-    rf"(?P<name>[A-Za-z_$][\w$.-]{{0,99}})[\"'\]]{{0,2}}[ \t]{{0,8}}(?::=|=>|=(?!=)|:(?!:))[ \t]{{0,8}}"
-    rf"(?P<value>(?:{_QUOTED})(?:\s{{0,8}}\+\s{{0,8}}(?:{_QUOTED}))*|[A-Za-z0-9_$+/.~=-]+)"
+_RUN = re.compile(r"[\w$.-]+")
+_OPERATOR = re.compile(r"[\"'`\])]{0,3}[ \t]*+(:=|=>|=(?![=~])|:(?!:))[ \t]*+")
+_TYPED = re.compile(r"[A-Za-z_][\w.]*+(?:<[^<>=\n]*>|\[[^\[\]=\n]*\])?[?!]?[ \t]*+=(?![=>])[ \t]*+")
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[ \t]*+\n")
+_STRING = re.compile(
+    r"[A-Za-z@$]{0,2}(?:\"\"\"(?P<a>[^\"]*(?:\"{1,2}[^\"]+)*)\"\"\"|'{3}(?P<b>[^']*(?:'{1,2}[^']+)*)'{3}"
+    r"|\"(?P<c>(?:[^\"\\\n]|\\.)*+)\"|'(?P<d>(?:[^'\\\n]|\\.)*+)'|`(?P<e>[^`\n]*)`)"
 )
-TAG = re.compile(r"<(?P<name>[A-Za-z_][\w.-]{0,99})>(?P<value>[^<>\n]+)</(?P=name)>")
-PIECE = re.compile(_QUOTED)
+_BARE = re.compile(r"[A-Za-z0-9_$+/.~=-]+")
+_PLUS = re.compile(r"\s*+\+\s*+")
+_BESIDE = re.compile(r"[ \t]*+(?:\\\n[ \t]*+)?(?=[\"'])")
+_TAG = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]*+)[^<>]*>\s*+(?P<value>[^<>]*[^<>\s])\s*+</(?P=name)>")
+_ELEMENT = re.compile(r"<[A-Za-z][^<>]*>")
+_ATTRIBUTE = re.compile(r"([\w:.-]++)\s*+=\s*+(\"[^\"<>]*\"|'[^'<>]*')")
+_CALL = re.compile(r"\(\s*+([\"'])([\w$.-]++)\1\s*+,\s*+(?=[\"'])")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
+@dataclass(frozen=True)
+class Operand:
+    """A literal's text and place; one that is not quoted may be a name instead."""
+
+    text: str
+    start: int
+    end: int
+    quoted: bool
+
+
+@dataclass(frozen=True)
+class Assignment:
+    at: int
+    name: str
+    value: tuple[Operand, ...]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three base patterns; matches that fail their length are dropped."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -67,33 +110,151 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def name_score(name: str) -> float:
-    """The highest sensitivity of a part, or of two parts that stand together, of a name."""
+    """The highest sensitivity of a part, or of two parts that stand together, of a name; 0 if its last part tells it is about a secret."""
     parts = [p.lower() for p in _PART.findall(name)]
+    if parts and parts[-1] in ABOUT:
+        return 0.0
     return max((SENSITIVE.get(x, 0.0) for x in parts + [a + b for a, b in zip(parts, parts[1:], strict=False)]), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """0 for placeholders and short values; else bits of entropy for a character and a bonus for mixed kinds."""
-    if len(value) < LEAST_LENGTH or value.lower() in PLACEHOLDERS or value[0] in "$<{%" or len(set(value)) < 4:
+def literal_score(value: str, quoted: bool = True, phrase: bool = False) -> float:
+    """0 for placeholders, types, prose (unless a ``phrase`` is wanted) and short values; else bits of entropy and a bonus for mixed kinds.
+
+    Numbers, and words that stand without quotes, lose a point.
+    """
+    if len(value) < LEAST_LENGTH or value.lower() in PLACEHOLDERS | TYPES or value[0] in "$<{%" or len(set(value)) < 4:
+        return 0.0
+    parts = value.split()
+    if len(parts) > 1 and not phrase and all(w.strip(".,;:!?'()").isalpha() for w in parts):
         return 0.0
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return entropy / 2 + 0.5 * (kinds > 1)
+    plain = value.isdigit() or not quoted and value.isalpha()
+    return max(0.0, entropy / 2 + 0.5 * (kinds > 1) - plain)
+
+
+def _string(text: str, at: int) -> tuple[Operand | None, int]:
+    """The string literal at a place, without its quotes, and where it ends."""
+    m = _STRING.match(text, at)
+    if not m:
+        return None, at
+    return Operand(m[m.lastgroup], m.start(m.lastgroup), m.end(m.lastgroup), True), m.end()
+
+
+def _operands(text: str, at: int) -> tuple[Operand, ...]:
+    """The sum that begins at a place; calls and look-ups are no literals and end it."""
+    out: list[Operand] = []
+    while True:
+        found, end = _string(text, at)
+        if not found:
+            m = _BARE.match(text, at)
+            if not m or text[m.end() : m.end() + 1] in ("(", "["):
+                break
+            found, end = Operand(m[0], m.start(), m.end(), False), m.end()
+        out.append(found)
+        follows = _PLUS.match(text, end) or (found.quoted and _BESIDE.match(text, end))
+        if not follows:
+            break
+        at = follows.end()
+    return tuple(out)
+
+
+def _block(text: str, name_at: int, at: int) -> tuple[Operand, ...]:
+    """The lines from ``at`` on that are indented further than the name's line, as one literal."""
+    line = text.rfind("\n", 0, name_at) + 1
+    margin = len(text[line:name_at]) - len(text[line:name_at].lstrip(" -"))
+    begin = end = None
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        body = text[at:stop]
+        inner = len(body) - len(body.lstrip(" "))
+        if body.strip():
+            if inner <= margin:
+                break
+            begin = at + inner if begin is None else begin
+            end = at + len(body.rstrip())
+        at = stop + 1
+    return () if begin is None else (Operand(text[begin:end], begin, end, True),)
+
+
+def assignments(text: str) -> list[Assignment]:
+    """All assignments of a text, by place."""
+    out = []
+    for m in _RUN.finditer(text):
+        name = m[0].lstrip("-.0123456789").rstrip(".-")
+        op = _OPERATOR.match(text, m.end()) if name else None
+        if not op:
+            continue
+        at = op.end()
+        if op[1] == ":":
+            block = _BLOCK.match(text, at)
+            if block:
+                out.append(Assignment(m.start(), name, _block(text, m.start(), block.end())))
+                continue
+            typed = _TYPED.match(text, at)
+            at = typed.end() if typed else at
+        out.append(Assignment(m.start(), name, _operands(text, at)))
+    if "</" in text:
+        out += [Assignment(m.start(), m["name"], (Operand(m["value"], m.start("value"), m.end("value"), True),)) for m in _TAG.finditer(text)]
+    for e in _ELEMENT.finditer(text) if "<" in text else ():
+        found = {m[1].lower(): (m[2][1:-1], m.start(2) + 1, m.end(2) - 1) for m in _ATTRIBUTE.finditer(text, e.start(), e.end())}
+        names = [found[k][0] for k in ("key", "name", "id", "property") if k in found]
+        values = [found[k] for k in ("value", "content", "default") if k in found]
+        out += [Assignment(e.start(), n, (Operand(*v, True),)) for n in names for v in values]
+    for m in _CALL.finditer(text):
+        value, _ = _string(text, m.end())
+        if value:
+            out.append(Assignment(m.start(), m[2], (value,)))
+    return sorted((a for a in out if a.value), key=lambda a: a.at)
+
+
+def _plain(name: str) -> str:
+    return name.removeprefix("this.").removeprefix("self.")
+
+
+def _held(name: str, one: Assignment, known: dict[str, list[Assignment]]) -> Assignment | None:
+    """What a name holds where ``one`` uses it: its last assignment before, else its first after."""
+    at = [a.at for a in known[name]]
+    before, after = bisect_left(at, one.at), bisect_right(at, one.at)
+    return known[name][before - 1] if before else known[name][after] if after < len(at) else None
+
+
+def resolved(one: Assignment, known: dict[str, list[Assignment]]) -> list[Operand]:
+    """The literals that a value consists of, in order, each once, after names are replaced by what they hold."""
+    out: list[Operand] = []
+    seen = {id(one)}
+    todo = [(one, x) for x in reversed(one.value)]
+    while todo:
+        user, x = todo.pop()
+        names = [] if x.quoted else [[_plain(x.text)], [_plain(n) for n in x.text.split("+") if n]]
+        names = next((n for n in names if n and all(k in known for k in n)), None)
+        if names is None:
+            out.append(x)
+            continue
+        for name in reversed(names):
+            held = _held(name, user, known)
+            if held is not None and id(held) not in seen:
+                seen.add(id(held))
+                todo += [(held, y) for y in reversed(held.value)]
+    return out
 
 
 def named_spans(text: str) -> list[tuple[int, int, int]]:
-    """Literals that reach a sensitive name, by assignment or through other names."""
-    found = [(m.start(), m["name"], m["value"], m.start("value"), m.end("value")) for p in (PAIR, TAG) for m in p.finditer(text)]
-    bound: dict[str, list[tuple[str, int, int]]] = {}
+    """Literals that reach a sensitive name."""
+    found = assignments(text)
+    known: dict[str, list[Assignment]] = {}
+    for one in found:
+        known.setdefault(_plain(one.name), []).append(one)
     out = set()
-    for _, name, value, start, end in sorted(found):
-        pieces = [(m[0][1:-1], start + m.start() + 1, start + m.end() - 1) for m in PIECE.finditer(value)]
-        if not pieces:
-            pieces = bound.get(value) or [(value, start, end)]
-        bound[name] = pieces
-        worth = name_score(name)
-        if worth and worth + literal_score("".join(p[0] for p in pieces)) >= LEAST_SCORE and literal_score("".join(p[0] for p in pieces)):
-            out |= {(s, 3, e) for _, s, e in pieces if e > s}
+    for one in found:
+        worth = name_score(one.name)
+        if not worth:
+            continue
+        pieces = resolved(one, known)
+        score = literal_score("".join(p.text for p in pieces), any(p.quoted for p in pieces), "passphrase" in one.name.lower())
+        if score and worth + score >= LEAST_SCORE:
+            out |= {(p.start, 3, p.end) for p in pieces if p.end > p.start}
     return sorted(out)
 
 

@@ -212,6 +212,67 @@ def test_secret_spans_and_redaction(spark):
     assert "b7db7aa4" not in new[1] and "Zx81kkQw" not in new[5] and "Qm9vbGVhbi1yYW5kb20" not in new[6]
 
 
+def _named(text):
+    return [text[s:e] for s, _, e in secret_scan.named_spans(text)]
+
+
+def test_assignments_of_many_syntaxes():
+    found = {
+        'db_password = base\nother = 3\nbase = "Zx81kkQw9TTpLm22"': ["Zx81kkQw9TTpLm22"],
+        'a = "Zx81kkQw"\nb = "9TTpLm22"\ndb_password = a + b': ["Zx81kkQw", "9TTpLm22"],
+        'a = "Zx81kkQw"\ndb_password = a +\n  "9TTpLm22" + tail': ["Zx81kkQw", "9TTpLm22", "tail"],
+        '<add key="db_password" value="Zx81kkQw9TTpLm22"/>': ["Zx81kkQw9TTpLm22"],
+        'const dbPassword: string = "Zx81kkQw9TTpLm22";': ["Zx81kkQw9TTpLm22"],
+        "x: Optional[str] = None\napi_token: str | None = 'Zx81kkQw9TTpLm22'": ["Zx81kkQw9TTpLm22"],
+        "spring:\n  password: |\n    Zx81kkQw\n    9TTpLm22\n  user: me": ["Zx81kkQw\n    9TTpLm22"],
+        'settings.put("db.password", "Zx81kkQw9TTpLm22")': ["Zx81kkQw9TTpLm22"],
+        'os.environ["API_TOKEN"] = "Zx81kkQw9TTpLm22"': ["Zx81kkQw9TTpLm22"],
+        'self.key = "Zx81kkQw9TTpLm22"\ndb_password = key': ["Zx81kkQw9TTpLm22"],
+        "run --db-password=Zx81kkQw9TTpLm22 -v": ["Zx81kkQw9TTpLm22"],
+        'password = ("Zx81kkQw"\n)': [],
+        'passphrase = "correct horse battery staple"': ["correct horse battery staple"],
+        'x = """\nnothing\n"""\nsecret = """Zx81"kkQw9TTpLm22"""': ['Zx81"kkQw9TTpLm22'],
+        'k = "x"\nk = "Zx81kkQw9TTpLm22"\ndb_password = k\nk = "other1other2"': ["Zx81kkQw9TTpLm22"],
+        'secret_name = "Production database"': [], "token_count = 123456789": [], "password: string;": [], 'password = getenv("DB_PASSWORD")': [],
+        "password = password\ntoken = secret\nsecret = token": [],
+    }
+    for text, wanted in found.items():
+        assert _named(text) == wanted, text
+    long_name = "x" * 5000 + "_password"
+    assert _named(f'{long_name}{" " * 300}=\t"Zx81kkQw9TTpLm22"') == ["Zx81kkQw9TTpLm22"]
+    chain = "".join(f"n{i} = n{i - 1} + n{i - 1}\n" for i in range(5000, 0, -1))
+    assert _named(f'db_password = n5000\n{chain}n0 = "Zx81kkQw9TTpLm22"') == ["Zx81kkQw9TTpLm22"]
+
+
+def test_secret_names_against_a_brute_force_resolver():
+    """Random programs: the literals a sensitive name reaches, by following names one at a time from the definition."""
+    rng = random.Random(17)
+    for _ in range(300):
+        names = [f"v{i}" for i in range(5)] + ["db_password"]
+        lines = [(rng.choice(names), [rng.choice([*names, *[f'"Lit{rng.randrange(10**8):08d}x"'] * 4]) for _ in range(rng.randint(1, 3))]) for _ in range(9)]
+        text = "\n".join(f"{n} = {' + '.join(v)}" for n, v in lines)
+        wanted = set()
+        for i, (n, _) in enumerate(lines):
+            if n != "db_password":
+                continue
+            reached, open_lines = set(), [i]
+            while open_lines:
+                at = open_lines.pop()
+                if at in reached:
+                    continue
+                reached.add(at)
+                for v in lines[at][1]:
+                    sites = [k for k, (m, _) in enumerate(lines) if m == v]
+                    earlier, later = [k for k in sites if k < at], [k for k in sites if k > at]
+                    open_lines += earlier[-1:] or later[:1]
+            wanted |= {(k, v[1:-1]) for k in reached for v in lines[k][1] if v[0] == '"'}
+            # names that nothing is assigned to stand for themselves
+            bare = [v for k in reached for v in lines[k][1] if v[0] != '"' and v not in [m for m, _ in lines]]
+            wanted |= {(k, v) for k in reached for v in lines[k][1] if v in bare} if any(v[0] == '"' for k in reached for v in lines[k][1]) else set()
+        got = {(text.count("\n", 0, s), text[s:e]) for s, _, e in secret_scan.named_spans(text)}
+        assert got == wanted, text
+
+
 def test_secret_prefilter_loses_nothing(spark):
     names = ["x-api-key", "api-key", "spring.api.key", "api__key", "Api$Key", "to_ken", "p.wd", "bear-er", "pa_ssword", "se\u00e9cret", "to\u212aken"]
     names += [w[:i] + gap + w[i:] for w in secret_scan.SENSITIVE for i in (1, len(w) // 2, len(w) - 1) for gap in ("", "_", "-", "__.")]
