@@ -1,11 +1,14 @@
 """License scans: stretches of text against licence templates by Dice coefficient over word bigrams.
 
 A text is lower-cased, everything but letters a-z and digits becomes one space,
-and its lines, its paragraphs and the whole are compared with each template.
-With a least coefficient t only templates whose number of bigrams lies within
+and stretches of it are compared with each template: its lines, its paragraphs,
+the whole, and windows of as many words as a template has, laid so that an
+anchor word (see ``anchors``) of the text meets the same word of the template.
+So a notice is found between other words, over any line breaks, and behind
+comment marks.  With a least coefficient t only templates whose number of bigrams lies within
 [t / (2 - t), (2 - t) / t] times that of the stretch can reach it; the others
-are not looked at.  A text without any of the templates' anchor words (see
-``anchors``) can match none and is passed over.  All of it is one projection of built-in functions.
+are not looked at.  A text without any of the templates' anchor words can match
+none and is passed over.  A stretch counts for the template that it is most like.  All of it is one projection of built-in functions.
 
 Nulls count as empty texts, which match nothing; repeated rows give repeated
 results; ties between templates go to the first by name.
@@ -61,6 +64,28 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software.",
+    ),
 }
 
 #: Words too frequent in prose to tell a notice.
@@ -70,6 +95,7 @@ FREQUENT = frozenset("a any and at be by file for from in is it may not of on or
 @dataclass(frozen=True)
 class Template:
     name: str
+    words: tuple[str, ...]
     bigrams: tuple[str, ...]
 
 
@@ -78,7 +104,7 @@ def templates(texts: dict[str, tuple[str, ...]] = TEMPLATES) -> list[Template]:
     for name in sorted(texts):
         for text in texts[name]:
             w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
-            out.append(Template(name, tuple(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))))
+            out.append(Template(name, tuple(w), tuple(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))))
     return out
 
 
@@ -103,6 +129,11 @@ def anchors(t: Template, least: float) -> list[str]:
     return taken
 
 
+def windows(known: list[Template], least: float) -> list[tuple[str, int, int]]:
+    """Each anchor word with the words before it in its template and the template's number of words, without repeats."""
+    return sorted({(w, at, len(t.words)) for t in known for a in [set(anchors(t, least))] for at, w in enumerate(t.words) if w in a})
+
+
 def _best(stretch: Column, known: list[Template], least: float) -> Column:
     """The best template of a normalised stretch as (dice, license); null below ``least``."""
     w = F.split(F.btrim(stretch), " +")
@@ -128,13 +159,27 @@ def _best(stretch: Column, known: list[Template], least: float) -> Column:
 
 
 def licenses(docs: DataFrame, least: float = LEAST_DICE, texts: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """``doc_id, licenses, best_dice, n_matches`` for each row of ``docs(doc_id, text)``; no match: null, null, 0."""
+    """``doc_id, licenses, best_dice, n_licenses`` for each row of ``docs(doc_id, text)``; no match: null, null, 0."""
     known = templates(texts)
     plain = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), "[^a-z0-9\\n]+", " ")
 
+    laid = windows(known, least)
+    specs = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(at).alias("at"), F.lit(n).alias("n")) for w, at, n in laid))
+    anchored = F.array(*(F.lit(w) for w in sorted({w for w, _, _ in laid})))
+
+    def around(w: Column) -> Column:
+        def of_hit(h: Column) -> Column:
+            fits = F.filter(specs, lambda s: s["word"] == h["word"])
+            start = lambda s: F.greatest(h["i"] - s["at"], F.lit(0))
+            return F.transform(fits, lambda s: F.array_join(F.slice(w, start(s) + 1, s["n"] - (start(s) - (h["i"] - s["at"]))), " "))
+
+        hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda h: F.array_contains(anchored, h["word"]))
+        return F.flatten(F.transform(hits, of_hit))
+
     def stretches(t: Column) -> Column:
         paragraphs = F.transform(F.split(t, "\\n *\\n", -1), lambda p: F.translate(p, "\n", " "))
-        return F.array_distinct(F.concat(F.split(t, "\\n", -1), paragraphs, F.array(F.translate(t, "\n", " "))))
+        whole = F.translate(t, "\n", " ")
+        return F.array_distinct(F.concat(F.split(t, "\\n", -1), paragraphs, F.array(whole), let(F.split(F.btrim(whole), " +"), around)))
 
     words = "|".join(sorted({w for t in known for w in anchors(t, least)}))
     maybe = F.coalesce(F.col("text").rlike(f"(?i)(?<![A-Za-z0-9])(?:{words})(?![A-Za-z0-9])"), F.lit(False))
@@ -142,9 +187,10 @@ def licenses(docs: DataFrame, least: float = LEAST_DICE, texts: dict[str, tuple[
     nothing = F.array().cast("array<struct<dice:double,order:int,license:string>>")
     found = F.when(maybe, found).otherwise(nothing)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"])))
     return out.select(
         "doc_id",
-        F.when(F.size("found") > 0, F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"]))), ",")).alias("licenses"),
+        F.when(F.size("found") > 0, F.array_join(names, ",")).alias("licenses"),
         F.array_max(F.transform("found", lambda x: x["dice"])).alias("best_dice"),
-        F.size("found").cast("long").alias("n_matches"),
+        F.size(names).cast("long").alias("n_licenses"),
     )

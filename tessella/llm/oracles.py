@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm.license_scan import LEAST_DICE, bounds, templates
+from tessella.llm.license_scan import LEAST_DICE, bounds, templates, windows
 from tessella.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, WINDOW
 from tessella.llm.source_mix import LEVELS, Mix
 from tessella.llm.url_filter import DAMPING, DIGITS, LOWER, MARGIN, ROUNDS, UPPER
@@ -115,18 +115,22 @@ def license_sql() -> str:
         lo, hi = bounds(len(t.bigrams), LEAST_DICE)
         grams = ", ".join(f"'{b}'" for b in t.bigrams)
         known.append(f"SELECT {i} AS i, '{t.name}' AS license, [{grams}] AS g, {lo!r} AS lo, {hi!r} AS hi")
+    laid = ", ".join(f"('{w}', {at}, {n})" for w, at, n in windows(templates(), LEAST_DICE))
     return f"""
 WITH k AS ({" UNION ALL ".join(known)}),
 d AS (SELECT row_number() OVER () AS rid, doc_id,
       regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9\\n]+', ' ', 'g') AS t FROM documents),
-s AS (SELECT rid, unnest(list_distinct(list_concat(string_split(t, chr(10)),
-        list_transform(string_split_regex(t, '\\n *\\n'), lambda x: replace(x, chr(10), ' ')), [replace(t, chr(10), ' ')]))) AS x FROM d),
+laid(word, before, long) AS (VALUES {laid}),
+h AS (SELECT rid, ws, unnest(range(len(ws))) AS i FROM (SELECT rid, string_split_regex(trim(replace(t, chr(10), ' '), ' '), ' +') AS ws FROM d)),
+s AS (SELECT rid, unnest(list_concat(string_split(t, chr(10)),
+        list_transform(string_split_regex(t, '\\n *\\n'), lambda x: replace(x, chr(10), ' ')), [replace(t, chr(10), ' ')])) AS x FROM d
+      UNION SELECT rid, array_to_string(ws[greatest(i - before, 0) + 1:i - before + long], ' ') FROM h JOIN laid ON ws[i + 1] = word),
 w AS (SELECT rid, x, string_split_regex(trim(x, ' '), ' +') AS w FROM s),
 b AS (SELECT rid, x, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
 m AS (SELECT rid, x, license, 2.0 * len(list_intersect(b, g)) / (len(b) + len(g)) AS dice, i FROM b JOIN k ON len(b) BETWEEN lo AND hi),
 f AS (SELECT rid, x, max_by(license, (dice, -i)) AS license, max(dice) AS dice FROM m WHERE dice >= {LEAST_DICE} GROUP BY rid, x),
-r AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice, count(*) AS n FROM f GROUP BY rid)
-SELECT doc_id, licenses, best_dice, coalesce(n, 0)::BIGINT AS n_matches FROM d LEFT JOIN r USING (rid)"""
+r AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice, count(DISTINCT license) AS n FROM f GROUP BY rid)
+SELECT doc_id, licenses, best_dice, coalesce(n, 0)::BIGINT AS n_licenses FROM d LEFT JOIN r USING (rid)"""
 
 
 def mix_sql() -> str:

@@ -301,7 +301,32 @@ def test_licenses(spark):
     ]
     got = {r.doc_id: r for r in license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k].licenses for k in range(1, 7)] == ["Apache-2.0", "MIT", "CC-BY-NC-4.0,MIT", None, None, None]
-    assert got[2].best_dice == 1.0 and got[4].n_matches == 0 and got[7].licenses == "MIT"
+    assert got[2].best_dice == 1.0 and got[4].n_licenses == 0 and got[3].n_licenses == 2 and got[7].licenses == "MIT"
+
+
+def test_licenses_between_other_words(spark):
+    """Notices as they stand in files; licences and coefficients are written out here."""
+    gpl = (
+        "# prog - does this and that\n# Copyright (C) 2020 Some One <one@example.org>\n# see the manual\n"
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+        "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os\nprint(os.name)\n"
+    )
+    rows = {
+        1: (gpl, "GPL-3.0-or-later", 1.0),
+        2: ("This project is released under the MIT License.", "MIT", 1.0),
+        3: ("<html><body>words and more words here. Licensed under CC BY 4.0. Further words follow on the line</body></html>", "CC-BY-4.0", 1.0),
+        4: (gpl.replace("version 3", "version 2") + " This program is distributed in the hope that it will be useful", "GPL-2.0-or-later", 1.0),
+        5: ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+            " * file, You can obtain one at https://mozilla.org/MPL/2.0/. */ int main() {}", "MPL-2.0", 2 * 32 / (33 + 34)),
+        6: ("the license of the software is not known; general conditions are permitted", None, None),
+        7: ("x " * 3000 + "Distributed under the Boost Software License, Version 1.0." + " y" * 3000, "BSL-1.0", 1.0),
+    }
+    frame = spark.createDataFrame([(k, v[0], 1, "x") for k, v in rows.items()], "doc_id long, text string, found int, licenses string")
+    got = {r.doc_id: (r.licenses, r.best_dice) for r in license_scan.licenses(frame).collect()}
+    for k, (_, name, dice) in rows.items():
+        assert got[k][0] == name, (k, got[k])
+        assert k == 5 or got[k][1] == dice
+    assert 0.9 < got[5][1] < 1
 
 
 def test_license_anchors_lose_nothing():
