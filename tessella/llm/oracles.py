@@ -164,3 +164,9 @@ p AS (SELECT l.*, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END
 k AS (SELECT d.*, budget, epochs, budget - epochs * tokens AS part, md5('{mix.seed}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM d JOIN p USING ({leaf})),
 u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {leaf} ORDER BY key) AS upto FROM k)
 SELECT doc_id, {leaf}, n_tokens, budget AS leaf_budget, (epochs + (upto <= part)::INT)::BIGINT AS copies FROM u"""
+
+
+def rollup_sql() -> str:
+    return """
+SELECT source, lang, 'words_2' AS tokenizer_version, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens
+FROM (SELECT source, lang, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n FROM documents) WHERE n >= 5 GROUP BY ALL"""

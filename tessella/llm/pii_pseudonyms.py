@@ -6,16 +6,23 @@ pseudonyms in all documents and different values different ones:
 
 * card numbers (Luhn): all digits but the last are permuted, the last is the
   check digit of the result; separators stay where they were;
+* account numbers (IBAN, modulus 97): the digits after the check digits are
+  permuted, letters stay, the check digits are those of the result;
 * telephone numbers of the form 3-3-4 with area and exchange from 200 on;
+  international ones (``+``, 8 to 15 digits) and pairs of digits after ``0x``:
+  all digits but the first two;
 * IPv4 addresses, and numbers of the form 3-2-4;
-* dates ``yyyy-mm-dd`` and ``dd/mm/yyyy`` from 1900 to 2099 that exist: year and
-  day of the year are permuted, 29 February among leap years.
+* dates ``yyyy-mm-dd``, ``dd/mm/yyyy`` and ``d.m.yyyy`` from 1900 to 2099 that
+  exist: year and day of the year are permuted, 29 February among leap years.
+  A date has one pseudonym in all three forms.
 
 The permutation is a Feistel network over a pair of residues, ``ROUNDS`` rounds
 of adding a keyed digest of one half to the other.  E-mail addresses have no
 fixed format to permute; their local part becomes a keyed digest and the host
 ``example.com``.  What matches but fails its check stays as it is.
 
+Whoever knows the key can undo the permutations, so there is no default key.
+
 Everything is one projection of built-in functions.  A null text stays null,
 texts without a digit or ``@`` are passed on untouched, repeated rows give
 repeated results.
@@ -23,13 +30,14 @@ repeated results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm._native import let
 
 ROUNDS = 8
-DEFAULT_KEY = "pseudonym-key"
 
 #: The patterns, in the order in which they are tried at a place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -39,7 +47,11 @@ IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 THREE_TWO_FOUR = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
-ANY = "|".join((EMAIL, ISO_DATE, DAY_DATE, IPV4, THREE_TWO_FOUR, PHONE, CARD))
+DOT_DATE = r"(?<![0-9.])[0-3]?[0-9]\.[01]?[0-9]\.(?:19|20)[0-9]{2}(?![0-9]|\.[0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+INTERNATIONAL = r"(?<![0-9+])\+[1-9](?:[ .-]?[0-9]){7,14}(?![0-9])"
+PAIRS = r"(?<![0-9+.-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])"
+ANY = "|".join((EMAIL, ISO_DATE, DAY_DATE, DOT_DATE, IPV4, THREE_TWO_FOUR, PHONE, IBAN, INTERNATIONAL, PAIRS, CARD))
 
 
 def _digest(*parts: Column) -> Column:
@@ -91,18 +103,52 @@ def _luhn(digits: Column, skip: int) -> Column:
     return F.aggregate(at, F.lit(0), lambda s, i: s + one(i))
 
 
+def _permuted(d: Column, label: str, key: str) -> Column:
+    """The image of a string of 2 to 34 digits among all strings of its length."""
+    left = F.floor(F.length(d) / 2).cast("int")
+    right = F.length(d) - left
+    ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
+    pair = feistel(F.substring(d, F.lit(1), left).cast("long"), F.substring(d, left + 1, right).cast("long"), ten(left), ten(right), label, key)
+    return let(pair, lambda p: F.concat(_padded(p["a"], left), _padded(p["b"], right)))
+
+
 def _card(v: Column, key: str) -> Column:
     def body(d: Column) -> Column:
-        n = F.length(d) - 1
-        left = F.floor(n / 2).cast("int")
-        ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
-        pair = feistel(F.substring(d, F.lit(1), left).cast("long"), F.substring(d, left + 1, n - left).cast("long"), ten(left), ten(n - left), "card", key)
-        new = let(pair, lambda p: F.concat(_padded(p["a"], left), _padded(p["b"], n - left)))
+        new = _permuted(F.substring(d, F.lit(1), F.length(d) - 1), "card", key)
         return F.when(_luhn(d, 0) % 10 == 0, let(new, lambda x: _refill(v, F.concat(x, F.pmod(-_luhn(x, 1), F.lit(10)).cast("string"))))).otherwise(v)
 
     return let(_digits(v), body)
 
 
+def _mod97(value: Column) -> Column:
+    """Of letters and digits, letters as the numbers from 10 on."""
+
+    def step(s: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (s * 10 + c.cast("int")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(value, ""), F.lit(0), step)
+
+
+def _iban(v: Column, key: str) -> Column:
+    def body(x: Column) -> Column:
+        country, rest = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x) - 4)
+        digits = _digits(rest)
+        valid = F.length(x).between(15, 34) & (_mod97(F.concat(rest, F.substring(x, 1, 4))) == 1) & (F.length(digits) > 1)
+
+        def filled(new: Column) -> Column:
+            check = 98 - _mod97(F.concat(_refill(rest, new), country, F.lit("00")))
+            return _refill(v, F.concat(_padded(check, 2), new))
+
+        return F.when(valid, let(_permuted(digits, "iban", key), filled)).otherwise(v)
+
+    return let(F.translate(v, " ", ""), body)
+
+
+def _tail(v: Column, label: str, key: str) -> Column:
+    """All digits but the first two permuted."""
+    return let(_digits(v), lambda d: _refill(v, F.concat(F.substring(d, 1, 2), _permuted(F.substring(d, F.lit(3), F.length(d) - 2), label, key))))
+
+
 def _phone(v: Column, key: str) -> Column:
     def body(d: Column) -> Column:
         area, exchange = F.substring(d, -10, 3).cast("long"), F.substring(d, -7, 3).cast("long")
@@ -138,7 +184,10 @@ def _three_two_four(v: Column, key: str) -> Column:
     return F.when((area.between(1, 899)) & (group > 0) & (serial > 0), new).otherwise(v)
 
 
-def _date(v: Column, pattern: str, key: str) -> Column:
+def _date(v: Column, pattern: str, key: str, written: Callable[[Column], Column] | None = None) -> Column:
+    """``written`` gives a date's text, by default that of ``pattern``."""
+    written = written or (lambda day: F.date_format(day, pattern))
+
     def body(day: Column) -> Column:
         year = F.year(day).cast("long")
         plain = F.make_date(F.lit(2001), F.month(day), F.dayofmonth(day))
@@ -148,31 +197,41 @@ def _date(v: Column, pattern: str, key: str) -> Column:
             at = F.date_add(F.lit("2001-01-01").cast("date"), p["b"].cast("int"))
             return F.make_date((p["a"] + 1900).cast("int"), F.month(at), F.dayofmonth(at))
 
-        # 29 February: the 49 leap years from 1904 to 2096
-        leap = feistel(F.floor((year - 1904) / 4), F.lit(0), F.lit(49), F.lit(1), "leap", key)
-        moved = F.when(F.date_format(day, "MM-dd") == "02-29", let(leap, lambda p: F.make_date((p["a"] * 4 + 1904).cast("int"), F.lit(2), F.lit(29))))
-        return F.when(day.isNull(), v).otherwise(F.date_format(moved.otherwise(let(pair, dated)), pattern))
+        # 29 February: the 49 leap years from 1904 to 2096, seven by seven
+        at = F.floor((year - 1904) / 4)
+        leap = feistel(F.floor(at / 7), at % 7, F.lit(7), F.lit(7), "leap", key)
+        year_of = lambda p: ((p["a"] * 7 + p["b"]) * 4 + 1904).cast("int")
+        moved = F.when(F.date_format(day, "MM-dd") == "02-29", let(leap, lambda p: F.make_date(year_of(p), F.lit(2), F.lit(29))))
+        return F.when(day.isNull(), v).otherwise(let(moved.otherwise(let(pair, dated)), written))
 
     return let(F.try_to_timestamp(v, F.lit(pattern)).cast("date"), body)
 
 
+def _dot_date(v: Column, key: str) -> Column:
+    """Written with two digits for day and month if the value has them."""
+    wide = F.length(v) == 10
+    return _date(v, "d.M.yyyy", key, lambda day: F.when(wide, F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "d.M.yyyy")))
+
+
 def _email(v: Column, key: str) -> Column:
     return F.concat(F.lit("user-"), F.substring(F.md5(F.concat(F.lit(f"{key}|email|"), F.lower(v))), 1, 16), F.lit("@example.com"))
 
 
 def _kind(v: Column) -> Column:
-    tests = (("email", "@"), ("iso", f"^{ISO_DATE}$"), ("day", f"^{DAY_DATE}$"), ("ipv4", f"^{IPV4}$"), ("324", f"^{THREE_TWO_FOUR}$"), ("phone", f"^{PHONE}$"))
+    tests = (("email", "@"), ("iso", f"^{ISO_DATE}$"), ("day", f"^{DAY_DATE}$"), ("dot", f"^{DOT_DATE}$"), ("ipv4", f"^{IPV4}$"),
+             ("324", f"^{THREE_TWO_FOUR}$"), ("phone", f"^{PHONE}$"), ("iban", f"^{IBAN}$"), ("intl", f"^{INTERNATIONAL}$"), ("pairs", f"^{PAIRS}$"))
     out = F.lit("card")
     for name, pattern in reversed(tests):
         out = F.when(v.rlike(pattern), F.lit(name)).otherwise(out)
     return out
 
 
-def pseudonym(v: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonym(v: Column, key: str) -> Column:
     """The pseudonym of one matched value; the value itself if it fails its format's check."""
     kinds = {
         "email": _email(v, key), "iso": _date(v, "yyyy-MM-dd", key), "day": _date(v, "dd/MM/yyyy", key), "ipv4": _ipv4(v, key),
-        "324": _three_two_four(v, key), "phone": _phone(v, key),
+        "324": _three_two_four(v, key), "phone": _phone(v, key), "dot": _dot_date(v, key), "iban": _iban(v, key), "intl": _tail(v, "intl", key),
+        "pairs": _tail(v, "pairs", key),
     }
 
     def chosen(k: Column) -> Column:
@@ -184,7 +243,7 @@ def pseudonym(v: Column, key: str = DEFAULT_KEY) -> Column:
     return let(_kind(v), chosen)
 
 
-def pseudonymised(text: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """A struct of the new text, the number of values replaced and of values that failed their check."""
 
     def body(found: Column) -> Column:
@@ -202,7 +261,9 @@ def pseudonymised(text: Column, key: str = DEFAULT_KEY) -> Column:
     return F.when(text.rlike("[0-9@]"), some).otherwise(none)
 
 
-def pseudonyms(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """``doc_id, text, n_replaced, n_kept`` for each row of ``docs(doc_id, text)``."""
+def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
+    """``doc_id, text, n_replaced, n_kept`` for each row of ``docs(doc_id, text)``; an empty key raises."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pseudonymised(F.col("text"), key).alias("_new"))
     return out.select("doc_id", "_new.*")

@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tessella.llm import (
@@ -71,7 +73,7 @@ def test_every_operator_takes_an_empty_table(spark, empty):
     assert source_mix.mixture(empty).count() == 0
     assert source_mix.mixed(empty, source_mix.Mix(max_epochs=1)).columns == empty.columns
     assert lexical_packing.pack(empty).count() == 0
-    assert pii_pseudonyms.pseudonyms(empty).count() == 0
+    assert pii_pseudonyms.pseudonyms(empty, "k").count() == 0
     assert token_rollup.counted(empty, "v").count() == 0
 
 
@@ -540,7 +542,7 @@ def luhn(d):
 
 
 def test_pseudonyms(spark):
-    key = pii_pseudonyms.DEFAULT_KEY
+    key = "k1"
     card, phone, ip, day = "4041894974608795", "+1 (988) 555-2485", "42.144.35.254", "2019-07-31"
     assert luhn(card) == 0
     rows = [
@@ -553,7 +555,7 @@ def test_pseudonyms(spark):
         (7, "plain text ü"),
         (8, f"{card} {ip} {phone} {card}"),
     ]
-    got = {r.doc_id: r for r in pii_pseudonyms.pseudonyms(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii_pseudonyms.pseudonyms(spark.createDataFrame(rows, "doc_id long, text string"), key).collect()}
     one = got[1].text
     assert not any(x in one for x in (card, "555-2485", ip, day, "bosbt"))
     a, b = feistel(int(card[:7]), int(card[7:15]), 10**7, 10**8, "card", key)
@@ -577,10 +579,49 @@ def test_pseudonyms_are_a_permutation(spark):
     out = pairs.select(pii_pseudonyms.feistel(F.col("a"), F.col("b"), F.lit(12), F.lit(35), "t", "k").alias("p")).distinct()
     assert out.count() == 12 * 35
     days = spark.sql("select explode(sequence(date'1900-01-01', date'2099-12-31')) d").select(F.date_format("d", "yyyy-MM-dd").alias("d"))
-    new = days.select(pii_pseudonyms.pseudonym(F.col("d")).alias("n"))
+    new = days.select(pii_pseudonyms.pseudonym(F.col("d"), "k").alias("n"))
     assert new.distinct().count() == days.count() and new.where("n between '1900-01-01' and '2099-12-31'").count() == days.count()
 
 
+    leap = new.where("n like '%-02-29'").withColumn("y", F.substring("n", 1, 4).cast("int"))
+    moves = days.where("d like '%-02-29'").select("d", pii_pseudonyms.pseudonym(F.col("d"), "k").alias("n"))
+    steps = {(int(r.n[:4]) - int(r.d[:4])) % 196 for r in moves.collect()}
+    assert leap.count() == 49 and len(steps) > 10  # no constant shift
+
+
+def mod97(x):
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_pseudonyms_of_more_formats(spark):
+    texts = [
+        "+44 20 7946 0958", "06 12 34 56 78", "+49 30 901820", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "03.07.1984", "3.7.1984",
+        "29.2.2024", "1984-07-03",
+    ]
+    kept = ["+12 345", "GB82 WEST 1234 5698 7654 33", "31.02.1984", "1.2.3.2000", "00 12 34 56 78", "version 10.12.19841"]
+    frame = spark.createDataFrame([(i, f"see {t}, twice {t}.", 1, "x") for i, t in enumerate(texts + kept)], "doc_id long, text string, n_kept int, found string")
+    got = {r.doc_id: r for r in pii_pseudonyms.pseudonyms(frame, "k").orderBy("doc_id").collect()}
+    new = []
+    for i, t in enumerate(texts):
+        a, b = re.fullmatch("(?s)see (.*), twice (.*)[.]", got[i].text).groups()
+        assert a == b != t and got[i].n_replaced == 2
+        shape = lambda x: re.sub("[0-9]", "0", x)
+        assert shape(a) == shape(t) or "." in t
+        new.append(a)
+    assert new[0][:3] == "+44" and new[1][:2] == "06" and new[2][:3] == "+49"
+    assert mod97(new[3].replace(" ", "")) == 1 and mod97(new[4]) == 1 and new[3][5:9] == "WEST"
+    day, month, year = new[5].split(".")
+    assert len(day) == len(month) == 2 and new[8] == f"{year}-{month}-{day}" and new[6] == f"{int(day)}.{int(month)}.{year}"
+    assert new[7].startswith("29.2.")
+    for i, t in enumerate(kept, len(texts)):
+        assert got[i].text == f"see {t}, twice {t}.", t
+    # one to one: all numbers of a small format
+    numbers = spark.range(2000).select(F.concat(F.lit("+99 10000"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("t"))
+    assert numbers.select(pii_pseudonyms.pseudonym(F.col("t"), "k").alias("n")).distinct().count() == 2000
+    with pytest.raises(ValueError, match="key"):
+        pii_pseudonyms.pseudonyms(frame, "")
+
+
 def test_rollup(spark, docs, tmp_path):
     r = token_rollup.Rollup(spark, f"file://{tmp_path}/r")
     assert r.totals().count() == 0
@@ -597,13 +638,43 @@ def test_rollup(spark, docs, tmp_path):
     r.apply("b", token_rollup.revisions(old, old.withColumn("n_tokens", F.col("n_tokens") + 1)))
     wanted["odd", "zz", "v1"][1] += wanted["odd", "zz", "v1"][0]
     assert totals() == wanted
-    (tmp_path / "r" / "batch=dead").mkdir()  # a batch that died before its commit
+    (tmp_path / "r" / "_open-dead").mkdir()  # a batch that died before its commit
     assert totals() == wanted
+    assert r.compact() and totals() == wanted and len(r._base()[1]) == 2
+    shutil.rmtree(tmp_path / "r" / "base=1" / "sums")  # read from the base, not from the batches it covers
+    with pytest.raises(AnalysisException):
+        totals()
+    shutil.rmtree(tmp_path / "r" / "base=1")
     r.apply("c", token_rollup.deletes(counts.where("source = 'src1'")))
     del wanted["src1", "en", "v1"]
     assert totals() == wanted
     r.apply("d", token_rollup.inserts(counts.limit(0)))
     assert totals() == wanted
+    assert r.compact() and totals() == wanted
+    r.apply("e", token_rollup.inserts(counts.where("source = 'src1'").limit(1).withColumn("n_tokens", F.lit(7).cast("long"))))
+    assert totals() == wanted | {("src1", "en", "v1"): [1, 7]} and r.compact() and totals() == wanted | {("src1", "en", "v1"): [1, 7]}
+    assert not r.apply("c", token_rollup.deletes(counts.where("source = 'src1'")), verify=True)
+    with pytest.raises(ValueError, match="other contents"):
+        r.apply("c", token_rollup.inserts(counts), verify=True)
+    for bad in ("", "a/b", "a=b", "_a", "..", "a b"):
+        with pytest.raises(ValueError, match="batch id"):
+            r.apply(bad, token_rollup.inserts(counts))
+
+
+def test_rollup_of_two_writers(spark, tmp_path):
+    """Both write the same batch; one commits."""
+    r = token_rollup.Rollup(spark, f"file://{tmp_path}/r")
+    deltas = spark.createDataFrame([("s", "en", "v", 1, 5)], token_rollup.SUMS)
+    for name in ("_open-1", "_open-2"):
+        deltas.write.parquet(f"{r.root}/{name}")
+    assert r._commit(f"{r.root}/_open-1", "batch=x") and not r._commit(f"{r.root}/_open-2", "batch=x")
+    assert r.totals().first().n_tokens == 5 and r.batches() == ["x"] and not (tmp_path / "r" / "_open-2").exists()
+
+
+def test_rollup_of_an_empty_table(spark, empty, tmp_path):
+    r = token_rollup.Rollup(spark, f"file://{tmp_path}/r")
+    assert r.apply("a", token_rollup.inserts(token_rollup.counted(empty, "v1"))) and r.totals().count() == 0
+    assert r.compact() and r.totals().count() == 0
 
 
 def test_queries_are_registered():
