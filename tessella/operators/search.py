@@ -8,6 +8,8 @@ histogram.
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,33 +102,20 @@ def score_counts(queries: DataFrame, subjects: DataFrame, key: str, vector: str,
 
 
 def length_adjustment(lam: float, k: float, alpha: float, beta: float, query: int, database: int, sequences: int) -> int:
-    """The edge-effect length: the largest l with l <= beta + alpha / lambda * ln(K (m - l)(n - N l)).
+    """The edge-effect length: the largest whole l with l <= beta + alpha / lambda * ln(K * space).
 
-    A published fixed-point search, at most 20 steps, between 0 and the largest
-    length that leaves a positive search space.
+    The space left by l, (query - l) * (database - sequences * l), must keep
+    K * space at or above the longer of both lengths.  Both conditions hold up to
+    some l and fail beyond it, which is halved in on; 0 where even 0 fails.
     """
-    if query <= 0 or database <= 0 or sequences <= 0 or lam <= 0 or k <= 0:
+    if min(query, database, sequences) <= 0 or lam <= 0 or k <= 0:
         return 0
-    a, b, c = float(sequences), float(query * sequences + database), query * database - max(query, database) / k
-    if c < 0:
-        return 0
-    high = 2 * c / (b + np.sqrt(b * b - 4 * a * c))
-    low, now, converged = 0.0, 0.0, False
-    for step in range(1, 21):
-        space = (query - now) * (database - sequences * now)
-        new = alpha / lam * (np.log(k) + np.log(space)) + beta
-        if new >= now:
-            low = now
-            if new - low <= 1.0:
-                converged = True
-                break
-            if low == high:
-                break
-        else:
-            high = now
-        now = new if low <= new <= high else (high if step == 1 else (low + high) / 2)
-    if converged:
-        up = np.ceil(low)
-        if up <= high and alpha / lam * (np.log(k) + np.log((query - up) * (database - sequences * up))) + beta >= up:
-            low = up
-    return int(low)
+
+    def holds(cut: int) -> bool:
+        space = (query - cut) * (database - sequences * cut)
+        return k * space >= max(query, database) and beta + alpha / lam * math.log(k * space) >= cut
+
+    # every cut from here on leaves no space
+    beyond = min(query, -(-database // sequences))
+    whole = range(beyond)
+    return max(0, bisect.bisect_left(whole, True, key=lambda cut: not holds(cut)) - 1)

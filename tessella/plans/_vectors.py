@@ -135,12 +135,26 @@ SELECT query_id, {sql6("(lo + hi) / 2")} AS lambda FROM b WHERE i = 60
 UNION ALL SELECT DISTINCT query_id, NULL FROM g WHERE query_id NOT IN (SELECT query_id FROM ok)"""
 
 
+#: Lengths of queries for which the edge-effect length is listed.
+LENGTHS = (8, 64, 250, 1000, 20000)
+
+
 def length_adjusted_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths and search space with the edge-effect length taken off: once for a query and a database."""
+    """Lengths and search space with the edge-effect length taken off, for queries of several lengths and one database."""
     n = vectors(spark, sf_dir).where("x is not null").count()
-    cut = search.length_adjustment(U_LAMBDA, U_K, ALPHA, BETA, DIM, n * DIM, n)
-    row = (DIM, n * DIM, n, cut, (DIM - cut) * (n * DIM - n * cut))
-    return spark.createDataFrame([row], "query_length long, database_length long, sequences long, adjustment long, space long")
+    rows = []
+    for m in LENGTHS:
+        cut = search.length_adjustment(U_LAMBDA, U_K, 8 * ALPHA, BETA, m, n * DIM, n)
+        rows.append((m, n * DIM, n, cut, (m - cut) * (n * DIM - n * cut)))
+    return spark.createDataFrame(rows, "query_length long, database_length long, sequences long, adjustment long, space long")
+
+
+LENGTH_SPACE = f"""
+WITH n AS (SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL), m AS (SELECT unnest({list(LENGTHS)})::BIGINT AS m),
+l AS (SELECT m, n, l, (m - l) * (n * {DIM} - n * l) AS space FROM m, n, (SELECT unnest(range({DIM})) AS l) WHERE l < m),
+f AS (SELECT m, max(l) AS cut FROM l WHERE {U_K} * space >= greatest(m, n * {DIM}) AND {BETA} + {8 * ALPHA / U_LAMBDA!r} * ln({U_K} * space) >= l GROUP BY m)
+SELECT m AS query_length, n * {DIM} AS database_length, n AS sequences, coalesce(cut, 0) AS adjustment, (m - coalesce(cut, 0)) * (n * {DIM} - n * coalesce(cut, 0)) AS space
+FROM m CROSS JOIN n LEFT JOIN f USING (m)"""
 
 
 def hit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,6 +489,7 @@ ORACLES = {
     "score_histogram_rowcol": ROWCOL,
     "score_entropy_given_lambda": ENTROPY,
     "lambda_root": LAMBDA_ROOT,
+    "length_adjusted_space": LENGTH_SPACE,
     "hit_report": REPORT,
     "distinct_vectors": f"WITH {CODED} SELECT code, count(*) AS n FROM k GROUP BY code",
     "vector_probability_discrete": f"WITH {CODED} SELECT code, count(*) AS n, {sql6('count(*) / (SELECT count(*) FROM k)')} AS p FROM k GROUP BY code",

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import _alignments, _series, _vectors
+from tessella.plans import _alignments, _scores, _series, _vectors
 
-_MODULES = (_vectors, _alignments, _series)
+_MODULES = (_vectors, _scores, _alignments, _series)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
