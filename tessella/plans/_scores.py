@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import alphabet as A
 from tessella.functions import vectors as V
-from tessella.operators import scoring, statistics
-from tessella.plans._common import VECTORS, r6, sql6, table, vectors
+from tessella.operators import profiles, scoring, statistics
+from tessella.plans._common import EVENT_TYPES, SERIES, VECTORS, r6, series, sql6, table, vectors
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,11 +236,68 @@ VECTOR_OPERATIONS = f"""WITH {PAIRS} SELECT id, {sql6("sqrt(list_dot_product(qx,
   {sql6("list_sum(qx) - 0.5 * list_sum(sx)")} AS mixed, {sql6("0.1 * qx[1] + 0.2 * qx[2] + 0.4 * qx[3] + 0.2 * qx[4] + 0.1 * qx[5]")} AS context, 1.0 AS whole FROM p"""
 
 
+def thick_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as profiles: their events are positions, the kinds of them sequences."""
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("length"), F.count_distinct("event_type").alias("sequences"))
+    return profiles.thick_enough(users, "sequences")
+
+
+def profile_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of users against the same with some positions gone and some changed."""
+    one = series(spark, sf_dir).select("id", "pos", F.col("symbol").alias("residue"))
+    changed = F.when((F.col("id") % 7 == 1) & (F.col("pos") == 2), F.lit(EVENT_TYPES[0])).otherwise(F.col("residue"))
+    other = one.where("id % 11 <> 3 and not (id % 5 = 0 and pos = 1)").withColumn("residue", changed)
+    return profiles.incompatibilities(one, other)
+
+
+COMPATIBILITY = f"""WITH {SERIES}, o AS (SELECT id, pos, CASE WHEN id % 7 = 1 AND pos = 2 THEN '{EVENT_TYPES[0]}' ELSE symbol END AS symbol FROM s WHERE id % 11 <> 3 AND NOT (id % 5 = 0 AND pos = 1)),
+n AS (SELECT id, count(*) AS a, coalesce(any_value(b), 0) AS b FROM s LEFT JOIN (SELECT id, count(*) AS b FROM o GROUP BY id) USING (id) GROUP BY id),
+d AS (SELECT DISTINCT s.id FROM s JOIN o USING (id, pos) WHERE s.symbol <> o.symbol)
+SELECT id, CASE WHEN b = 0 THEN 'missing' WHEN a <> b THEN 'length' ELSE 'residue' END AS reason FROM n WHERE a <> b OR id IN (SELECT id FROM d)"""
+
+
+def profile_scores_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty vectors as a profile, their first twenty components as scores of letters."""
+    v = vectors(spark, sf_dir).where("x is not null")
+    rows = v.select(F.floor(F.col("vec_id") / 50).alias("id"), F.transform(F.slice("x", 1, 20), lambda x: F.rint(x * 10)).alias("scores"))
+    return profiles.profile_score_distribution(rows, A.BACKGROUND[:20]).select("id", "score", r6("p").alias("p"))
+
+
+_LETTERS = ", ".join(f"({k + 1}, {x!r})" for k, x in enumerate(A.BACKGROUND[:20]))
+PROFILE_SCORES = f"""WITH {VECTORS}, b(k, b) AS (VALUES {_LETTERS}), n AS (SELECT vec_id // 50 AS id, count(*) AS n FROM v WHERE x IS NOT NULL GROUP BY 1)
+SELECT id, round_even(x[k] * 10, 0)::BIGINT AS score, {sql6("sum(b) / any_value(n)")} AS p FROM v JOIN n ON id = vec_id // 50 CROSS JOIN b WHERE x IS NOT NULL AND b > 0 GROUP BY 1, 2"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = V.dot(F.col("qx"), F.col("sx")) * 20
+    return pairs(spark, sf_dir).select(F.floor(F.col("id") / 50).alias("id"), F.round(score, 6).alias("score"), (F.col("ql") + 1.0).alias("pq"), (F.col("sl") + 1.0).alias("ps"))
+
+
+CELLS = f"{PAIRS}, c AS (SELECT id // 50 AS id, round(20 * list_dot_product(qx, sx), 6) AS score, (ql + 1.0) * (sl + 1.0) AS w FROM p)"
+
+
+def weighted_scores_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir).withColumn("score", F.rint("score").cast("long"))
+    return profiles.weighted_score_distribution(cells).select("id", "score", r6("p").alias("p"))
+
+
+WEIGHTED = f"WITH {CELLS} SELECT id, round_even(score, 0)::BIGINT AS score, {sql6('sum(w) / any_value(t)')} AS p FROM c JOIN (SELECT id, sum(w) AS t FROM c GROUP BY id) USING (id) GROUP BY 1, 2"
+
+
+def cell_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = profiles.cell_statistics(_cells(spark, sf_dir), 0.25)
+    return out.select("id", r6("expected").alias("expected"), r6("entropy").alias("entropy"))
+
+
+CELL_ENTROPY = f"WITH {CELLS} SELECT id, {sql6('sum(score * w) / sum(w)')} AS expected, {sql6('0.25 * sum(score * w * exp(0.25 * score)) / sum(w)')} AS entropy FROM c GROUP BY id"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lso_position_scores, profile_position_scores, cluster_scores, state_scores, context_scores, masked_position_scores, repaired_rows, diagonal_pairs,
-        second_pass, powered_transitions, mixture_evalues, vector_operations,
+        second_pass, powered_transitions, mixture_evalues, vector_operations, thick_profiles, profile_compatibility, profile_scores_distribution,
+        weighted_scores_distribution, cell_entropy,
     )
 }
 ORACLES = {
@@ -256,4 +313,9 @@ ORACLES = {
     "powered_transitions": POWERED,
     "mixture_evalues": MIXTURE,
     "vector_operations": VECTOR_OPERATIONS,
+    "thick_profiles": "SELECT user_id, count(*) AS length, count(DISTINCT event_type) AS sequences FROM events GROUP BY user_id HAVING count(DISTINCT event_type) >= 3",
+    "profile_compatibility": COMPATIBILITY,
+    "profile_scores_distribution": PROFILE_SCORES,
+    "weighted_scores_distribution": WEIGHTED,
+    "cell_entropy": CELL_ENTROPY,
 }
