@@ -7,7 +7,8 @@ to hosts that link to blocked ones.  A page without a rule gets its host's
 verdict: blocked when distrust exceeds trust by more than ``MARGIN``.
 
 All steps are DataFrame joins and sums; a hub's sums are taken in partial
-aggregates.  Null urls and urls without ``://`` have an empty host and path,
+aggregates.  ``ROUNDS`` is fixed: what is not settled by then is at most
+``DAMPING ** ROUNDS`` of the rank, 4 %.  Null urls and urls without ``://`` have an empty host and path,
 fit no rule and are judged as that host.  Null html has no links.  Repeated
 rows count as further pages.
 """
@@ -84,7 +85,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
     if not share.take(1):
         return ranks
     senders = share.select(F.col("src").alias("host")).distinct()
-    for _ in range(ROUNDS):
+    for step in range(ROUNDS):
         lost = ranks.join(senders, "host", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         inflow = share.join(ranks, share.src == ranks.host).groupBy("dst").agg(F.sum(F.col("part") * F.col("score")).alias("got"))
         after = (
@@ -92,7 +93,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
             .crossJoin(F.broadcast(lost))
             .select("host", ((1 - DAMPING + DAMPING * F.col("lost")) * F.col("seed") + DAMPING * F.coalesce("got", F.lit(0.0))).alias("score"))
         )
-        ranks = scratch.cut(after, "ranks")
+        before, ranks = ranks, scratch.cut(after, "ranks")
+        if step:
+            scratch.drop(before)
     return ranks
 
 
