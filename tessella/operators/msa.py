@@ -40,9 +40,10 @@ def trimmed(table: DataFrame) -> DataFrame:
     """Cells with ``used``: false before a sequence's first and after its last residue, the query exempt."""
     own = Window.partitionBy("msa_id", "seq_id")
     residue = F.when(A.is_residue(F.col("code")), F.col("pos"))
-    query = F.col("seq_id") == F.min("seq_id").over(Window.partitionBy("msa_id"))
     inside = F.coalesce(F.col("pos").between(F.min(residue).over(own), F.max(residue).over(own)), F.lit(False))
-    return table.withColumn("used", query | inside)
+    queries = table.groupBy("msa_id").agg(F.min("seq_id").alias("_query"))
+    marked = table.join(queries, "msa_id").withColumn("used", (F.col("seq_id") == F.col("_query")) | inside)
+    return marked.select(*table.columns, "used")
 
 
 def column_counts(table: DataFrame) -> DataFrame:

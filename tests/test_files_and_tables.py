@@ -1,5 +1,7 @@
 """Readers and writers, stores, generators, segments and streams on small tables."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +164,50 @@ def test_clusters_and_selection(spark):
     assert {r.seq_id for r in clusters.select_sequences(cells, 0.9).where("selected").collect()} == {1, 2}
 
 
+def brute_clusters(texts, threshold):
+    """Clusters of sequences without gaps by comparing all pairs."""
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sum(x == y for x, y in zip(texts[i], texts[j], strict=True)) >= threshold * len(texts[i]):
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return label
+
+
+def test_clusters_of_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("ARND"))
+    roots = rng.integers(0, 4, (12, 20))
+    texts = ["".join(letters[np.where(rng.random(20) < 0.12, rng.integers(0, 4, 20), roots[i % 12])]) for i in range(150)]
+    rows = spark.createDataFrame([("m", i, t) for i, t in enumerate(texts)] + [("one", 7, "ARND")], "msa_id string, seq_id long, seq string")
+    cells = msa.cells(rows)
+    linked = clusters.single_linkage(cells, 0.8, block=16)
+    got = {(r.msa_id, r.seq_id): (r["cluster"], r["size"]) for r in linked.collect()}
+    wanted = brute_clusters(texts, 0.8)
+    assert got == {("m", i): (c, wanted.count(c)) for i, c in enumerate(wanted)} | {("one", 7): (7, 1)}
+    assert 1 < len(set(wanted)) < 150
+    counts = {}
+    for column in zip(*texts, strict=True):
+        for i, j in itertools.combinations(range(150), 2):
+            if wanted[i] != wanted[j]:
+                a, b = sorted("ARND".index(column[k]) for k in (i, j))
+                counts[a, b] = counts.get((a, b), 0) + 1 / wanted.count(wanted[i]) / wanted.count(wanted[j])
+    table = clusters.between_cluster_counts(cells, linked)
+    assert {(r.a, r.b): r.n for r in clusters.pair_counts(table).collect()} == pytest.approx(counts)
+    assert clusters.single_linkage(cells.where("false"), 0.8).collect() == []
+    assert clusters.between_cluster_counts(cells.where("false"), linked).collect() == []
+
+
+def test_clusters_of_a_large_alignment(spark):
+    """5,000 rows of one alignment: 25 blocks, and no array over all pairs."""
+    rng = np.random.default_rng(6)
+    roots = rng.integers(0, 20, (50, 30))
+    texts = ["".join("ARNDCQEGHILKMFPSTWYV"[c] for c in roots[i % 50]) for i in range(5000)]
+    cells = msa.cells(spark.createDataFrame([("m", i, t) for i, t in enumerate(texts)], "msa_id string, seq_id long, seq string"))
+    got = {r.seq_id: (r["cluster"], r["size"]) for r in clusters.single_linkage(cells, 0.9).collect()}
+    assert got == {i: (i % 50, 100) for i in range(5000)}
+
+
 def test_store(spark, tmp_path):
     store = database.ProfileStore(spark, f"file://{tmp_path}/db")
     profiles = spark.createDataFrame([("a", 3.2, 2), ("b", 9.0, 300)], "profile_id string, effective double, length long")
