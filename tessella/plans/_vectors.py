@@ -418,9 +418,7 @@ def local_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query profiles aligned with all profiles, paths by highest accuracy."""
     rows = F.array_sort(F.collect_list(F.struct("pos", "x")))
     p = positions(spark, sf_dir).where("x is not null").groupBy("profile_id").agg(F.transform(rows, lambda r: r["x"]).alias("v"))
-    q = p.where(F.col("profile_id") % EVERY == 0).select(F.col("profile_id").alias("query_id"), F.col("v").alias("q"))
-    pairs = q.crossJoin(p.select(F.col("profile_id").alias("subject_id"), F.col("v").alias("s")))
-    out = align.align_pairs(pairs, 10.0, 0.5, realign=True)
+    out = align.align_profiles(p.where(F.col("profile_id") % EVERY == 0), p, align.Scheme(scale=10.0, offset=0.5), realign=True).drop("space")
     return out.withColumn("score", r6("score")).withColumn("path", F.to_json("path"))
 
 

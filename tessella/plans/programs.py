@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,10 @@ from tessella.operators import align, clusters, database, generate, hdp, masking
 from tessella.sources import alignments, tables
 from tessella.sources.tables import Options
 
-#: Reference lambda and K of gapped alignments.
-LAMBDA, K = 0.561132, 0.001488
+#: Reference lambda, K, alpha and beta of gapped alignments.
+LAMBDA, K, ALPHA, BETA = 0.561132, 0.001488, 0.5, -1.0
+#: Options that a search does not take.
+UNUSED = ("PCFWEIGHT", "SUBMAT", "SCOADJ", "SUPCLT", "ADJWGT", "HSPMINSCORE", "MASKAFTER")
 
 
 def build_profile(rows: DataFrame, options: Options = Options(), lam: float = 0.3176, mask: bool = False) -> DataFrame:  # noqa: B008
@@ -54,23 +57,38 @@ def mask_low_complexity(rows: DataFrame, size: int = 12, trigger: float = 2.2, e
     return msa.sequences(masking.mask_sequences(msa.cells(rows), size, trigger, extension))
 
 
-def search_profiles(queries: DataFrame, subjects: DataFrame, options: Options = Options(), scale: float = 10.0, offset: float = 0.5) -> DataFrame:  # noqa: B008
-    """Profiles ``(profile_id, v)`` (arrays of position vectors) aligned with all of ``subjects``; hits by expectation.
-
-    A hit needs a positive score and an expectation up to ``EVAL``; each query
-    lists at most ``NOHITS``.  Errors of single profiles do not end a search:
-    profiles without vectors are left out before it.
+def search_profiles(
+    queries: DataFrame, subjects: DataFrame, options: Options = Options(), scheme: align.Scheme = align.Scheme(), lam: float = LAMBDA, k: float = K
+) -> DataFrame:  # noqa: B008
+    """Profiles ``(profile_id, v, ...)`` aligned with all of ``subjects``; hits by expectation.
+
+    Blocks of queries meet blocks of subjects.  Optional columns (see
+    ``align.PROFILE``) give a profile's own moves, background, bits and states.
+    The search space is that left by the edge-effect length.  A hit needs a
+    positive score and an expectation up to ``EVAL``; each query lists at most
+    ``NOHITS`` and has paths for the first ``NOALNS``, none where ``SHOW`` is 0.
+    Cells below ``INFCON`` bits are scaled by the scheme's ``masked`` where it is
+    below 1.  Other search options must keep their defaults.  Errors of single
+    profiles do not end a search: those with a fault (``unusable``) are left out
+    before it.
     """
-    known = F.size("v") > 0
-    q = queries.where(known).select(F.col("profile_id").alias("query_id"), F.col("v").alias("q"))
-    s = subjects.where(known).select(F.col("profile_id").alias("subject_id"), F.col("v").alias("s"))
-    total = s.agg(F.sum(F.size("s")).cast("double").alias("positions"))
-    found = align.align_pairs(q.crossJoin(s), scale, offset, realign=True, least=options.MINPP)
-    sized = found.join(q.select("query_id", F.size("q").alias("length")), "query_id").crossJoin(F.broadcast(total))
-    e = search.evalue(F.col("score"), LAMBDA, K, F.col("length") * F.col("positions"))
-    hits = sized.withColumns({"evalue": e, "bits": search.bits(F.col("score"), LAMBDA, K), "pvalue": search.pvalue(e)})
-    kept = hits.where((F.col("evalue") <= options.EVAL) & (F.col("score") > 0)).drop("length", "positions")
-    return database.ranked(kept, ["query_id"], [F.asc("evalue"), F.asc("subject_id")], options.NOHITS)
+    changed = [name for name in UNUSED if getattr(options, name) != getattr(Options, name)]
+    if changed:
+        raise ValueError(f"options without effect on a search: {', '.join(changed)}")
+    q, s = (t.where(align.fault(t).isNull()) for t in (queries, subjects))
+    whole = s.agg(F.sum(F.size("v")).alias("positions"), F.count("*").alias("profiles")).first()
+    known = align.Significance(lam, k, ALPHA, BETA, whole.positions or 0, whole.profiles, options.EVAL)
+    scheme = replace(scheme, least_info=options.INFCON) if scheme.masked < 1 and not scheme.least_info else scheme
+    found = align.align_profiles(q, s, scheme, realign=True, least=options.MINPP, significance=known)
+    e = search.evalue(F.col("score"), lam, k, F.col("space"))
+    hits = found.withColumns({"evalue": e, "bits": search.bits(F.col("score"), lam, k), "pvalue": search.pvalue(e)}).drop("space")
+    listed = database.ranked(hits, ["query_id"], [F.asc("evalue"), F.asc("subject_id")], options.NOHITS)
+    return listed.withColumn("path", F.when((F.col("rank") <= options.NOALNS) & F.lit(options.SHOW == 1), F.col("path")))
+
+
+def unusable(profiles: DataFrame) -> DataFrame:
+    """``(profile_id, reason)`` of profiles that a search leaves out."""
+    return profiles.select("profile_id", align.fault(profiles).alias("reason")).where("reason is not null")
 
 
 def scale_scores(vectors: DataFrame, wanted: float, offset: float) -> dict[str, float]:

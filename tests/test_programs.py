@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import extents, masking, msa, scaler, search
+from tessella.operators import align, extents, masking, msa, scaler, search
 from tessella.plans import programs
+from tessella.sources import tables
 from tessella.sources.tables import Options
 
 ROWS = [("m", 1, "ARNDCQEGHILK"), ("m", 2, "ARNDCQEGHILV"), ("m", 3, "AANDCWWW----"), ("m", 4, "----VVVVWWWW"), ("k", 7, "ARND"), ("k", 9, "ARNE")]
@@ -68,11 +69,63 @@ def test_search(spark):
     profiles = [(k, (base if k == 3 else rng.normal(0, 1, (30, 8))).tolist()) for k in range(6)] + [(9, [])]
     table = spark.createDataFrame(profiles, "profile_id long, v array<array<double>>")
     query = spark.createDataFrame([(100, base[5:25].tolist())], "profile_id long, v array<array<double>>")
-    hits = programs.search_profiles(query, table, scale=1.0, offset=2.0).collect()
+    hits = programs.search_profiles(query, table, scheme=align.Scheme(scale=1.0, offset=2.0)).collect()
     assert hits[0].subject_id == 3 and hits[0]["rank"] == 1 and hits[0].n_matched == 20 and (hits[0].s_beg, hits[0].s_end) == (6, 25)
     assert all(a.evalue <= b.evalue for a, b in zip(hits, hits[1:]))
 
 
+def test_search_with_own_moves_states_and_masks(spark, monkeypatch):
+    """Every pair against the kernel on matrices written out cell by cell; two profiles a block."""
+    whole = align.packed
+    monkeypatch.setattr(align, "packed", lambda t: whole(t, 30))
+    rng = np.random.default_rng(4)
+    table = ((0.5, -0.2, -0.4), (-0.2, 0.7, -0.6), (-0.4, -0.6, 0.9))
+    made = []
+    for k in range(7):
+        n = 10 + k
+        moves = np.log(rng.dirichlet(np.ones(9), n + 1)) if k % 2 else None
+        made.append({"profile_id": k, "v": rng.dirichlet(np.ones(5) * 0.3, n), "moves": moves, "bg": rng.dirichlet(np.ones(5) * 9), "info": rng.random(n), "states": rng.dirichlet(np.ones(3), n)})
+    rows = [{c: x.tolist() if isinstance(x, np.ndarray) else x for c, x in p.items()} for p in made]
+    schema = "profile_id long, " + ", ".join(f"{c} {t}" for c, t in align.PROFILE.items())
+    good = spark.createDataFrame(rows, schema).repartition(2)
+    ragged = spark.createDataFrame(
+        [(90, [[0.1] * 5, [0.1]], None), (91, None, None), (92, [], None), (93, [[0.2] * 5], [[0.0] * 9]), (94, [[0.2, None, 0.2, 0.2, 0.2]], None)],
+        "profile_id long, v array<array<double>>, moves array<array<double>>",
+    )
+    profiles = good.unionByName(ragged, allowMissingColumns=True)
+    assert {(r.profile_id, r.reason) for r in programs.unusable(profiles).collect()} == {
+        (90, "uneven vectors"), (91, "no positions"), (92, "no positions"), (93, "moves do not fit"), (94, "uneven vectors")
+    }
+    scheme = align.Scheme("log_sum", offset=0.0003, state_table=table, state_weight=0.4, masked=0.25)
+    options = tables.Options(EVAL=1e9, INFCON=0.3, NOALNS=2)
+    hits = programs.search_profiles(profiles.where("profile_id % 3 = 0 or profile_id > 89"), profiles, options, scheme, lam=0.5, k=0.1).collect()
+    wanted = {}
+    for q in made[::3]:
+        for s in made:
+            cells = np.zeros((len(q["v"]), len(s["v"])))
+            for i, j in np.ndindex(cells.shape):
+                bg = (q["bg"] + s["bg"]) / 2
+                x = math.log(sum(q["v"][i][c] * s["v"][j][c] / bg[c] for c in range(5))) - 0.0003
+                a, b = q["states"][i], s["states"][j]
+                bonus = (a[2] + 0.1) * (b[2] + 0.1) / 9
+                x += 0.4 * (sum(a[u] * b[w] * table[u][w] for u in range(3) for w in range(3)) + bonus - 0.05)
+                cells[i, j] = x * (0.25 if min(q["info"][i], s["info"][j]) < 0.3 else 1)
+            tq, ts = (align.default_moves(len(p["v"])) if p["moves"] is None else p["moves"] for p in (q, s))
+            if (score := align.local(cells, tq, ts).score) > 0:
+                wanted[q["profile_id"], s["profile_id"]] = score
+    assert {(r.query_id, r.subject_id): r.score for r in hits} == pytest.approx(wanted)
+    total = sum(len(p["v"]) for p in made)
+    for r in hits:
+        n = len(made[r.query_id]["v"])
+        cut = search.length_adjustment(0.5, 0.1, 0.5, -1.0, n, total, 7)
+        assert r.evalue == pytest.approx(0.1 * (n - cut) * (total - 7 * cut) * math.exp(-0.5 * r.score))
+        assert (r.path is None) == (r["rank"] > 2)
+    assert programs.search_profiles(profiles.where("false"), profiles, options, scheme).collect() == []
+    assert programs.search_profiles(profiles, profiles.where("false"), options, scheme).collect() == []
+    with pytest.raises(ValueError, match="HSPMINSCORE"):
+        programs.search_profiles(profiles, profiles, tables.Options(HSPMINSCORE=3))
+
+
 def test_scaling(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 16)
     rng = np.random.default_rng(3)
