@@ -350,6 +350,99 @@ def split_merge(x: np.ndarray, labels: np.ndarray, prior: Prior, rng: np.random.
     return out, bool(accept)
 
 
+def _added(prior: Prior, dish: tuple, table: tuple) -> float:
+    """What a table's sums (n, total, outer) add to the log probability of a dish given by its sums."""
+    both = tuple(a + b for a, b in zip(dish, table, strict=True))
+    return log_marginal(prior, posterior(prior, *both)) - log_marginal(prior, posterior(prior, *dish))
+
+
+def _sided(tables: DataFrame, prior: Prior, ends: tuple[int, int], sides: tuple[tuple, tuple], seed: int | None, forced: bool) -> DataFrame:
+    """``tables`` with ``side`` (true: the first end's) and ``log_q``, the log probability of that side.
+
+    Without ``seed`` a table takes its likelier side, with it one drawn by a hash
+    of the table; ``forced`` keeps ``was``.  Both ends stay where they are.
+    """
+    names = ["k", "was", "n", "total", "outer", "side", "log_q"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            side, log_q = [], []
+            for row in frame.itertuples():
+                if row.k in ends:
+                    side.append(row.k == ends[0])
+                    log_q.append(0.0)
+                    continue
+                sums = (row.n, np.asarray(row.total), np.asarray(row.outer))
+                a, b = (math.log(m) + _added(prior, whole, sums) for m, whole in sides)
+                p = 1 / (1 + math.exp(min(700.0, max(-700.0, b - a))))
+                u = 0.5 if seed is None else np.random.default_rng([seed, row.k & 0xFFFFFFFFFFFFFFFF]).random()
+                side.append(bool(row.was) if forced else u < p)
+                log_q.append(math.log(max(p if side[-1] else 1 - p, 1e-300)))
+            yield frame.assign(side=side, log_q=log_q)[names]
+
+    return tables.mapInPandas(run, "k long, was boolean, n long, total array<double>, outer array<double>, side boolean, log_q double")
+
+
+def _side_sums(sided: DataFrame) -> dict[bool, tuple[int, tuple, float]]:
+    """For both sides the number of tables, the sums (n, total, outer), and the sum of ``log_q``; two rows reach the driver."""
+    schema = "side boolean, m long, n long, total array<double>, outer array<double>, log_q double"
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        sums = {c: [np.sum(frame[c].tolist(), axis=0)] for c in ("total", "outer")}
+        return pd.DataFrame({"side": [frame["side"].iloc[0]], "m": [frame["m"].sum()], "n": [frame["n"].sum()], **sums, "log_q": [frame["log_q"].sum()]})
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, part in frame.assign(m=1).groupby("side"):
+                yield added(part)
+
+    rows = sided.mapInPandas(partial, schema).groupBy("side").applyInPandas(added, schema).collect()
+    return {r.side: (r.m, (r.n, np.array(r.total), np.array(r.outer)), r.log_q) for r in rows}
+
+
+def split_merge_tables(vectors: DataFrame, prior: Prior, seed: int, cut: Callable[[DataFrame, str], DataFrame], launches: int = 2) -> tuple[DataFrame, bool]:
+    """One Metropolis-Hastings proposal on whole tables, and whether it was taken: split a dish, or merge two.
+
+    Two tables are drawn.  If they share a dish, its tables are dealt to both,
+    else both dishes are joined.  Tables are dealt at the same time, each by its
+    joint density under two launch dishes; these start from the two drawn tables
+    and take every table's likelier side ``launches`` times, so they depend on
+    the drawn tables and the tables at hand, not on the present sides, and a
+    merge is weighed by the chance that a split deals the present sides.  Only
+    sums of tables are formed; the driver sees two rows of sums.
+    """
+    key = F.xxhash64("group_id", "table_id")
+    keyed = vectors.where("x is not null").withColumn("k", key)
+    drawn = keyed.select("k", "dish_id").distinct().orderBy(F.xxhash64("k", F.lit(seed)), "k").limit(2).collect()
+    if len(drawn) < 2:
+        return vectors, False
+    (one, dish), (two, other) = ((r.k, r.dish_id) for r in drawn)
+    same = dish == other
+    parts = [moments(keyed.where(F.col("dish_id") == d), "k").withColumn("was", F.lit(d == dish)) for d in {dish, other}]
+    tables = parts[0] if same else parts[0].unionByName(parts[1])
+    tables = cut(tables.select("k", "was", "n", "total", "outer"), "tables")
+    begun = {r.k: (1, (r.n, np.array(r.total), np.array(r.outer))) for r in tables.where(F.col("k").isin(one, two)).collect()}
+    sides = begun[one], begun[two]
+    for _ in range(launches):
+        found = _side_sums(_sided(tables, prior, (one, two), sides, None, False))
+        sides = found[True][:2], found[False][:2]
+    dealt = cut(_sided(tables, prior, (one, two), sides, seed, not same), "dealt")
+    (m, a, q), (l, b, r) = (lambda f: (f[True], f[False]))(_side_sums(dealt))
+    whole = tuple(x + y for x, y in zip(a, b, strict=True))
+    left, right, both = (log_marginal(prior, posterior(prior, *t)) for t in (a, b, whole))
+    ratio = math.log(prior.gamma) + math.lgamma(m) + math.lgamma(l) - math.lgamma(m + l) + left + right - both
+    rng = np.random.default_rng([seed, 1])
+    taken = math.log(rng.random()) < (ratio - q - r if same else q + r - ratio)
+    if not taken:
+        return vectors, False
+    if same:
+        moved = keyed.join(dealt.select("k", "side"), "k", "left")
+        new = F.when(F.col("side"), F.lit(int(rng.integers(1 << 62)))).otherwise(F.col("dish_id"))
+    else:
+        moved, new = keyed, F.when(F.col("dish_id") == dish, F.lit(other)).otherwise(F.col("dish_id"))
+    return cut(moved.withColumn("dish_id", new).select(*vectors.columns), "state"), True
+
+
 def slice_sample(log_f: Callable[[float], float], x0: float, width: float, rng: np.random.Generator, low: float = 0.0, steps: int = 50) -> float:
     """One draw by stepping out and shrinking, for a density known up to a factor on (low, infinity)."""
     level = log_f(x0) + math.log(rng.random())
@@ -370,28 +463,50 @@ def slice_sample(log_f: Callable[[float], float], x0: float, width: float, rng:
         left, right = (x, right) if x < x0 else (left, x)
 
 
-def log_concentration(alpha: float, draws: list[int], kinds: int, shape: float = 1.0, rate: float = 1.0) -> float:
-    """Log posterior of a concentration given sizes of restaurants and the number of tables (gamma prior)."""
-    return (shape - 1 + kinds) * math.log(alpha) - rate * alpha + sum(math.lgamma(alpha) - math.lgamma(alpha + n) for n in draws)
+def log_concentration(alpha: float, draws: list[int], kinds: int, shape: float = 1.0, rate: float = 1.0, times: list[int] | None = None) -> float:
+    """Log posterior of a concentration given sizes of restaurants and the number of tables (gamma prior).
+
+    ``times`` says how many restaurants have each size; one by default.
+    """
+    known = sum(t * (math.lgamma(alpha) - math.lgamma(alpha + n)) for n, t in zip(draws, times or [1] * len(draws), strict=True))
+    return (shape - 1 + kinds) * math.log(alpha) - rate * alpha + known
 
 
 def fit(
-    vectors: DataFrame, prior: Prior, scans: int, seed: int, cut: Callable[[DataFrame, int], DataFrame], keep_best: bool = False
+    vectors: DataFrame,
+    prior: Prior,
+    scans: int,
+    seed: int,
+    cut: Callable[[DataFrame, int | str], DataFrame],
+    keep_best: bool = False,
+    proposals: int = 0,
+    scales: bool = False,
 ) -> DataFrame:
     """``scans`` rounds of vector and table scans; ``cut`` writes a state so that a round does not recompute the last.
 
-    Concentrations are drawn anew before each round.  The last state is
-    returned, or with ``keep_best`` the one with the highest log probability.
+    Concentrations are drawn anew before each round, with ``scales`` also the
+    prior's kappa and nu; ``proposals`` splits or merges of dishes are tried
+    before its scans.  The last state is returned, or with ``keep_best`` the one
+    with the highest log probability.  The driver sees the dishes, and how many
+    groups there are of each size.
     """
     rng = np.random.default_rng(seed)
     best, at = vectors, -math.inf
     for r in range(scans):
+        for t in range(proposals):
+            vectors, _ = split_merge_tables(vectors, prior, int(rng.integers(1 << 31)), lambda df, name, tag=f"{r}-{t}": cut(df, f"proposal-{tag}-{name}"))
         model = dishes(vectors, prior)
-        sizes = [x.n for x in vectors.groupBy("group_id").agg(F.count("*").alias("n")).collect()]
+        sizes = vectors.groupBy("group_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("times")).orderBy("n").collect()
+        held, times = [x.n for x in sizes], [x.times for x in sizes]
         tables = sum(d.tables for d in model.values())
-        tau = slice_sample(lambda a: log_concentration(a, sizes, tables), prior.tau, 1.0, rng)  # noqa: B023
+        tau = slice_sample(lambda a: log_concentration(a, held, tables, times=times), prior.tau, 1.0, rng)  # noqa: B023
         gamma = slice_sample(lambda a: log_concentration(a, [tables], len(model)), prior.gamma, 1.0, rng)  # noqa: B023
         prior = Prior(prior.mu, prior.scatter, prior.kappa, prior.nu, tau, gamma)
+        if scales:
+            sums = [(x.n, np.array(x.total), np.array(x.outer)) for x in moments(vectors, "dish_id").collect()]
+            for name in ("kappa", "nu"):
+                prior = sample_scale(prior, sums, name, rng)
+            model = dishes(vectors, prior)
         vectors = cut(gibbs_scan(vectors, model, prior, seed + 2 * r), 2 * r)
         vectors = cut(table_scan(vectors, dishes(vectors, prior), prior, seed + 2 * r + 1), 2 * r + 1)
         if keep_best and (now := log_probability(dishes(vectors, prior), prior)) > at:

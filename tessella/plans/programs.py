@@ -137,9 +137,11 @@ def niw_prior(vectors: DataFrame) -> hdp.Prior:
     return hdp.niw_prior(whole.n, np.array(whole.total), np.array(whole.outer))
 
 
-def hdp_fit(vectors: DataFrame, prior: hdp.Prior, scans: int, seed: int, cut: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def hdp_fit(
+    vectors: DataFrame, prior: hdp.Prior, scans: int, seed: int, cut: Callable[[DataFrame, int | str], DataFrame], proposals: int = 1, scales: bool = True
+) -> DataFrame:
     """Clusters of grouped vectors; ``cut`` writes a scan's state, from which a fit can go on."""
-    return hdp.fit(vectors, prior, scans, seed, cut)
+    return hdp.fit(vectors, prior, scans, seed, cut, proposals=proposals, scales=scales)
 
 
 def simulate_clusters(spark: SparkSession, clusters_: int, size: int, dim: int, seed: int) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import alphabet as A
@@ -285,6 +286,53 @@ def test_sampler_recovers_planted_clusters(spark, tmp_path):
     assert sum(r.n for r in seen if r.c == 1) >= 80
 
 
+def test_splits_and_merges(spark, tmp_path):
+    """One dish to start with, tables of two vectors; proposals move whole tables, with scans they find the planted clusters."""
+    planted = generate.labelled_clusters(spark, 3, 30, 2, 8, 12.0)
+    own = F.row_number().over(Window.partitionBy("cluster").orderBy("vec_id"))
+    state = planted.withColumn("table_id", F.floor(own / 2) * 3 + F.col("cluster"))
+    state = state.select("vec_id", F.lit(0).cast("long").alias("group_id"), F.col("table_id").cast("long").alias("table_id"), F.lit(7).cast("long").alias("dish_id"), "x")
+    whole = hdp.moments(state.withColumn("k", F.lit(0)), "k").first()
+    prior = hdp.Prior(np.array(whole.total) / whole.n, np.eye(2) * 2, 0.05, 4.0)
+
+    def cut(df, name):
+        path = f"{tmp_path}/{len(list(tmp_path.iterdir()))}-{name}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    split, taken = hdp.split_merge_tables(state, prior, 0, cut)
+    assert taken and split.count() == 90 and split.select("dish_id").distinct().count() == 2
+    assert split.groupBy("table_id").agg(F.count_distinct("dish_id").alias("c")).where("c > 1").count() == 0
+    # two dishes for both halves of one cluster are merged again
+    one = state.join(planted.where("cluster = 0").select("vec_id"), "vec_id")
+    side = F.avg(F.get("x", 0)).over(Window.partitionBy("table_id")) > F.avg(F.get("x", 0)).over(Window.partitionBy("group_id"))
+    torn = cut(one.withColumn("dish_id", side.cast("long")), "torn")
+    for seed in range(8):
+        torn, _ = hdp.split_merge_tables(torn, prior, seed, cut)
+    assert torn.count() == 30 and torn.select("dish_id").distinct().count() == 1
+    assert hdp.split_merge_tables(state.where("false"), prior, 1, cut)[1] is False
+    out = hdp.fit(state, prior, 4, 4, cut, proposals=2, scales=True)
+    assert hdp.menu_consistent(out)
+    seen = out.join(planted, "vec_id").groupBy("dish_id").agg(F.count_distinct("cluster").alias("c"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in seen if r.c == 1) >= 80
+
+
+def test_a_merge_is_weighed_by_the_split_it_undoes(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(40):
+        x = rng.normal(0, 2, (int(rng.integers(1, 4)), 2))
+        rows.append((k, None, len(x), x.sum(axis=0).tolist(), (x.T @ x).ravel().tolist()))
+    tables = spark.createDataFrame(rows, "k long, was boolean, n long, total array<double>, outer array<double>")
+    prior = hdp.Prior(np.zeros(2), np.eye(2), 0.1, 4.0)
+    sides = tuple((1, (r[2], np.array(r[3]), np.array(r[4]))) for r in rows[:2])
+    dealt = {r.k: r for r in hdp._sided(tables, prior, (0, 1), sides, 3, False).collect()}
+    present = tables.drop("was").join(spark.createDataFrame([(k, r.side) for k, r in dealt.items()], "k long, was boolean"), "k")
+    undone = hdp._sided(present.select(tables.columns), prior, (0, 1), sides, 5, True).collect()
+    assert {r.k: (r.side, r.log_q) for r in undone} == {k: (r.side, r.log_q) for k, r in dealt.items()}
+    assert dealt[0].side and not dealt[1].side and len({r.side for r in dealt.values()}) == 2
+
+
 def test_streams(spark, tmp_path):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
