@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _roots: list[tuple[SparkSession, str]] = []
 
 
@@ -46,11 +47,21 @@ class Scratch:
         self.written = 0
         _roots.append((spark, self.root))
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
+    def cut(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """Write ``df`` and return the written table.
+
+        ``batch_rows`` bounds the rows of an Arrow batch during this write, for
+        rows so large that the session's bound would hold too many at once.
+        """
         path = f"{self.root}/{self.written:03d}-{name}"
         self.written += 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(_BATCH_ROWS)
+        if batch_rows:
+            self.spark.conf.set(_BATCH_ROWS, batch_rows)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH_ROWS, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

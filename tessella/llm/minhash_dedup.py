@@ -46,6 +46,8 @@ from tessella.llm.components import components
 BLOCK = 1024
 #: Shingles of a block's side, 16 MB; one class with more is a side of its own size.
 BLOCK_ITEMS = 1 << 21
+#: Pairs of full sets that go to a Python worker at once.
+PAIRS_AT_ONCE = 128
 _OTHER = stream(5, 1)[0]
 MISS = 1e-6
 #: Node ids up to which the candidates' list is broadcast: 8 bytes each, 16 MB at most.
@@ -287,7 +289,9 @@ def _labelled(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame,
     pairs = members.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
     side = lambda key, item: sets.select(F.col("node").alias(key), F.col("items").alias(item))
     stars = scratch.cut(
-        pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").mapInArrow(_confirm(plan.percent), "u long, v long").hint("rebalance"), "links"
+        pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").mapInArrow(_confirm(plan.percent), "u long, v long").hint("rebalance"),
+        "links",
+        PAIRS_AT_ONCE,
     )
     first = components(stars, scratch)
 
