@@ -170,3 +170,57 @@ def rollup_sql() -> str:
     return """
 SELECT source, lang, 'words_2' AS tokenizer_version, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens
 FROM (SELECT source, lang, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n FROM documents) WHERE n >= 5 GROUP BY ALL"""
+
+
+def trie_sql() -> str:
+    """Nodes by the texts of their whole prefixes, subtrees by joining every node with all its ancestors; CRC-32 bit by bit."""
+    return f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+        flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+u AS (SELECT h.conv_id, 0 AS own, t.i, role, text FROM h JOIN t ON t.conv_id = h.base AND t.i <= h.h
+      UNION ALL SELECT h.conv_id, 1, t.i, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND t.i > h.h),
+r AS (SELECT conv_id, row_number() OVER w AS d, text, list([role, text]) OVER w AS p FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)),
+x AS (SELECT conv_id, d, text, p FROM r UNION ALL SELECT conv_id, 0, '', [] FROM h),
+ended AS (SELECT conv_id, max(d) AS length FROM x GROUP BY conv_id),
+n AS (SELECT d AS depth, p, min(x.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '{WORD}')) AS saved,
+        sha256(coalesce(string_agg(x.conv_id::VARCHAR, ',' ORDER BY x.conv_id) FILTER (d = length), '')) AS ends_sha256
+      FROM x JOIN ended USING (conv_id) GROUP BY d, p),
+k AS (SELECT a.depth, a.p, count(b.p) AS n_children FROM n AS a LEFT JOIN n AS b ON b.depth = a.depth + 1 AND b.p[1:a.depth] = a.p GROUP BY a.depth, a.p),
+s AS (SELECT a.depth, a.p, sum((k.n_children = 0)::INT)::BIGINT AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens
+      FROM n AS a JOIN n AS b ON b.depth >= a.depth AND b.p[1:a.depth] = a.p JOIN k ON k.depth = b.depth AND k.p = b.p GROUP BY a.depth, a.p)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, k.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN k ON k.depth = n.depth AND k.p = n.p JOIN s ON s.depth = n.depth AND s.p = n.p
+  LEFT JOIN n AS up ON up.depth = n.depth - 1 AND up.p = n.p[1:n.depth - 1]"""
+
+
+def audit_sql() -> str:
+    """Each order and step counted from the failures of all documents, without states."""
+    letters = "(SELECT unnest(range(5)) AS {0})"
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+        + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+        + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)::INT AS m
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, m),
+o AS (SELECT [a, b, c, d, e] AS o FROM {letters.format('a')}, {letters.format('b')}, {letters.format('c')}, {letters.format('d')}, {letters.format('e')}
+      WHERE len(list_distinct([a, b, c, d, e])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda x: chr((65 + x)::INT)), '') AS filter_order, step::INT AS step, o[step] AS f, 1 << o[step]::INT AS bit,
+        coalesce(list_sum(list_transform(o[1:step - 1], lambda x: 1 << x::INT)), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, f,
+        coalesce(sum(n) FILTER ((m & (before | bit)) = 0), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER ((m & before) = 0 AND (m & bit) > 0), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER ((m & before) > 0 AND (m & bit) > 0), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (m = bit), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER ((m & before) = 0 AND (m & bit) > 0), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER ((m & before) = 0 AND (m & bit) > 0), 0)::BIGINT AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley
+FROM r"""

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import (
     embedding_dedup,
+    filter_audit,
+    language_id,
     lexical_packing,
     license_scan,
     minhash_dedup,
     pii_pseudonyms,
+    prefix_trie,
     quality_rules,
     secret_scan,
     source_mix,
@@ -19,7 +22,17 @@ from tessella.llm import (
     url_filter,
 )
 from tessella.llm._scratch import Scratch
-from tessella.llm.oracles import license_sql, mix_sql, near_duplicate_sql, near_vectors_sql, quality_sql, rollup_sql, url_sql
+from tessella.llm.oracles import (
+    audit_sql,
+    license_sql,
+    mix_sql,
+    near_duplicate_sql,
+    near_vectors_sql,
+    quality_sql,
+    rollup_sql,
+    trie_sql,
+    url_sql,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +104,18 @@ def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline, which is built on this subpackage and so is imported when it runs."""
     import corpus_pipeline
@@ -109,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_url_filter": op9_url_filter,
     "op10_token_rollup": op10_token_rollup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_language_id": op12_language_id,
+    "op13_filter_audit": op13_filter_audit,
     "token_rollup_words": token_rollup_words,
     "pipeline": pipeline,
 }
@@ -119,5 +147,7 @@ ORACLES: dict[str, str] = {
     "op4_embedding_dedup": near_vectors_sql(0.95),
     "op6_source_mix": mix_sql(),
     "op9_url_filter": url_sql(),
+    "op11_prefix_trie": trie_sql(),
+    "op13_filter_audit": audit_sql(),
     "token_rollup_words": rollup_sql(),
 }
