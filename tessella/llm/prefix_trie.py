@@ -188,7 +188,7 @@ def heavy_paths(rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> tuple[Da
     below = chains.where(F.col("depth") > 0).join(nodes.where(~is_root), _KEY)
     first = chains.where(F.col("depth") == 0).join(F.broadcast(nodes.where(is_root)), _KEY)  # one row
     chains = scratch.cut(below.union(first).drop("_depth", *_KEY), "chains")
-    tops = chains.where(~F.col("heavy")).groupBy("path").agg(F.max("depth").alias("top"))
+    tops = scratch.cut(chains.where(~F.col("heavy")).groupBy("path").agg(F.max("depth").alias("top")), "tops")  # so that Spark can split the join
     chains = chains.join(tops, "path").where("depth >= top - 1")
     above = chains.select("path", (F.col("depth") + 1).alias("depth"), F.col("conv_id").alias("parent_conv_id"))
     paths = scratch.cut(chains.where("depth >= top").join(above, ["path", "depth"], "left"), "paths")
