@@ -4,33 +4,42 @@ Base spans come from three patterns.  The lexer then reads the assignments of
 source and configuration syntax:
 
 * ``name = value``, ``name: value``, ``"name": value``, ``name := value``,
-  ``name => value``, ``name: type = value``;
+  ``name => value``, ``name: type = value``, ``name ?= value``, ``name ??= value``,
+  ``name ||= value``, and a quoted value on the line after;
+* ``name += value``, which adds to what the name held before;
 * ``name: |`` and ``name: >`` with the indented block below;
+* ``#define name value``, ``setenv name value``, ``--name value``;
 * ``<name>value</name>``, elements with attributes such as ``key="name"
   value="value"``, and calls such as ``set("name", "value")``.
 
 A value is a sum (``+``, or strings that stand side by side) of literals and
-names.  When all assignments are known, names are replaced by what they were
-assigned last before, else first after, until only literals are left; a name
-that leads back to itself ends there.  Every literal that so reaches a name is
-scored by how sensitive the name is and how random the whole value looks.  What
-is in comments counts like the rest.
+names; a string with names in braces is the sum of its parts.  When all
+assignments are known, a name stands for what it was assigned last before, else
+first after.  Assignments and these uses are a graph: assignments that lead back
+to each other count as one value, and with these drawn together each is looked
+at once, so a text costs time in proportion to its length.  What a value is
+worth is summed up from its parts: how often it holds each character (those
+outside ASCII by their low seven bits), its first characters, and whether all
+its words are letters.  Every literal that so reaches a name is scored by how
+sensitive the name is and how random the whole value looks.  What is in
+comments counts like the rest.
 
 Positions are code points, ends exclusive.  A null text counts as empty;
 repeated rows give repeated results; whole texts are read, whatever their
-length.  A prefilter passes over texts that hold none of the needed strings.
+length.  A prefilter passes over texts without any sensitive word, in which letters
+may have signs and white space between them as in names; that loses nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -60,15 +69,23 @@ ABOUT = frozenset(
 TYPES = frozenset("string str text char varchar bytes byte int integer long short float double bool boolean number any object optional void".split())
 LEAST_SCORE = 4.0
 LEAST_LENGTH = 6
+#: First characters that tell a placeholder, all of which are shorter.
+HEAD = 24
 
-_GAP = r"[^A-Za-z0-9\s]*"
-#: Every name with a score holds a sensitive word, with nothing but signs (two parts may be joined) between its letters.
+_GAP = r"[^A-Za-z0-9]*"
+#: Every name with a score holds a sensitive word, with nothing but signs and white space (two parts may be joined) between its letters.
 _WORDS = "|".join(_GAP.join(f"[{c}{c.upper()}]" for c in w) for w in SENSITIVE)
 #: What a text must hold for the lexer or a base pattern to find anything; ``assign`` names are sensitive words themselves.
 MAYBE = rf"{_WORDS}|AKIA|[0-9a-f]{{24}}"
 NAMED = re.compile(_WORDS)
 _RUN = re.compile(r"[\w$.-]+")
-_OPERATOR = re.compile(r"[\"'`\])]{0,3}[ \t]*+(:=|=>|=(?![=~])|:(?!:))[ \t]*+")
+_OPERATOR = re.compile(r"[\"'`\])]{0,3}[ \t]*+(:=|=>|(?:\+|\?\??|\|\|)?=(?![=~])|:(?!:))[ \t]*+")
+_COMMAND = re.compile(r"(?<![^\s])(?:#[ \t]*+define[ \t]++|setenv[ \t]++|--)([A-Za-z][\w-]*+)[ \t]++(?![-=:])(?=\S)")
+_NEXT_LINE = re.compile(r"\\?\n[ \t]*+(?=[\"'])")
+_KEY_AFTER = re.compile(r"[ \t]*+:")
+_BRACES = re.compile(r"\$?\{([^{}]*)\}")
+_DOLLAR_BRACES = re.compile(r"\$\{([^{}]*)\}")
+_NAME = re.compile(r"[A-Za-z_]\w*(?:\.\w+)*")
 _TYPED = re.compile(r"[A-Za-z_][\w.]*+(?:<[^<>=\n]*>|\[[^\[\]=\n]*\])?[?!]?[ \t]*+=(?![=>])[ \t]*+")
 _BLOCK = re.compile(r"[|>][+-]?[0-9]?[ \t]*+\n")
 _STRING = re.compile(
@@ -87,12 +104,13 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 @dataclass(frozen=True)
 class Operand:
-    """A literal's text and place; one that is not quoted may be a name instead."""
+    """A literal's text and place; one that is not quoted may be a name instead, and must be one where ``only_name``."""
 
     text: str
     start: int
     end: int
     quoted: bool
+    only_name: bool = False
 
 
 @dataclass(frozen=True)
@@ -117,20 +135,52 @@ def name_score(name: str) -> float:
     return max((SENSITIVE.get(x, 0.0) for x in parts + [a + b for a, b in zip(parts, parts[1:], strict=False)]), default=0.0)
 
 
-def literal_score(value: str, quoted: bool = True, phrase: bool = False) -> float:
-    """0 for placeholders, types, prose (unless a ``phrase`` is wanted) and short values; else bits of entropy and a bonus for mixed kinds.
+@dataclass(frozen=True)
+class Worth:
+    """What the score of a value needs to know of it; sums of two are of the values one after the other."""
+
+    chars: np.ndarray
+    size: int
+    head: str
+    blank: bool
+    prose: bool
+    digits: bool
+    letters: bool
+    quoted: bool
 
-    Numbers, and words that stand without quotes, lose a point.
-    """
-    if len(value) < LEAST_LENGTH or value.lower() in PLACEHOLDERS | TYPES or value[0] in "$<{%" or len(set(value)) < 4:
-        return 0.0
-    parts = value.split()
-    if len(parts) > 1 and not phrase and all(w.strip(".,;:!?'()").isalpha() for w in parts):
-        return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    plain = value.isdigit() or not quoted and value.isalpha()
-    return max(0.0, entropy / 2 + 0.5 * (kinds > 1) - plain)
+    @staticmethod
+    def of(text: str, quoted: bool) -> Worth:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.bincount(np.where(points < 128, points, 128 + points % 128), minlength=256).astype(float)
+        words = text.split()
+        prose = all(w.strip(".,;:!?'()").isalpha() for w in words)
+        return Worth(chars, len(text), text[:HEAD], len(words) > 1, prose, text.isdigit(), text.isalpha(), quoted)
+
+    def __add__(self, other: Worth) -> Worth:
+        chars = self.chars + other.chars
+        if chars.sum() > 1e12:  # only shares are asked for
+            chars = chars / 1e6
+        both = (self.head + other.head)[:HEAD] if len(self.head) < HEAD else self.head
+        size = min(self.size + other.size, 1 << 40)
+        return Worth(chars, size, both, self.blank or other.blank, self.prose and other.prose, self.digits and other.digits, self.letters and other.letters, self.quoted or other.quoted)
+
+    def score(self, phrase: bool = False) -> float:
+        """0 for placeholders, types, prose (unless a ``phrase`` is wanted) and short values; else bits of entropy and a bonus for mixed kinds.
+
+        Numbers, and words that stand without quotes, lose a point.
+        """
+        word = self.head.lower() if self.size < HEAD else ""
+        held = self.chars[self.chars > 0]
+        if self.size < LEAST_LENGTH or word in PLACEHOLDERS | TYPES or self.head[0] in "$<{%" or len(held) < 4:
+            return 0.0
+        if self.blank and not phrase and self.prose:
+            return 0.0
+        share = held / held.sum()
+        entropy = -float((share * np.log2(share)).sum())
+        of_kinds = [self.chars[97:123].sum(), self.chars[65:91].sum(), self.chars[48:58].sum()]
+        kinds = sum(n > 0 for n in of_kinds) + (self.chars.sum() - sum(of_kinds) > 1e-9 * self.chars.sum())
+        plain = self.digits or not self.quoted and self.letters
+        return max(0.0, entropy / 2 + 0.5 * (kinds > 1) - plain)
 
 
 def _string(text: str, at: int) -> tuple[Operand | None, int]:
@@ -141,24 +191,54 @@ def _string(text: str, at: int) -> tuple[Operand | None, int]:
     return Operand(m[m.lastgroup], m.start(m.lastgroup), m.end(m.lastgroup), True), m.end()
 
 
+def _parts(text: str, found: Operand, begin: int) -> list[Operand]:
+    """A string as it stands, or the parts between the names in braces where its prefix or quotes say that it has such."""
+    opening = text[begin : found.start]
+    braces = _BRACES if opening[:1] in ("f", "F", "$") or opening[1:2] in ("f", "F", "$") else _DOLLAR_BRACES if opening.endswith("`") else None
+    holes = list(braces.finditer(text, found.start, found.end)) if braces else []
+    if not holes:
+        return [found]
+    out, at = [], found.start
+    for hole in holes:
+        out.append(Operand(text[at : hole.start()], at, hole.start(), True))
+        inner = hole[1].strip()
+        if _NAME.fullmatch(inner):
+            out.append(Operand(inner, hole.start(1), hole.end(1), False, True))
+        at = hole.end()
+    out.append(Operand(text[at : found.end], at, found.end, True))
+    return [x for x in out if x.text]
+
+
 def _operands(text: str, at: int) -> tuple[Operand, ...]:
     """The sum that begins at a place; calls and look-ups are no literals and end it."""
     out: list[Operand] = []
     while True:
+        begin = at
         found, end = _string(text, at)
-        if not found:
+        if found:
+            out += _parts(text, found, begin)
+        else:
             m = _BARE.match(text, at)
             if not m or text[m.end() : m.end() + 1] in ("(", "["):
                 break
-            found, end = Operand(m[0], m.start(), m.end(), False), m.end()
-        out.append(found)
-        follows = _PLUS.match(text, end) or (found.quoted and _BESIDE.match(text, end))
+            end = m.end()
+            out.append(Operand(m[0], m.start(), end, False))
+        follows = _PLUS.match(text, end) or (found and _BESIDE.match(text, end))
         if not follows:
             break
         at = follows.end()
     return tuple(out)
 
 
+def _on_next_line(text: str, at: int) -> tuple[Operand, ...]:
+    """The quoted value on the line after a place at which a line ends, unless it is a key itself."""
+    follows = _NEXT_LINE.match(text, at)
+    if not follows:
+        return ()
+    _, end = _string(text, follows.end())
+    return () if _KEY_AFTER.match(text, end) else _operands(text, follows.end())
+
+
 def _block(text: str, name_at: int, at: int) -> tuple[Operand, ...]:
     """The lines from ``at`` on that are indented further than the name's line, as one literal."""
     line = text.rfind("\n", 0, name_at) + 1
@@ -194,7 +274,10 @@ def assignments(text: str) -> list[Assignment]:
                 continue
             typed = _TYPED.match(text, at)
             at = typed.end() if typed else at
-        out.append(Assignment(m.start(), name, _operands(text, at)))
+        value = _operands(text, at) or _on_next_line(text, at)
+        before = (Operand(name, m.start(), m.end(), False, True),) if op[1] == "+=" else ()
+        out.append(Assignment(m.start(), name, before + value))
+    out += [Assignment(m.start(1), m[1], _operands(text, m.end())) for m in _COMMAND.finditer(text)]
     if "</" in text:
         out += [Assignment(m.start(), m["name"], (Operand(m["value"], m.start("value"), m.end("value"), True),)) for m in _TAG.finditer(text)]
     for e in _ELEMENT.finditer(text) if "<" in text else ():
@@ -213,49 +296,120 @@ def _plain(name: str) -> str:
     return name.removeprefix("this.").removeprefix("self.")
 
 
-def _held(name: str, one: Assignment, known: dict[str, list[Assignment]]) -> Assignment | None:
-    """What a name holds where ``one`` uses it: its last assignment before, else its first after."""
-    at = [a.at for a in known[name]]
-    before, after = bisect_left(at, one.at), bisect_right(at, one.at)
-    return known[name][before - 1] if before else known[name][after] if after < len(at) else None
-
-
-def resolved(one: Assignment, known: dict[str, list[Assignment]]) -> list[Operand]:
-    """The literals that a value consists of, in order, each once, after names are replaced by what they hold."""
-    out: list[Operand] = []
-    seen = {id(one)}
-    todo = [(one, x) for x in reversed(one.value)]
-    while todo:
-        user, x = todo.pop()
-        names = [] if x.quoted else [[_plain(x.text)], [_plain(n) for n in x.text.split("+") if n]]
-        names = next((n for n in names if n and all(k in known for k in n)), None)
-        if names is None:
-            out.append(x)
-            continue
-        for name in reversed(names):
-            held = _held(name, user, known)
-            if held is not None and id(held) not in seen:
-                seen.add(id(held))
-                todo += [(held, y) for y in reversed(held.value)]
-    return out
+class Uses:
+    """The assignments of a text as a graph: each value's literals, and the assignments whose values it uses."""
+
+    def __init__(self, found: list[Assignment]) -> None:
+        self.found = found
+        self.of_name: dict[str, list[int]] = {}
+        for i, one in enumerate(found):
+            self.of_name.setdefault(_plain(one.name), []).append(i)
+        self.places = {name: [found[i].at for i in own] for name, own in self.of_name.items()}
+        self.values: dict[int, list[Operand | int]] = {}
+
+    def held(self, name: str, at: int) -> int | None:
+        """Which assignment a name stands for at a place: its last before, else its first after."""
+        own, places = self.of_name[name], self.places[name]
+        before, after = bisect_left(places, at), bisect_right(places, at)
+        return own[before - 1] if before else own[after] if after < len(own) else None
+
+    def value(self, i: int) -> list[Operand | int]:
+        """Literals and used assignments of one value, in order."""
+        if i not in self.values:
+            out: list[Operand | int] = []
+            for x in self.found[i].value:
+                names = [] if x.quoted else [[_plain(x.text)], [_plain(n) for n in x.text.split("+") if n]]
+                names = next((n for n in names if n and all(k in self.of_name for k in n)), None)
+                if names is not None:
+                    used = [self.held(n, self.found[i].at) for n in names]
+                    out += [j for j in used if j is not None]
+                elif not x.only_name:
+                    out.append(x)
+            self.values[i] = out
+        return self.values[i]
+
+    def groups(self, roots: list[int]) -> tuple[list[list[int]], dict[int, int]]:
+        """Assignments that lead back to each other, everything a group uses before it, and each assignment's group."""
+        order: dict[int, int] = {}
+        low: dict[int, int] = {}
+        place: dict[int, int] = {}
+        group: dict[int, int] = {}
+        out: list[list[int]] = []
+        path: list[int] = []
+        for root in roots:
+            if root in order:
+                continue
+            todo = [(root, iter([j for j in self.value(root) if isinstance(j, int)]))]
+            order[root] = low[root] = len(order)
+            place[root] = len(path)
+            path.append(root)
+            while todo:
+                i, rest = todo[-1]
+                j = next(rest, None)
+                if j is None:
+                    todo.pop()
+                    if todo:
+                        low[todo[-1][0]] = min(low[todo[-1][0]], low[i])
+                    if low[i] == order[i]:
+                        members = sorted(path[place[i] :])
+                        del path[place[i] :]
+                        group.update((k, len(out)) for k in members)
+                        out.append(members)
+                elif j not in order:
+                    order[j] = low[j] = len(order)
+                    place[j] = len(path)
+                    path.append(j)
+                    todo.append((j, iter([k for k in self.value(j) if isinstance(k, int)])))
+                elif j not in group:
+                    low[i] = min(low[i], order[j])
+        return out, group
 
 
 def named_spans(text: str) -> list[tuple[int, int, int]]:
     """Literals that reach a sensitive name."""
     found = assignments(text)
-    known: dict[str, list[Assignment]] = {}
-    for one in found:
-        known.setdefault(_plain(one.name), []).append(one)
+    names = {name: name_score(name) for name in {one.name for one in found}}
+    roots = [i for i, one in enumerate(found) if names[one.name]]
+    if not roots:
+        return []
+    uses = Uses(found)
+    groups, group = uses.groups(roots)
+    asked = Counter(group[j] for g, members in enumerate(groups) for i in members for j in uses.value(i) if isinstance(j, int) and group[j] != g)
+    at_root: dict[int, list[int]] = {}
+    for i in roots:
+        at_root.setdefault(group[i], []).append(i)
+    worth: dict[int, Worth | None] = {}
+    taken: set[int] = set()
+    for g, members in enumerate(groups):
+        total: Worth | None = None
+        for x in (x for i in members for x in uses.value(i)):
+            if isinstance(x, Operand):
+                more = Worth.of(x.text, x.quoted)
+            else:
+                below = group[x]
+                if below == g:
+                    continue
+                more = worth[below]
+                asked[below] -= 1
+                if not asked[below]:
+                    del worth[below]
+            total = more if total is None else total if more is None else total + more
+        worth[g] = total
+        for i in at_root.get(g, ()):
+            score = total.score("passphrase" in found[i].name.lower()) if total else 0.0
+            if score and names[found[i].name] + score >= LEAST_SCORE:
+                taken.add(g)
+        if not asked[g]:
+            del worth[g]
     out = set()
-    for one in found:
-        worth = name_score(one.name)
-        if not worth:
-            continue
-        pieces = resolved(one, known)
-        score = literal_score("".join(p.text for p in pieces), any(p.quoted for p in pieces), "passphrase" in one.name.lower())
-        if score and worth + score >= LEAST_SCORE:
-            out |= {(p.start, 3, p.end) for p in pieces if p.end > p.start}
-    return sorted(out)
+    for g in range(len(groups) - 1, -1, -1):  # users before what they use
+        if g in taken:
+            for x in (x for i in groups[g] for x in uses.value(i)):
+                if isinstance(x, Operand):
+                    out.add((x.start, 3, x.end))
+                else:
+                    taken.add(group[x])
+    return sorted(x for x in out if x[2] > x[0])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import shutil
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -275,10 +276,55 @@ def test_secret_names_against_a_brute_force_resolver():
         assert got == wanted, text
 
 
+def test_assignments_of_commands_updates_and_strings_with_names():
+    lit = "Zx81kkQw9TTpLm22"
+    found = {
+        f'#define DB_PASSWORD "{lit}"': [lit],
+        f"setenv API_TOKEN {lit}": [lit],
+        f'password = "Zx81kkQw"\npassword += "9TTpLm22"': ["Zx81kkQw", "9TTpLm22"],
+        f'password += "{lit}"': [lit],
+        f'password ??= "{lit}"': [lit],
+        f'password ||= "{lit}"': [lit],
+        f"PASSWORD ?= {lit}": [lit],
+        f"run --password {lit} -v": [lit],
+        f'{{"password":\n   "{lit}"}}': [lit],
+        f'password = \\\n  "{lit}"': [lit],
+        'secrets:\n  "other": "x1"': [],
+        f'user = "someone1"\npassword = f"{{user}}-{lit}"': ["someone1", f"-{lit}"],
+        f"password = `{lit}${{nothing}}`": [lit],
+        f'password = $"{{f(x)}}{lit}"': [lit],
+        'password = f"{user}"': [],
+        'secret = "{name} and more"': [],
+        "tool --password --verbose": [],
+    }
+    for text, wanted in found.items():
+        assert _named(text) == wanted, text
+
+
+def test_secret_time_grows_with_the_text():
+    """A megabyte of additions to one name, of uses of a long chain, and of names that lead back to each other."""
+    n = 50_000
+    texts = {
+        "token = token + x1\n" * n: 0,
+        'token += "Zx81kk"\n' * n: n,
+        "".join(f"v{i} = v{i - 1} + 'q{i}'\n" for i in range(1, n // 2)) + "".join(f"token{i} = v{i}\n" for i in range(1, n // 2)): None,
+        "".join(f"v{i} = v{(i * 7) % 1000}\ntoken = v{i} + 'Zx81kkQw9TTpLm22'\n" for i in range(n // 2)): None,
+    }
+    for text, wanted in texts.items():
+        begun = time.process_time()
+        spans = secret_scan.named_spans(text)
+        assert time.process_time() - begun < 10
+        assert wanted is None and spans or len(spans) == wanted
+
+
 def test_secret_prefilter_loses_nothing(spark):
     names = ["x-api-key", "api-key", "spring.api.key", "api__key", "Api$Key", "to_ken", "p.wd", "bear-er", "pa_ssword", "se\u00e9cret", "to\u212aken"]
     names += [w[:i] + gap + w[i:] for w in secret_scan.SENSITIVE for i in (1, len(w) // 2, len(w) - 1) for gap in ("", "_", "-", "__.")]
     cases = [f'{n}: "Qm9vbGVhbi1yYW5kb20"' for n in names] + [f"<{n}>Zx81kkQw9TTpLm22</{n}>" for n in names if "$" not in n]
+    cases += [f'<add key="{n.replace("-", " ")}" value="Zx81kkQw9TTpLm22"/>' for n in names]
+    rng = random.Random(4)
+    bits = [*secret_scan.SENSITIVE, "key", "api", "auth", "private", "x1", '"', "'", "=", ":", "<", "/>", "value=", " ", " ", "\n", "+", "{", "}", "f", "Zx81kkQw9TTpLm22", "AKIA" + "Q" * 16, "--", "name", "é"]
+    cases += ["".join(rng.choices(bits, k=25)) for _ in range(400)]
     cases += ["api-key = Zx81kkQw9TTpLm22", "the monkey = Zx81kkQw9TTpLm22", "to ken: Zx81kkQw9TTpLm22"]
     frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in secret_scan.scan(frame).collect()}
