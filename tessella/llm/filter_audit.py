@@ -62,9 +62,11 @@ def verdicts(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     )
     alone = scratch.cut(alone.select("doc_id", "part", "fails.*", "digest"), "alone")
     repeated = alone.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = scratch.cut(repeated, "repeated")  # so that Spark can split the join of a text with many copies
     judged = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic")
     )
+    judged = scratch.cut(judged, "labels")
     whole = alone.join(repeated, "digest", "left").join(judged, "doc_id", "left")
     flag = {"E": F.col("doc_id") > F.col("first_id")} | {x: F.col(x) for x in LOSSES}
     return scratch.cut(whole.select("part", *"ABCD", *(F.coalesce(f, F.lit(False)).alias(x) for x, f in flag.items())), "verdicts")
