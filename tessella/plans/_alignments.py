@@ -233,6 +233,29 @@ def position_specific_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extents.position_weights(_cells(spark, sf_dir), 4).withColumn("weight", r6("weight"))
 
 
+def _position_weights_sql(least: int, extents: bool) -> str:
+    """Each column on its own: its members, their common extent, their weights over it."""
+    bounds = "l, r" if extents else "0 AS l, n - 1 AS r"
+    return f"""
+WITH {CELLS}, rs AS (SELECT c.msa_id, c.seq_id, c.pos, c.code, state - 1 AS col FROM c JOIN m USING (msa_id, pos) WHERE c.code < 23),
+be AS (SELECT msa_id, seq_id, min(col) AS lo, max(col) AS hi FROM rs GROUP BY 1, 2), ln AS (SELECT msa_id, count(*) AS n FROM m GROUP BY 1),
+ex AS (SELECT msa_id, state - 1 AS p, n, max(lo) AS l, min(hi) AS r FROM m JOIN ln USING (msa_id) JOIN be USING (msa_id) WHERE state - 1 BETWEEN lo AND hi GROUP BY 1, 2, 3),
+e1 AS (SELECT *, least({least}, n) AS want, greatest(0, l - (greatest(0, least({least}, n) - (r - l + 1)) + 1) // 2) AS l1 FROM ex),
+e2 AS (SELECT msa_id, p, n, l1, want, least(n - 1, l1 + greatest(r - l1, want - 1)) AS r FROM e1),
+e3 AS (SELECT msa_id, p, n, greatest(0, least(l1, r - want + 1)) AS l, r FROM e2), ee AS (SELECT msa_id, p, {bounds} FROM e3),
+x AS (SELECT ee.msa_id, p, rs.col, rs.seq_id, rs.code FROM ee JOIN be ON be.msa_id = ee.msa_id AND p BETWEEN lo AND hi JOIN rs ON rs.msa_id = be.msa_id AND rs.seq_id = be.seq_id AND rs.col BETWEEN l AND r),
+k AS (SELECT msa_id, p, col, least(count(DISTINCT code), 20) AS k FROM x GROUP BY 1, 2, 3), nc AS (SELECT msa_id, p, col, code, count(*) AS n FROM x GROUP BY 1, 2, 3, 4),
+u AS (SELECT msa_id, p, seq_id, sum(1.0::DOUBLE / (n * k)) AS w FROM x JOIN k USING (msa_id, p, col) JOIN nc USING (msa_id, p, col, code) GROUP BY 1, 2, 3)
+SELECT u.msa_id, rs.pos, u.seq_id, {sql6("w / sum(w) OVER (PARTITION BY u.msa_id, u.p)")} AS weight, a.pos AS first, b.pos AS last
+FROM u JOIN rs ON rs.msa_id = u.msa_id AND rs.seq_id = u.seq_id AND rs.col = u.p JOIN ee ON ee.msa_id = u.msa_id AND ee.p = u.p
+JOIN m a ON a.msa_id = u.msa_id AND a.state = l + 1 JOIN m b ON b.msa_id = u.msa_id AND b.state = r + 1"""
+
+
+def unbounded_position_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``position_specific_weights``, a column's members being compared over the whole alignment."""
+    return extents.position_weights(_cells(spark, sf_dir), extents=False).withColumn("weight", r6("weight"))
+
+
 def masked_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences with low-complexity residues as X."""
     return msa.sequences(masking.mask_sequences(_cells(spark, sf_dir), 6, 1.6, 2.0))
@@ -244,7 +267,7 @@ QUERIES = {
         column_counts, gap_column_filter, terminal_gap_trim, match_states, background_probs, henikoff_weights, column_information, profile_from_msa,
         profile_probabilities, effective_sequences, transition_counts, transition_pme, identity_pairs, identity_purge, single_linkage_clusters,
         between_cluster_residue_counts, between_cluster_pair_counts, logodds_from_counts, logodds_summary, abstract_symbol_scores, fasta_roundtrip,
-        target_frequencies_fixed, position_specific_weights, masked_sequences,
+        target_frequencies_fixed, position_specific_weights, unbounded_position_weights, masked_sequences,
     )
 }
 ORACLES = {
@@ -268,5 +291,7 @@ ORACLES = {
     "logodds_summary": f"WITH RECURSIVE {CELLS}, {SCORES}, z AS (SELECT sum(CASE WHEN a = b THEN 1 ELSE 2 END * score * target) AS h, sum(CASE WHEN a = b THEN 1 ELSE 2 END * score * product) AS x FROM sc) SELECT {sql6('h')} AS entropy, {sql6('x')} AS expected, CASE WHEN h <= 0 THEN 1.0 ELSE greatest(2.0, round_even(2 / sqrt(h), 0)) END AS scale FROM z",
     "abstract_symbol_scores": ABSTRACT,
     "target_frequencies_fixed": FIXED,
+    "position_specific_weights": _position_weights_sql(4, True),
+    "unbounded_position_weights": _position_weights_sql(4, False),
     "fasta_roundtrip": f"WITH {CELLS} SELECT msa_id, seq_id, seq FROM f",
 }

@@ -44,10 +44,46 @@ def test_position_weights(spark, rows):
     assert {(r.pos, r.n) for r in sums.where("msa_id = 'm' and pos in (1, 6, 12)").collect()} == {(1, 3), (6, 4), (12, 3)}
     spans = {r.pos: (r["first"], r["last"]) for r in got.where("msa_id = 'm'").collect()}
     assert spans[1] == (1, 8) and spans[6] == (5, 8) and spans[12] == (5, 12)
-    (_, _, w) = extents.column_weights(np.array([[0, 1], [0, 1], [0, 2]]), 2)[0]
+    small = spark.createDataFrame([("s", 1, "AR"), ("s", 2, "AR"), ("s", 3, "AN")], "msa_id string, seq_id long, seq string")
+    w = [r.weight for r in extents.position_weights(msa.cells(small), 2).where("pos = 1").orderBy("seq_id").collect()]
     assert w == pytest.approx([(1 / 3 + 1 / 4) / 2, (1 / 3 + 1 / 4) / 2, (1 / 3 + 1 / 2) / 2])
 
 
+def test_position_weights_against_columns_one_by_one(spark):
+    """Ragged sequences, gaps inside, columns that the query lacks, against the definition."""
+    rng = np.random.default_rng(4)
+    rows = [("m", 0, "".join(rng.choice(list("ARND-X"), 24, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.1])))]
+    for i in range(1, 15):
+        lo, hi = sorted(rng.integers(0, 25, 2))
+        rows.append(("m", i, "".join(rng.choice(list("ARNDB-"), 24))[lo:hi].rjust(hi, "-").ljust(24, "-")))
+    for least in (1, 5, 40):
+        for bounded in (True, False):
+            frame = spark.createDataFrame(rows, "msa_id string, seq_id long, seq string")
+            got = {(r.pos, r.seq_id): (r.weight, r["first"], r["last"]) for r in extents.position_weights(msa.cells(frame), least, bounded).collect()}
+            match = [p for p, c in enumerate(rows[0][2]) if c not in "X-"]
+            seqs = ["".join(s[p] for p in match) for _, _, s in rows]
+            n, want = len(match), min(least, len(match))
+            ends = [(min(at), max(at)) if (at := [c for c, x in enumerate(s) if x != "-"]) else (n, -1) for s in seqs]
+            wanted = {}
+            for p in range(n):
+                members = [i for i, (lo, hi) in enumerate(ends) if lo <= p <= hi]
+                left, right = max(ends[i][0] for i in members), min(ends[i][1] for i in members)
+                left = max(0, left - (max(0, want - (right - left + 1)) + 1) // 2)
+                right = min(n - 1, left + max(right - left, want - 1))
+                left = max(0, min(left, right - want + 1))
+                left, right = (left, right) if bounded else (0, n - 1)
+                w = dict.fromkeys(members, 0.0)
+                for c in range(left, right + 1):
+                    column = [seqs[i][c] for i in members if seqs[i][c] != "-"]
+                    for i in members:
+                        if seqs[i][c] != "-":
+                            w[i] += 1 / (column.count(seqs[i][c]) * len(set(column)))
+                there = [i for i in members if seqs[i][p] != "-"]
+                wanted |= {(match[p] + 1, i): (w[i] / sum(w[j] for j in there), match[left] + 1, match[right] + 1) for i in there}
+            assert got.keys() == wanted.keys()
+            assert all(got[k] == pytest.approx(wanted[k]) for k in got)
+
+
 def test_masks(spark):
     low = spark.createDataFrame([("m", 1, "ARNDCQAAAAAAAAAAAAAAQEGHILK-RND")], "msa_id string, seq_id long, seq string")
     seq = programs.mask_low_complexity(low, 8, 0.5, 1.0).first().seq
