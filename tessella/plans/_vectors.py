@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import special
 from tessella.functions import vectors as V
-from tessella.operators import align, database, generate, hdp, scaler, search, statistics
+from tessella.operators import align, database, generate, hdp, scaler, search, seeds, statistics
 from tessella.plans._common import POSITIONS, VECTORS, positions, r6, sql6, table, vectors
 
 #: Reference parameters of gapped and ungapped statistics.
@@ -414,10 +414,39 @@ SELECT a.id AS query_id, b.id AS subject_id, {sql6("least(3.0, greatest(0.0, ln(
 FROM p a JOIN p b USING (label) JOIN r USING (label) WHERE a.id % {EVERY} = 0 GROUP BY 1, 2"""
 
 
+def _whole_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(profile_id, v)``: consecutive vectors as the positions of profiles."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", "x")))
+    return positions(spark, sf_dir).where("x is not null").groupBy("profile_id").agg(F.transform(rows, lambda r: r["x"]).alias("v"))
+
+
+#: Words of one code, or of two where more than so many positions share one.
+SEEDING = seeds.Seeding(shortest=1, longest=2, common=12, reach=20)
+
+
+def profile_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of profiles that share two words on a diagonal, all profiles against all."""
+    p = _whole_profiles(spark, sf_dir)
+    return seeds.candidates(p, p, SEEDING)
+
+
+SEEDS = f"""
+WITH {POSITIONS}, n AS (SELECT profile_id, x, row_number() OVER (PARTITION BY profile_id ORDER BY pos) - 1 AS i FROM p WHERE x IS NOT NULL),
+b AS (SELECT *, list_position(x, list_max(x)) - 1 AS best FROM n),
+y AS (SELECT *, list_transform(x, lambda e, k: CASE WHEN k - 1 = best THEN -1e308 ELSE e END) AS z FROM b),
+k AS (SELECT profile_id, i, best, list_position(z, list_max(z)) - 1 AS other, lead(best) OVER o AS best2, lead(list_position(z, list_max(z)) - 1) OVER o AS other2 FROM y WINDOW o AS (PARTITION BY profile_id ORDER BY i)),
+n1 AS (SELECT best, count(*) AS n FROM k GROUP BY best),
+leaf AS (SELECT profile_id, i, best::VARCHAR AS word FROM k JOIN n1 USING (best) WHERE n <= {SEEDING.common}
+  UNION ALL SELECT profile_id, i, best || '.' || best2 FROM k JOIN n1 USING (best) WHERE n > {SEEDING.common} AND best2 IS NOT NULL),
+look AS (SELECT DISTINCT profile_id, i, unnest([best::VARCHAR, other::VARCHAR, best || '.' || best2, other || '.' || best2, best || '.' || other2]) AS word FROM k),
+hit AS (SELECT DISTINCT look.profile_id AS query_id, leaf.profile_id AS subject_id, look.i - leaf.i AS d, look.i AS q FROM look JOIN leaf USING (word)),
+gap AS (SELECT *, q - lag(q) OVER (PARTITION BY query_id, subject_id, d ORDER BY q) AS g FROM hit)
+SELECT query_id, subject_id, count(DISTINCT d) AS diagonals FROM gap WHERE g <= {SEEDING.reach} GROUP BY 1, 2"""
+
+
 def local_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query profiles aligned with all profiles, paths by highest accuracy."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    p = positions(spark, sf_dir).where("x is not null").groupBy("profile_id").agg(F.transform(rows, lambda r: r["x"]).alias("v"))
+    p = _whole_profiles(spark, sf_dir)
     out = align.align_profiles(p.where(F.col("profile_id") % EVERY == 0), p, align.Scheme(scale=10.0, offset=0.5), realign=True).drop("space")
     return out.withColumn("score", r6("score")).withColumn("path", F.to_json("path"))
 
@@ -476,12 +505,13 @@ QUERIES = {
         topk_search, evalue_filter_search, score_histogram, score_histogram_rowcol, score_entropy_given_lambda, lambda_root, length_adjusted_space, hit_report,
         distinct_vectors, vector_probability_discrete, vector_probability_profile, vector_probability_multinomial, store_membership, store_missing,
         vector_lookup, context_windows, context_mix, diagonal_average, diagonal_autocorrelation, correlated_score, logit_normal, niw_moments,
-        hdp_predictive, hdp_gibbs_scan, hdp_cluster_priors, posterior_overlap_score, local_alignment, cluster_simulator, fragment_shuffle, markov_msa,
+        hdp_predictive, hdp_gibbs_scan, hdp_cluster_priors, posterior_overlap_score, profile_seeds, local_alignment, cluster_simulator, fragment_shuffle, markov_msa,
         sample_context_vectors, special_functions, pair_score_distribution,
     )
 }
 ORACLES = {
     "topk_search": TOPK,
+    "profile_seeds": SEEDS,
     "evalue_filter_search": EVALUE_FILTER,
     "score_histogram": SCORE_HISTOGRAM,
     "score_histogram_rowcol": ROWCOL,

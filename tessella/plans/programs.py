@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import align, clusters, database, generate, hdp, masking, msa, scaler, search
+from tessella.operators import align, clusters, database, generate, hdp, masking, msa, scaler, search, seeds
 from tessella.sources import alignments, tables
 from tessella.sources.tables import Options
 
@@ -58,11 +58,19 @@ def mask_low_complexity(rows: DataFrame, size: int = 12, trigger: float = 2.2, e
 
 
 def search_profiles(
-    queries: DataFrame, subjects: DataFrame, options: Options = Options(), scheme: align.Scheme = align.Scheme(), lam: float = LAMBDA, k: float = K
-) -> DataFrame:  # noqa: B008
-    """Profiles ``(profile_id, v, ...)`` aligned with all of ``subjects``; hits by expectation.
+    queries: DataFrame,
+    subjects: DataFrame,
+    options: Options = Options(),  # noqa: B008
+    scheme: align.Scheme = align.Scheme(),  # noqa: B008
+    lam: float = LAMBDA,
+    k: float = K,
+    seeding: seeds.Seeding | None = None,
+) -> DataFrame:
+    """Profiles ``(profile_id, v, ...)`` aligned with ``subjects``; hits by expectation.
 
-    Blocks of queries meet blocks of subjects.  Optional columns (see
+    Blocks of queries meet blocks of subjects: all of them, or with ``seeding``
+    only those with pairs that share words of positions (``seeds.candidates``),
+    and only these pairs are aligned.  Expectations do not depend on it.  Optional columns (see
     ``align.PROFILE``) give a profile's own moves, background, bits and states.
     The search space is that left by the edge-effect length.  A hit needs a
     positive score and an expectation up to ``EVAL``; each query lists at most
@@ -79,7 +87,8 @@ def search_profiles(
     whole = s.agg(F.sum(F.size("v")).alias("positions"), F.count("*").alias("profiles")).first()
     known = align.Significance(lam, k, ALPHA, BETA, whole.positions or 0, whole.profiles, options.EVAL)
     scheme = replace(scheme, least_info=options.INFCON) if scheme.masked < 1 and not scheme.least_info else scheme
-    found = align.align_profiles(q, s, scheme, realign=True, least=options.MINPP, significance=known)
+    pairs = None if seeding is None else seeds.candidates(q, s, seeding)
+    found = align.align_profiles(q, s, scheme, realign=True, least=options.MINPP, significance=known, candidates=pairs)
     e = search.evalue(F.col("score"), lam, k, F.col("space"))
     hits = found.withColumns({"evalue": e, "bits": search.bits(F.col("score"), lam, k), "pvalue": search.pvalue(e)}).drop("space")
     listed = database.ranked(hits, ["query_id"], [F.asc("evalue"), F.asc("subject_id")], options.NOHITS)
