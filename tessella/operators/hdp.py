@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -400,10 +400,35 @@ def _side_sums(sided: DataFrame) -> dict[bool, tuple[int, tuple, float]]:
     return {r.side: (r.m, (r.n, np.array(r.total), np.array(r.outer)), r.log_q) for r in rows}
 
 
-def split_merge_tables(vectors: DataFrame, prior: Prior, seed: int, cut: Callable[[DataFrame, str], DataFrame], launches: int = 2) -> tuple[DataFrame, bool]:
+def weighted_draw(rows: DataFrame, key: Column, weight: Column, seed: int) -> DataFrame:
+    """One row of ``rows``, drawn with chances in proportion to ``weight``: the least of exponential times with these rates.
+
+    Times come from a hash of ``key`` and ``seed``, so each partition sends its
+    least one.  Rows without a positive weight are drawn only where no row has
+    one, and then all alike.
+    """
+    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    held = F.coalesce(weight, F.lit(0.0)) > 0
+    return rows.orderBy(F.when(held, 0).otherwise(1), -F.log(u) / F.when(held, weight).otherwise(1.0), key).limit(1)
+
+
+def _distance(x: Column, to: list[float]) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(x, F.array(*map(F.lit, to)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d))
+
+
+def partner(vectors: DataFrame, first: Row, seed: int) -> DataFrame:
+    """A second vector of the dish of ``first(vec_id, dish_id, x)``, drawn by its distance from it; all alike if none differs."""
+    others = vectors.where((F.col("dish_id") == first.dish_id) & (F.col("vec_id") != first.vec_id) & F.col("x").isNotNull())
+    return weighted_draw(others, F.col("vec_id"), _distance(F.col("x"), list(first.x)), seed)
+
+
+def split_merge_tables(
+    vectors: DataFrame, prior: Prior, seed: int, cut: Callable[[DataFrame, str], DataFrame], launches: int = 2, by_distance: bool = False
+) -> tuple[DataFrame, bool]:
     """One Metropolis-Hastings proposal on whole tables, and whether it was taken: split a dish, or merge two.
 
-    Two tables are drawn.  If they share a dish, its tables are dealt to both,
+    Two tables are drawn, all alike, or with ``by_distance`` the second by the
+    distance of its mean from the first one's.  If they share a dish, its tables are dealt to both,
     else both dishes are joined.  Tables are dealt at the same time, each by its
     joint density under two launch dishes; these start from the two drawn tables
     and take every table's likelier side ``launches`` times, so they depend on
@@ -413,7 +438,13 @@ def split_merge_tables(vectors: DataFrame, prior: Prior, seed: int, cut: Callabl
     """
     key = F.xxhash64("group_id", "table_id")
     keyed = vectors.where("x is not null").withColumn("k", key)
-    drawn = keyed.select("k", "dish_id").distinct().orderBy(F.xxhash64("k", F.lit(seed)), "k").limit(2).collect()
+    if by_distance:
+        sums = cut(moments(keyed, "k").join(keyed.groupBy("k").agg(F.min("dish_id").alias("dish_id")), "k"), "means")
+        means = sums.select("k", "dish_id", F.transform("total", lambda t: t / F.col("n")).alias("x"))
+        drawn = weighted_draw(means, F.col("k"), F.lit(1.0), seed).collect()
+        drawn += weighted_draw(means.where(F.col("k") != drawn[0].k), F.col("k"), _distance(F.col("x"), drawn[0].x), seed + 1).collect() if drawn else []
+    else:
+        drawn = keyed.select("k", "dish_id").distinct().orderBy(F.xxhash64("k", F.lit(seed)), "k").limit(2).collect()
     if len(drawn) < 2:
         return vectors, False
     (one, dish), (two, other) = ((r.k, r.dish_id) for r in drawn)
@@ -472,6 +503,31 @@ def log_concentration(alpha: float, draws: list[int], kinds: int, shape: float =
     return (shape - 1 + kinds) * math.log(alpha) - rate * alpha + known
 
 
+def one_round(
+    vectors: DataFrame, prior: Prior, r: int, seed: int, cut: Callable[[DataFrame, int | str], DataFrame], proposals: int = 0, scales: bool = False, by_distance: bool = False
+) -> tuple[DataFrame, Prior]:
+    """Round ``r`` of a fit: what it draws depends on the state, ``seed`` and ``r`` alone."""
+    rng = np.random.default_rng([seed, r])
+    for t in range(proposals):
+        vectors, _ = split_merge_tables(
+            vectors, prior, int(rng.integers(1 << 31)), lambda df, name, tag=f"{r}-{t}": cut(df, f"proposal-{tag}-{name}"), by_distance=by_distance
+        )
+    model = dishes(vectors, prior)
+    sizes = vectors.groupBy("group_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("times")).orderBy("n").collect()
+    held, times = [x.n for x in sizes], [x.times for x in sizes]
+    tables = sum(d.tables for d in model.values())
+    tau = slice_sample(lambda a: log_concentration(a, held, tables, times=times), prior.tau, 1.0, rng)
+    gamma = slice_sample(lambda a: log_concentration(a, [tables], len(model)), prior.gamma, 1.0, rng)
+    prior = Prior(prior.mu, prior.scatter, prior.kappa, prior.nu, tau, gamma)
+    if scales:
+        sums = [(x.n, np.array(x.total), np.array(x.outer)) for x in moments(vectors, "dish_id").collect()]
+        for name in ("kappa", "nu"):
+            prior = sample_scale(prior, sums, name, rng)
+        model = dishes(vectors, prior)
+    vectors = cut(gibbs_scan(vectors, model, prior, seed + 2 * r), 2 * r)
+    return cut(table_scan(vectors, dishes(vectors, prior), prior, seed + 2 * r + 1), 2 * r + 1), prior
+
+
 def fit(
     vectors: DataFrame,
     prior: Prior,
@@ -488,27 +544,11 @@ def fit(
     prior's kappa and nu; ``proposals`` splits or merges of dishes are tried
     before its scans.  The last state is returned, or with ``keep_best`` the one
     with the highest log probability.  The driver sees the dishes, and how many
-    groups there are of each size.
+    groups there are of each size.  ``states.fit`` keeps states on disk.
     """
-    rng = np.random.default_rng(seed)
     best, at = vectors, -math.inf
     for r in range(scans):
-        for t in range(proposals):
-            vectors, _ = split_merge_tables(vectors, prior, int(rng.integers(1 << 31)), lambda df, name, tag=f"{r}-{t}": cut(df, f"proposal-{tag}-{name}"))
-        model = dishes(vectors, prior)
-        sizes = vectors.groupBy("group_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("times")).orderBy("n").collect()
-        held, times = [x.n for x in sizes], [x.times for x in sizes]
-        tables = sum(d.tables for d in model.values())
-        tau = slice_sample(lambda a: log_concentration(a, held, tables, times=times), prior.tau, 1.0, rng)  # noqa: B023
-        gamma = slice_sample(lambda a: log_concentration(a, [tables], len(model)), prior.gamma, 1.0, rng)  # noqa: B023
-        prior = Prior(prior.mu, prior.scatter, prior.kappa, prior.nu, tau, gamma)
-        if scales:
-            sums = [(x.n, np.array(x.total), np.array(x.outer)) for x in moments(vectors, "dish_id").collect()]
-            for name in ("kappa", "nu"):
-                prior = sample_scale(prior, sums, name, rng)
-            model = dishes(vectors, prior)
-        vectors = cut(gibbs_scan(vectors, model, prior, seed + 2 * r), 2 * r)
-        vectors = cut(table_scan(vectors, dishes(vectors, prior), prior, seed + 2 * r + 1), 2 * r + 1)
+        vectors, prior = one_round(vectors, prior, r, seed, cut, proposals, scales)
         if keep_best and (now := log_probability(dishes(vectors, prior), prior)) > at:
             best, at = vectors, now
     return best if keep_best else vectors

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import align, clusters, database, generate, hdp, masking, msa, scaler, search, seeds
+from tessella.operators import align, clusters, database, generate, hdp, masking, msa, scaler, search, seeds, states
 from tessella.sources import alignments, tables
 from tessella.sources.tables import Options
 
@@ -147,10 +146,16 @@ def niw_prior(vectors: DataFrame) -> hdp.Prior:
 
 
 def hdp_fit(
-    vectors: DataFrame, prior: hdp.Prior, scans: int, seed: int, cut: Callable[[DataFrame, int | str], DataFrame], proposals: int = 1, scales: bool = True
+    vectors: DataFrame, prior: hdp.Prior, scans: int, seed: int, root: str, proposals: int = 1, scales: bool = True, by_distance: bool = False, best: bool = False
 ) -> DataFrame:
-    """Clusters of grouped vectors; ``cut`` writes a scan's state, from which a fit can go on."""
-    return hdp.fit(vectors, prior, scans, seed, cut, proposals=proposals, scales=scales)
+    """Clusters of grouped vectors after ``scans`` rounds, the last or the best state.
+
+    States are kept under ``root``; a fit that was broken off there goes on, and one that is whole is read.
+    """
+    kept = states.States(vectors.sparkSession, root)
+    last = states.fit(vectors, prior, scans, seed, kept, proposals=proposals, scales=scales, by_distance=by_distance)
+    found = kept.best() if best else last
+    return found.vectors(vectors.sparkSession) if found else vectors
 
 
 def simulate_clusters(spark: SparkSession, clusters_: int, size: int, dim: int, seed: int) -> DataFrame:
