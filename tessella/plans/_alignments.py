@@ -147,6 +147,26 @@ def identity_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.select_sequences(_cells(spark, sf_dir), 0.9).select("msa_id", "seq_id", "selected")
 
 
+def greedy_identity_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences taken by falling identity with the query, each below 0.8 to all taken before it."""
+    return clusters.select_sequences(_cells(spark, sf_dir), 0.8, wanted=1_000_000)
+
+
+GREEDY = f"""
+WITH RECURSIVE {CELLS}, sp AS (SELECT msa_id, seq_id, min(CASE WHEN code < 23 THEN pos END) AS lo, max(CASE WHEN code < 23 THEN pos END) AS hi FROM c GROUP BY 1, 2),
+ow AS (SELECT c.msa_id, c.seq_id, c.pos, c.code FROM c JOIN m USING (msa_id, pos) JOIN first USING (msa_id) JOIN sp USING (msa_id, seq_id) WHERE c.seq_id = query OR c.pos BETWEEN lo AND hi),
+pq AS (SELECT a.msa_id, a.seq_id AS x, b.seq_id AS y, sum((a.code = b.code)::INT) / count(*)::DOUBLE AS share
+  FROM ow a JOIN ow b ON a.msa_id = b.msa_id AND a.pos = b.pos AND a.seq_id <> b.seq_id WHERE a.code < 22 AND b.code < 22 GROUP BY 1, 2, 3),
+near AS (SELECT msa_id, x AS seq_id, list(y) AS alike FROM pq WHERE share >= 0.8 GROUP BY 1, 2),
+od AS (SELECT f.msa_id, f.seq_id, row_number() OVER (PARTITION BY f.msa_id ORDER BY round_even(1000 * coalesce(share, 0), 0) DESC, f.seq_id) AS k
+  FROM (SELECT DISTINCT msa_id, seq_id FROM ow) f JOIN first USING (msa_id) LEFT JOIN pq ON pq.msa_id = f.msa_id AND x = f.seq_id AND y = query WHERE f.seq_id <> query),
+rc AS (SELECT msa_id, 0::BIGINT AS k, [query] AS taken FROM first
+  UNION ALL SELECT rc.msa_id, od.k, CASE WHEN list_has_any(taken, coalesce(alike, [])) THEN taken ELSE list_append(taken, od.seq_id) END
+  FROM rc JOIN od ON od.msa_id = rc.msa_id AND od.k = rc.k + 1 LEFT JOIN near ON near.msa_id = od.msa_id AND near.seq_id = od.seq_id),
+en AS (SELECT msa_id, arg_max(taken, k) AS taken FROM rc GROUP BY msa_id)
+SELECT sp.msa_id, sp.seq_id, list_contains(taken, sp.seq_id) AS selected FROM sp JOIN en USING (msa_id)"""
+
+
 def single_linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.single_linkage(_cells(spark, sf_dir), IDENTITY)
 
@@ -265,7 +285,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         column_counts, gap_column_filter, terminal_gap_trim, match_states, background_probs, henikoff_weights, column_information, profile_from_msa,
-        profile_probabilities, effective_sequences, transition_counts, transition_pme, identity_pairs, identity_purge, single_linkage_clusters,
+        profile_probabilities, effective_sequences, transition_counts, transition_pme, identity_pairs, identity_purge, greedy_identity_set, single_linkage_clusters,
         between_cluster_residue_counts, between_cluster_pair_counts, logodds_from_counts, logodds_summary, abstract_symbol_scores, fasta_roundtrip,
         target_frequencies_fixed, position_specific_weights, unbounded_position_weights, masked_sequences,
     )
@@ -291,6 +311,7 @@ ORACLES = {
     "logodds_summary": f"WITH RECURSIVE {CELLS}, {SCORES}, z AS (SELECT sum(CASE WHEN a = b THEN 1 ELSE 2 END * score * target) AS h, sum(CASE WHEN a = b THEN 1 ELSE 2 END * score * product) AS x FROM sc) SELECT {sql6('h')} AS entropy, {sql6('x')} AS expected, CASE WHEN h <= 0 THEN 1.0 ELSE greatest(2.0, round_even(2 / sqrt(h), 0)) END AS scale FROM z",
     "abstract_symbol_scores": ABSTRACT,
     "target_frequencies_fixed": FIXED,
+    "greedy_identity_set": GREEDY,
     "position_specific_weights": _position_weights_sql(4, True),
     "unbounded_position_weights": _position_weights_sql(4, False),
     "fasta_roundtrip": f"WITH {CELLS} SELECT msa_id, seq_id, seq FROM f",
