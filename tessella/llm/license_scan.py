@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,10 +57,14 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
-    "BSD-3-Clause": (
+    "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met:",
     ),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -72,10 +77,20 @@ TEMPLATES = {
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
         "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ),
+    "LGPL-3.0-or-later": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "AGPL-3.0-or-later": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    "MIT-0": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    ),
+    "0BSD": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies.",
@@ -88,6 +103,11 @@ TEMPLATES = {
     ),
 }
 
+#: Licences whose notice is part of another's, with that other.
+PART_OF = {"BSD-2-Clause": "BSD-3-Clause", "MIT-0": "MIT", "0BSD": "ISC"}
+#: Templates of different licences that share this much, by Dice, are told apart by what only one of them has.
+FAMILY = 0.6
+
 #: Words too frequent in prose to tell a notice.
 FREQUENT = frozenset("a any and at be by file for from in is it may not of on or or so that the this to under use was with you".split())
 
@@ -108,6 +128,40 @@ def templates(texts: dict[str, tuple[str, ...]] = TEMPLATES) -> list[Template]:
     return out
 
 
+def required(t: Template, known: list[Template]) -> list[tuple[str, ...]]:
+    """What a stretch must name to count for a template: lists of bigrams of which one each must be there.
+
+    Every number that follows a word, as in a version, in that bigram; and for
+    each template of another licence that is much like it, every word that the
+    other lacks, in any of its bigrams, or every bigram that the other lacks where
+    it has all words.  A notice that another one goes on from needs its end.
+    """
+    own = set(t.bigrams)
+    out = [(b,) for b in t.bigrams if b.split()[1].isdigit()]
+    for u in known:
+        if extended(u, known, t):
+            out.append((t.bigrams[-1],))
+        elif u.name != t.name and not extended(t, known, u) and 2 * len(own & set(u.bigrams)) >= FAMILY * (len(own) + len(u.bigrams)):
+            words = [w for w in dict.fromkeys(t.words) if w not in u.words]
+            out += [tuple(b for b in t.bigrams if w in b.split()) for w in words] or [(b,) for b in t.bigrams if b not in u.bigrams]
+    return list(dict.fromkeys(out))
+
+
+def extended(t: Template, known: list[Template], by: Template | None = None) -> list[tuple[str, tuple[str, ...]]]:
+    """For each notice (``by``, or all known) that ``t`` goes on from: its last bigram, and the bigrams of ``t`` beyond it.
+
+    A stretch with the first counts for ``t`` only if it has some of the second, and
+    one with neither is in doubt: it does not count where the shorter notice is found.
+    """
+    parts = [u for u in known if PART_OF.get(u.name) == t.name and set(u.bigrams) < set(t.bigrams) and by in (None, u)]
+    return [(u.bigrams[-1], tuple(b for b in t.bigrams if b not in u.bigrams)) for u in parts]
+
+
+def needed(of: list[tuple[str, ...]], least: float) -> int:
+    """How many of the required lists a stretch must meet; all of a few."""
+    return math.ceil(least * len(of) - 1e-9)
+
+
 def bounds(size: int, least: float) -> tuple[float, float]:
     """The numbers of bigrams a stretch can have to reach ``least`` with a template of ``size``."""
     return size * least / (2 - least), size * (2 - least) / least
@@ -146,10 +200,16 @@ def _best(stretch: Column, known: list[Template], least: float) -> Column:
             lo, hi = bounds(len(t.bigrams), least)
             both = F.size(F.array_intersect(b, F.array(*map(F.lit, t.bigrams))))
             dice = 2.0 * both / (size + F.lit(len(t.bigrams)))
+            must = required(t, known)
+            named = sum((F.arrays_overlap(b, F.array(*map(F.lit, x))).cast("int") for x in must), start=F.lit(0)) >= needed(must, least)
+            sure = F.lit(True)
+            for end, beyond in extended(t, known):
+                sure &= F.arrays_overlap(b, F.array(*map(F.lit, beyond)))
+                named &= ~F.array_contains(b, end) | sure
             found.append(
                 F.when(
-                    size.between(lo, hi) & (dice >= least),
-                    F.struct(dice.alias("dice"), F.lit(-i).alias("order"), F.lit(t.name).alias("license")),
+                    size.between(lo, hi) & (dice >= least) & named,
+                    F.struct(dice.alias("dice"), F.lit(-i).alias("order"), F.lit(t.name).alias("license"), sure.alias("sure")),
                 )
             )
         return F.greatest(*found)
@@ -158,6 +218,17 @@ def _best(stretch: Column, known: list[Template], least: float) -> Column:
     return F.when(F.size(w) - 1 >= low, let(F.array_distinct(pairs), judged))
 
 
+def _whole_only(found: Column) -> Column:
+    """Matches without those of licences that are part of another one found for sure, and without doubtful ones of that other where the part is found."""
+    sure, named = F.filter(found, lambda g: g["sure"])["license"], found["license"]
+
+    def dropped(f: Column) -> list[Column]:
+        part = [(f["license"] == a) & F.array_contains(sure, b) for a, b in PART_OF.items()]
+        return part + [(f["license"] == b) & ~F.array_contains(sure, b) & F.array_contains(named, a) for a, b in PART_OF.items()]
+
+    return F.filter(found, lambda f: ~reduce(Column.__or__, dropped(f)))
+
+
 def licenses(docs: DataFrame, least: float = LEAST_DICE, texts: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """``doc_id, licenses, best_dice, n_licenses`` for each row of ``docs(doc_id, text)``; no match: null, null, 0."""
     known = templates(texts)
@@ -184,8 +255,8 @@ def licenses(docs: DataFrame, least: float = LEAST_DICE, texts: dict[str, tuple[
     words = "|".join(sorted({w for t in known for w in anchors(t, least)}))
     maybe = F.coalesce(F.col("text").rlike(f"(?i)(?<![A-Za-z0-9])(?:{words})(?![A-Za-z0-9])"), F.lit(False))
     found = F.filter(F.transform(let(plain, stretches), lambda s: _best(s, known, least)), lambda x: x.isNotNull())
-    nothing = F.array().cast("array<struct<dice:double,order:int,license:string>>")
-    found = F.when(maybe, found).otherwise(nothing)
+    nothing = F.array().cast("array<struct<dice:double,order:int,license:string,sure:boolean>>")
+    found = F.when(maybe, let(found, _whole_only)).otherwise(nothing)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
     names = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"])))
     return out.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm.license_scan import LEAST_DICE, bounds, templates, windows
+from tessella.llm.license_scan import LEAST_DICE, PART_OF, bounds, extended, needed, required, templates, windows
 from tessella.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, WINDOW
 from tessella.llm.source_mix import LEVELS, Mix
 from tessella.llm.url_filter import DAMPING, DIGITS, LOWER, MARGIN, ROUNDS, UPPER
@@ -114,7 +114,12 @@ def license_sql() -> str:
     for i, t in enumerate(templates()):
         lo, hi = bounds(len(t.bigrams), LEAST_DICE)
         grams = ", ".join(f"'{b}'" for b in t.bigrams)
-        known.append(f"SELECT {i} AS i, '{t.name}' AS license, [{grams}] AS g, {lo!r} AS lo, {hi!r} AS hi")
+        must = required(t, templates())
+        lists = ", ".join("[" + ", ".join(f"'{b}'" for b in x) + "]" for x in must)
+        known.append(f"SELECT {i} AS i, '{t.name}' AS license, [{grams}] AS g, {lo!r} AS lo, {hi!r} AS hi, [{lists}]::VARCHAR[][] AS must, {needed(must, LEAST_DICE)} AS need, "
+                     f"{repr(extended(t, templates())[0][0]) if extended(t, templates()) else 'NULL'} AS stop, "
+                     f"{list(extended(t, templates())[0][1]) if extended(t, templates()) else []}::VARCHAR[] AS beyond")
+    parts = ", ".join(f"('{a}', '{b}')" for a, b in PART_OF.items())
     laid = ", ".join(f"('{w}', {at}, {n})" for w, at, n in windows(templates(), LEAST_DICE))
     return f"""
 WITH k AS ({" UNION ALL ".join(known)}),
@@ -127,8 +132,13 @@ s AS (SELECT rid, unnest(list_concat(string_split(t, chr(10)),
       UNION SELECT rid, array_to_string(ws[greatest(i - before, 0) + 1:i - before + long], ' ') FROM h JOIN laid ON ws[i + 1] = word),
 w AS (SELECT rid, x, string_split_regex(trim(x, ' '), ' +') AS w FROM s),
 b AS (SELECT rid, x, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
-m AS (SELECT rid, x, license, 2.0 * len(list_intersect(b, g)) / (len(b) + len(g)) AS dice, i FROM b JOIN k ON len(b) BETWEEN lo AND hi),
-f AS (SELECT rid, x, max_by(license, (dice, -i)) AS license, max(dice) AS dice FROM m WHERE dice >= {LEAST_DICE} GROUP BY rid, x),
+m AS (SELECT rid, x, license, 2.0 * len(list_intersect(b, g)) / (len(b) + len(g)) AS dice, i, stop IS NULL OR list_has_any(b, beyond) AS sure FROM b JOIN k ON len(b) BETWEEN lo AND hi
+      WHERE len(list_filter(must, lambda y: list_has_any(b, y))) >= need AND (stop IS NULL OR NOT list_contains(b, stop) OR list_has_any(b, beyond))),
+g AS (SELECT rid, x, max_by(license, (dice, -i)) AS license, max_by(sure, (dice, -i)) AS sure, max(dice) AS dice FROM m WHERE dice >= {LEAST_DICE} GROUP BY rid, x),
+po(part, whole) AS (VALUES {parts}),
+f AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM po JOIN g AS o ON o.license = whole WHERE part = g.license AND o.rid = g.rid AND o.sure)
+      AND NOT EXISTS (SELECT 1 FROM po JOIN g AS o ON o.license = part WHERE whole = g.license AND o.rid = g.rid
+                      AND NOT EXISTS (SELECT 1 FROM g AS z WHERE z.rid = g.rid AND z.license = whole AND z.sure))),
 r AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice, count(DISTINCT license) AS n FROM f GROUP BY rid)
 SELECT doc_id, licenses, best_dice, coalesce(n, 0)::BIGINT AS n_licenses FROM d LEFT JOIN r USING (rid)"""
 

@@ -377,6 +377,31 @@ def test_licenses_between_other_words(spark):
     assert 0.9 < got[5][1] < 1
 
 
+def test_each_notice_gives_its_own_licence_only(spark):
+    """Every notice at a file's top, in its middle and at its end, with code around it; versions and variants that no template has."""
+    code = "\n".join(f"def step_{i}(value):\n    return value + {i}" for i in range(12))
+    rows = []
+    for name, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            lines = [" ".join(text.split()[i : i + 11]) for i in range(0, len(text.split()), 11)]
+            notice = "\n".join(f"# {x}" for x in lines)
+            rows += [(name, f"{notice}\n{code}"), (name, f"{code}\n{notice}\n{code}"), (name, f"{code}\n{notice}"), (name, f"words before {text} words after")]
+    t = license_scan.TEMPLATES
+    rows += [
+        (None, "Licensed under the Apache License, Version 1.1."),
+        (None, t["GPL-3.0-or-later"][0].replace("version 3", "version 1")),
+        (None, "Licensed under CC BY 3.0."),
+        ("BSD-3-Clause", t["BSD-2-Clause"][0] + "\n 1. Redistributions of source code must retain the above copyright notice.\n" + t["BSD-3-Clause"][0]),
+        ("BSD-2-Clause", t["BSD-2-Clause"][0] + "\n 1. Redistributions of source code must retain the above copyright notice."),
+        ("MIT", t["MIT"][1] + " The above copyright notice shall be included in all copies."),
+        ("GPL-2.0-or-later,GPL-3.0-or-later", t["GPL-3.0-or-later"][0] + "\n" + code + "\n" + t["GPL-2.0-or-later"][0]),
+    ]
+    frame = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.licenses(frame).collect()}
+    wrong = [(name, got[i], text[:60]) for i, (name, text) in enumerate(rows) if got[i] != name]
+    assert not wrong, wrong
+
+
 def test_license_anchors_lose_nothing():
     for t in license_scan.templates():
         need = license_scan.LEAST_DICE / (2 - license_scan.LEAST_DICE) * len(t.bigrams)
