@@ -10,17 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import search, statistics
+from tessella.sources.shared import written
 
 
 def pair_distribution(vectors: DataFrame, scale: float, offset: float = 0.0) -> DataFrame:
-    """``(score, p)``: rounded scores of all unordered pairs of ``vectors(id, x, p)``, weighted by both probabilities.
+    """``(score, p)``: rounded scores of all unordered pairs of ``vectors(id, x, p)``, weighted by both probabilities."""
+    return _distribution(_blocks(vectors), scale, offset)
+
+
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """Blocks of vectors and their probabilities, written once, so that both sides of a pair are cut alike."""
+    keyed = vectors.select("id", F.concat(F.array("p"), F.col("x").cast("array<double>")).alias("x"))
+    return written(search.packed(keyed, "id", "x", "q").withColumn("q_no", F.monotonically_increasing_id()), "blocks")
+
+
+def _distribution(blocks: DataFrame, scale: float, offset: float) -> DataFrame:
+    """As ``pair_distribution``.
 
     Blocks of vectors meet once: a block is paired with itself and with blocks
     numbered after it, so work is spread over pairs of blocks, and only a
     histogram leaves each.
     """
-    keyed = vectors.select("id", F.concat(F.array("p"), F.col("x").cast("array<double>")).alias("x"))
-    blocks = search.packed(keyed, "id", "x", "q").withColumn("q_no", F.xxhash64("q_ids", "q_mat"))
     other = blocks.select(*(F.col(c).alias(c.replace("q_", "s_")) for c in blocks.columns))
     pairs = blocks.crossJoin(other).where("q_no <= s_no")
 
@@ -50,9 +60,9 @@ def scaled_to(vectors: DataFrame, wanted: float, offset: float, scale: float = 1
     Each round multiplies the scale by lambda over the wanted one; a round's
     distribution has one row for each whole score.
     """
-    lam = None
+    lam, blocks = None, _blocks(vectors)
     for _ in range(rounds):
-        rows = pair_distribution(vectors, scale, offset * scale).collect()
+        rows = _distribution(blocks, scale, offset * scale).collect()
         lam = statistics.find_lambda([r.score for r in rows], [r.p for r in rows])
         if lam is None:
             raise ValueError("the scores have no lambda")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessella.functions import alphabet as A
 from tessella.functions import special
 from tessella.functions.vectors import dot, total
+from tessella.operators import search
 
 #: Fixed values of the schemes.
 OFFSET = 0.0003
@@ -55,6 +56,34 @@ def overlap_score(total_overlap: Column, q_background: Column, s_background: Col
     return F.when((total_overlap > 0) & (q_background > 0) & (s_background > 0), F.least(F.lit(high), F.greatest(F.lit(low), F.ln(ratio)))).otherwise(0.0)
 
 
+#: Clusters up to which memberships are held as dense vectors.
+MOST_CLUSTERS = 4096
+
+
+def overlap_totals(queries: DataFrame, subjects: DataFrame, priors: DataFrame, key: str, cluster: str) -> DataFrame:
+    """``(query_id, subject_id, total)``: sum of p q / prior over the clusters that both share, where it is not 0.
+
+    ``queries`` and ``subjects`` hold ``p`` by ``key`` and ``cluster``, ``priors``
+    has ``cluster, prior``.  Memberships become vectors over clusters, divided by
+    the root of their prior, so the sums are products of blocks of vectors and no
+    common cluster brings all its holders together.
+    """
+    names = [r[0] for r in priors.select(cluster).orderBy(cluster).limit(MOST_CLUSTERS + 1).collect()]
+    if len(names) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    held = F.broadcast(priors.where("prior > 0").select(cluster, "prior"))  # MOST_CLUSTERS rows
+
+    def dense(shares: DataFrame) -> DataFrame:
+        w = shares.join(held, cluster).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(cluster, F.col("p") / F.sqrt("prior")))).alias("w"))
+        return w.select(key, F.transform(F.array(*map(F.lit, names)), lambda c: F.coalesce(F.element_at("w", c), F.lit(0.0))).alias("x"))
+
+    def shared(qid: np.ndarray, sid: np.ndarray, total: np.ndarray) -> dict[str, np.ndarray]:
+        i, j = np.nonzero(total > 0)
+        return {"query_id": qid[i], "subject_id": sid[j], "total": total[i, j]}
+
+    return search.scored(dense(queries), dense(subjects), key, "x", shared, "query_id long, subject_id long, total double", digits=None)
+
+
 def damped(score: Column, q_eff: Column, s_eff: Column, q_prob: Column, s_prob: Column) -> Column:
     """A table score of two clusters, damped by effective sequences far from 23 and memberships below 1."""
     a, b = q_eff - 23.0, s_eff - 23.0

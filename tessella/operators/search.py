@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import written
+
 BLOCK = 1024
 DIGITS = 6
 
@@ -51,8 +53,8 @@ def _each_pair(kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str,
 
 
 def scored(queries: DataFrame, subjects: DataFrame, key: str, vector: str, kernel, schema: str, scale: float = 1.0, digits: int | None = DIGITS) -> DataFrame:
-    """``kernel(query ids, subject ids, scores)`` over all pairs of blocks, scores rounded to ``digits``."""
-    pairs = packed(queries, key, vector, "q").crossJoin(packed(subjects, key, vector, "s"))
+    """``kernel(query ids, subject ids, scores)`` over all pairs of blocks, which are written once; scores rounded to ``digits``."""
+    pairs = written(packed(queries, key, vector, "q"), "queries").crossJoin(written(packed(subjects, key, vector, "s"), "subjects"))
     return pairs.mapInArrow(_each_pair(kernel, scale, digits), schema)
 
 

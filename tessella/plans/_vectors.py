@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import special
 from tessella.functions import vectors as V
-from tessella.operators import align, database, generate, hdp, scaler, search, seeds, statistics
+from tessella.operators import align, database, generate, hdp, scaler, scoring, search, seeds, statistics, targets
 from tessella.plans._common import POSITIONS, VECTORS, positions, r6, sql6, table, vectors
 
 #: Reference parameters of gapped and ungapped statistics.
@@ -98,13 +98,20 @@ def score_histogram_rowcol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histograms along rows (queries) and along columns (the subjects' labels)."""
     q, s = _both(spark, sf_dir)
 
-    def every(qid: np.ndarray, sid: np.ndarray, score: np.ndarray) -> dict[str, np.ndarray]:
-        return {"query_id": np.repeat(qid, len(sid)), "subject_id": np.tile(sid, len(qid)), "score": np.rint(score).astype(np.int64).ravel()}
+    def sides(qid: np.ndarray, sid: np.ndarray, score: np.ndarray) -> dict[str, np.ndarray]:
+        whole = np.rint(score).astype(np.int64)
+        out = []
+        for axis, ids in enumerate((qid, sid)):
+            rows = np.repeat(ids, len(sid)) if axis == 0 else np.tile(ids, len(qid))
+            kinds, n = np.unique(np.stack([rows, whole.ravel()]), axis=1, return_counts=True)
+            out.append((np.full(len(n), axis), kinds[0], kinds[1], n))
+        return dict(zip(("axis", "id", "score", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True))
 
-    cells = search.scored(q, s, "vec_id", "x", every, "query_id long, subject_id long, score long", SCALE)
-    labelled = cells.join(s.select(F.col("vec_id").alias("subject_id"), F.col("label").cast("long").alias("label")), "subject_id")
-    sides = F.explode(F.array(F.struct(F.lit("row").alias("side"), F.col("query_id").alias("key")), F.struct(F.lit("column").alias("side"), F.col("label").alias("key"))))
-    return labelled.select("score", sides.alias("k")).groupBy("k.side", "k.key", "score").agg(F.count("*").alias("n"))
+    counts = search.scored(q, s, "vec_id", "x", sides, "axis long, id long, score long, n long", SCALE).groupBy("axis", "id", "score").agg(F.sum("n").alias("n"))
+    rows = counts.where("axis = 0").select(F.lit("row").alias("side"), F.col("id").alias("key"), "score", "n")
+    labels = s.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("key"))
+    columns = counts.where("axis = 1").join(labels, "id").select(F.lit("column").alias("side"), "key", "score", "n")
+    return rows.unionByName(columns).groupBy("side", "key", "score").agg(F.sum("n").alias("n"))
 
 
 ROWCOL = f"""
@@ -401,10 +408,8 @@ def posterior_overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = v.groupBy("profile_id", "label").agg(F.count("*").alias("n"))
     share = share.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("profile_id")))
     prior = v.groupBy("label").agg(F.count("*").alias("m")).crossJoin(v.agg(F.count("*").alias("t"))).select("label", (F.col("m") / F.col("t")).alias("prior"))
-    a = share.where(F.col("profile_id") % EVERY == 0).select(F.col("profile_id").alias("query_id"), "label", F.col("p").alias("pq"))
-    b = share.select(F.col("profile_id").alias("subject_id"), "label", F.col("p").alias("ps"))
-    total = a.join(b, "label").join(F.broadcast(prior), "label").groupBy("query_id", "subject_id").agg(F.sum(F.col("pq") * F.col("ps") / F.col("prior")).alias("t"))
-    return total.select("query_id", "subject_id", r6(F.least(F.lit(3.0), F.greatest(F.lit(0.0), F.ln("t")))).alias("score"))
+    total = scoring.overlap_totals(share.where(F.col("profile_id") % EVERY == 0), share, prior, "profile_id", "label")
+    return total.select("query_id", "subject_id", r6(F.least(F.lit(3.0), F.greatest(F.lit(0.0), F.ln("total")))).alias("score"))
 
 
 OVERLAP = f"""
@@ -444,6 +449,49 @@ gap AS (SELECT *, q - lag(q) OVER (PARTITION BY query_id, subject_id, d ORDER BY
 SELECT query_id, subject_id, count(DISTINCT d) AS diagonals FROM gap WHERE g <= {SEEDING.reach} GROUP BY 1, 2"""
 
 
+def optimised_pair_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint probabilities of the halves of each two consecutive vectors, half as far from independence as their marginals allow.
+
+    Scores are products of halves, marginals shares of positive components.
+    """
+    v = vectors(spark, sf_dir).where("x is not null")
+    left = v.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.col("x").alias("q"))
+    both = left.join(v.select((F.col("vec_id") - 1).alias("id"), F.col("x").alias("s")), "id")
+    half = lambda c, k: F.slice(c, k * F.floor(F.size(c) / 2).cast("int") + 1, F.floor(F.size(c) / 2).cast("int"))
+    share = lambda c: (F.size(F.filter(c, lambda x: x > 0)) + 1) / (F.size(c) + 2)
+    cells = {f"s{i}{j}": V.dot(half(F.col("q"), i), half(F.col("s"), j)) for i in (0, 1) for j in (0, 1)}
+    both = both.select("id", share(F.col("q")).alias("a"), share(F.col("s")).alias("b"), *(c.alias(n) for n, c in cells.items()))
+    both = both.withColumn("d", F.col("s00") + F.col("s11") - F.col("s01") - F.col("s10")).where(F.abs("d") > 1e-6)
+    end = F.when(F.col("d") > 0, F.least("a", "b")).otherwise(F.greatest(F.lit(0.0), F.col("a") + F.col("b") - 1))
+    both = both.withColumn("end", end)
+    part = lambda x, of: F.when(x > 1e-15, x * F.ln(x / of)).otherwise(0.0)
+    a, b, x = F.col("a"), F.col("b"), F.col("end")
+    most = part(x, a * b) + part(a - x, a * (1 - b)) + part(b - x, (1 - a) * b) + part(1 - a - b + x, (1 - a) * (1 - b))
+    unit = 4 / F.abs("d")
+    scores = F.array(F.array(F.col("s00") * unit, F.col("s01") * unit), F.array(F.col("s10") * unit, F.col("s11") * unit))
+    pairs = both.select("id", scores.alias("scores"), F.array(a, 1 - a).alias("r"), F.array(b, 1 - b).alias("c"), (most / 2).alias("entropy"))
+    found = targets.joint_probabilities(pairs)
+    return found.select("id", r6(F.get(F.get("joint", F.lit(0)), F.lit(0))).alias("joint"), "done")
+
+
+def _entropy_sql(x: str) -> str:
+    cells = [(x, "a * b"), (f"(a - {x})", "(a * (1 - b))"), (f"(b - {x})", "((1 - a) * b)"), (f"(1 - a - b + {x})", "((1 - a) * (1 - b))")]
+    return " + ".join(f"CASE WHEN {c} > 1e-15 THEN {c} * ln({c} / ({of})) ELSE 0 END" for c, of in cells)
+
+
+#: With two rows and columns the marginals leave one number free, which the entropy fixes on the side that the scores favour.
+OPTIMISED = f"""
+WITH {VECTORS}, p AS (SELECT q.vec_id AS id, q.x AS q, s.x AS s FROM v AS q JOIN v AS s ON s.vec_id = q.vec_id + 1 WHERE q.vec_id % 2 = 0 AND q.x IS NOT NULL AND s.x IS NOT NULL),
+h AS (SELECT id, (len(list_filter(q, lambda e: e > 0)) + 1.0) / (len(q) + 2) AS a, (len(list_filter(s, lambda e: e > 0)) + 1.0) / (len(s) + 2) AS b,
+  q[:len(q) // 2] AS q0, q[len(q) // 2 + 1:] AS q1, s[:len(s) // 2] AS s0, s[len(s) // 2 + 1:] AS s1 FROM p),
+d AS (SELECT id, a, b, list_dot_product(q0, s0) + list_dot_product(q1, s1) - list_dot_product(q0, s1) - list_dot_product(q1, s0) AS d FROM h),
+e AS (SELECT *, CASE WHEN d > 0 THEN least(a, b) ELSE greatest(0.0, a + b - 1) END AS ex FROM d WHERE abs(d) > 1e-6),
+t AS (SELECT *, ({_entropy_sql('ex')}) / 2 AS t FROM e),
+r AS (SELECT id, list_reduce(list_prepend([a * b, ex], list_transform(range(80), lambda k: [0.0, 0.0])),
+    lambda z, k: CASE WHEN {_entropy_sql('((z[1] + z[2]) / 2)')} < t THEN [(z[1] + z[2]) / 2, z[2]] ELSE [z[1], (z[1] + z[2]) / 2] END) AS z FROM t)
+SELECT id, {sql6("z[1]")} AS joint, true AS done FROM r"""
+
+
 def local_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query profiles aligned with all profiles, paths by highest accuracy."""
     p = _whole_profiles(spark, sf_dir)
@@ -505,13 +553,14 @@ QUERIES = {
         topk_search, evalue_filter_search, score_histogram, score_histogram_rowcol, score_entropy_given_lambda, lambda_root, length_adjusted_space, hit_report,
         distinct_vectors, vector_probability_discrete, vector_probability_profile, vector_probability_multinomial, store_membership, store_missing,
         vector_lookup, context_windows, context_mix, diagonal_average, diagonal_autocorrelation, correlated_score, logit_normal, niw_moments,
-        hdp_predictive, hdp_gibbs_scan, hdp_cluster_priors, posterior_overlap_score, profile_seeds, local_alignment, cluster_simulator, fragment_shuffle, markov_msa,
+        hdp_predictive, hdp_gibbs_scan, hdp_cluster_priors, posterior_overlap_score, profile_seeds, optimised_pair_targets, local_alignment, cluster_simulator, fragment_shuffle, markov_msa,
         sample_context_vectors, special_functions, pair_score_distribution,
     )
 }
 ORACLES = {
     "topk_search": TOPK,
     "profile_seeds": SEEDS,
+    "optimised_pair_targets": OPTIMISED,
     "evalue_filter_search": EVALUE_FILTER,
     "score_histogram": SCORE_HISTOGRAM,
     "score_histogram_rowcol": ROWCOL,

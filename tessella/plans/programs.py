@@ -64,12 +64,15 @@ def search_profiles(
     lam: float = LAMBDA,
     k: float = K,
     seeding: seeds.Seeding | None = None,
+    entropy: float | None = None,
 ) -> DataFrame:
     """Profiles ``(profile_id, v, ...)`` aligned with ``subjects``; hits by expectation.
 
     Blocks of queries meet blocks of subjects: all of them, or with ``seeding``
     only those with pairs that share words of positions (``seeds.candidates``),
-    and only these pairs are aligned.  Expectations do not depend on it.  Optional columns (see
+    and only these pairs are aligned.  Expectations do not depend on it.  With
+    ``entropy`` hits are aligned again by optimised target frequencies; their
+    expectation and rank are by the new score.  Optional columns (see
     ``align.PROFILE``) give a profile's own moves, background, bits and states.
     The search space is that left by the edge-effect length.  A hit needs a
     positive score and an expectation up to ``EVAL``; each query lists at most
@@ -87,7 +90,7 @@ def search_profiles(
     known = align.Significance(lam, k, ALPHA, BETA, whole.positions or 0, whole.profiles, options.EVAL)
     scheme = replace(scheme, least_info=options.INFCON) if scheme.masked < 1 and not scheme.least_info else scheme
     pairs = None if seeding is None else seeds.candidates(q, s, seeding)
-    found = align.align_profiles(q, s, scheme, realign=True, least=options.MINPP, significance=known, candidates=pairs)
+    found = align.align_profiles(q, s, scheme, realign=True, least=options.MINPP, significance=known, candidates=pairs, entropy=entropy)
     e = search.evalue(F.col("score"), lam, k, F.col("space"))
     hits = found.withColumns({"evalue": e, "bits": search.bits(F.col("score"), lam, k), "pvalue": search.pvalue(e)}).drop("space")
     listed = database.ranked(hits, ["query_id"], [F.asc("evalue"), F.asc("subject_id")], options.NOHITS)

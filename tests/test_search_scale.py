@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tessella.operators import align, seeds
+from tessella.operators import align, scoring, seeds, targets
 from tessella.plans import programs
 from tessella.sources.tables import Options
 
@@ -182,3 +182,50 @@ def test_a_word_that_many_positions_share_is_lengthened(spark):
     frame = spark.createDataFrame(rows, PROFILE)
     hits = seeds.hits(frame.where("profile_id = 0"), frame, seeds.Seeding(shortest=1, longest=12, common=40)).groupBy("q").count().collect()
     assert hits and math.fsum(r["count"] for r in hits) / len(hits) < 40 * 13
+
+
+def test_optimised_targets_hit_entropy_and_marginals_for_all_pairs():
+    """Matrices of different sizes in one batch, against bisection over one matrix at a time."""
+    rng = np.random.default_rng(11)
+    matrices = [rng.normal(-0.6, 1.0, (int(rng.integers(2, 30)), int(rng.integers(2, 30)))) for _ in range(25)]
+    matrices += [np.full((4, 5), -1.0), rng.normal(2.0, 0.1, (3, 3))]  # nothing positive; a positive mean
+    new = targets.rescored(matrices, 0.2)
+    for s, t in zip(matrices[:-2], new, strict=False):
+        r, c = np.full(s.shape[0], 1 / s.shape[0]), np.full(s.shape[1], 1 / s.shape[1])
+        lam = targets.positive_lambda(s[None], r[None], c[None])[0]
+        if np.isnan(lam):
+            assert t is s
+            continue
+        w = np.outer(r, c)
+        q = w * np.exp(lam * t)
+        assert (q * lam * t).sum() == pytest.approx(0.2, abs=1e-7)
+        assert q.sum(axis=0) == pytest.approx(c, abs=1e-8) and q.sum(axis=1) == pytest.approx(r, abs=1e-8)
+        assert q == pytest.approx(scoring.optimised_targets(w * np.exp(lam * s), r, c, 0.2), abs=1e-7)
+    assert new[-2] is matrices[-2] and new[-1] is matrices[-1]
+
+
+def test_a_search_aligns_hits_again_by_optimised_targets(spark):
+    rng = np.random.default_rng(12)
+    heads = [profile(rng, 40) for _ in range(3)]
+    rows = [(i, v.tolist()) for i, v in enumerate(heads)] + [(10 + i, related(rng, v, 0.2).tolist()) for i, v in enumerate(heads)]
+    frame = spark.createDataFrame(rows, PROFILE)
+    scheme = align.Scheme(kind="log_sum", offset=0.6)
+    ask = {"options": Options(EVAL=1e-3), "scheme": scheme, "lam": 0.9, "k": 0.1}
+    plain = {(r.query_id, r.subject_id): r.score for r in programs.search_profiles(frame, frame, **ask).collect()}
+    again = {(r.query_id, r.subject_id): r for r in programs.search_profiles(frame, frame, **ask, entropy=0.25).collect()}
+    assert set(again) == set(plain) and {(i, 10 + i) for i in range(3)} <= set(plain)
+    held = {i: plain_profile(v) for i, v in rows}
+    for (a, b), r in again.items():
+        scores = targets.rescored([scheme.scores(held[a], held[b])], 0.25)[0]
+        found = align.local(scores, held[a]["moves"], held[b]["moves"])
+        assert r.score == pytest.approx(found.score, rel=1e-6) and r.n_matched == found.matches
+    assert any(again[p].score != pytest.approx(plain[p]) for p in plain)
+
+
+def test_joint_probabilities_of_odd_rows(spark):
+    rows = [(1, [[1.0, -2.0], [-2.0, 1.0]], [0.5, 0.5], [0.5, 0.5], 0.2), (2, None, [0.5, 0.5], [1.0], 0.1), (3, [[1.0, -1.0]], [1.0], [0.5, 0.5], 5.0), (4, [[0.0, 0.0], [0.0, 0.0]], [0.5, 0.5], [0.5, 0.5], 0.1)]
+    frame = spark.createDataFrame(rows, "id long, scores array<array<double>>, r array<double>, c array<double>, entropy double")
+    got = {r.id: (r.joint, r.done) for r in targets.joint_probabilities(frame).collect()}
+    assert got[1][1] and got[1][0][0][0] == pytest.approx(got[1][0][1][1]) and got[1][0][0][0] > 0.25
+    assert [got[k] for k in (2, 3, 4)] == [(None, False)] * 3
+    assert targets.joint_probabilities(frame.where("false")).count() == 0
