@@ -81,8 +81,9 @@ def autocorrelation_gapcost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("id", "pos", r6(align.gap_cost(F.col("near"))).alias("cost"))
 
 
-def _gap_sql() -> str:
-    size, terms = 4, []
+def _gap_mean(size: int) -> str:
+    """The mean product of a window of ``size`` values in the list ``w``."""
+    terms = []
     for width in range(size, 0, -1):
         begin = (size - width + (size % 2)) // 2
         mid = width // 2 - (width % 2 == 0)
@@ -90,13 +91,43 @@ def _gap_sql() -> str:
             j = i + mid
             j = j - width if j >= width else j
             terms.append(f"w[{i + 1}] * w[{j + 1}]")
+    return f"({' + '.join(terms)}) / {size * (size + 1) / 2}"
+
+
+def _gap_sql() -> str:
     return f"""
 WITH {SERIES}, v AS (SELECT id, pos, value - avg(value) OVER (PARTITION BY id) AS v FROM s),
 w AS (SELECT id, pos, list(v) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS w FROM v),
-t AS (SELECT id, pos, ({" + ".join(terms)}) / {size * (size + 1) / 2} AS m FROM w WHERE len(w) = 4)
+t AS (SELECT id, pos, {_gap_mean(4)} AS m FROM w WHERE len(w) = 4)
 SELECT id, pos, {sql6("CASE WHEN m > 0 THEN -sqrt(m) ELSE 0 END")} AS cost FROM t"""
 
 
+WIDE = 8
+
+
+def gap_cost_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap costs of every position from windows of eight standardised values, without those that hold an error."""
+    s = series(spark, sf_dir)
+    centred = s.select("id", "pos", (F.col("value") - F.avg("value").over(Window.partitionBy("id"))).alias("score"), (F.col("symbol") == "error").alias("masked"))
+    return align.position_gap_costs(centred, WIDE).withColumn("cost", r6("cost"))
+
+
+def _gap_windows_sql() -> str:
+    short = " ".join(f"WHEN n = {n} AND k = {(n >> 1) - (n % 2 == 0)} AND len(w) = {n} THEN {_gap_mean(n)}" for n in range(1, WIDE))
+    half = (WIDE >> 1) - (WIDE % 2 == 0)
+    return f"""
+WITH {SERIES}, v AS (SELECT id, pos, value - avg(value) OVER (PARTITION BY id) AS v, (symbol = 'error')::INT AS e, count(*) OVER (PARTITION BY id) AS n,
+  row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS k FROM s),
+w AS (SELECT *, CASE WHEN n < {WIDE} THEN list(v) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN {WIDE} PRECEDING AND {WIDE} FOLLOWING)
+    ELSE list(v) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN {half} PRECEDING AND {WIDE - 1 - half} FOLLOWING) END AS w,
+  CASE WHEN n < {WIDE} THEN max(e) OVER (PARTITION BY id) ELSE max(e) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN {half} PRECEDING AND {WIDE - 1 - half} FOLLOWING) END AS e2 FROM v),
+m AS (SELECT id, pos, CASE WHEN e2 = 1 THEN NULL {short} WHEN n >= {WIDE} AND len(w) = {WIDE} THEN {_gap_mean(WIDE)} END AS m FROM w),
+c AS (SELECT id, pos, CASE WHEN m > 0 THEN -sqrt(m) WHEN m IS NOT NULL THEN 0 END AS c FROM m),
+f AS (SELECT id, pos, last_value(c IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b,
+  first_value(c IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM c)
+SELECT id, pos, {sql6("coalesce(b, a, 0)")} AS cost FROM f"""
+
+
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy("user_id").agg((F.count_distinct(F.dayofmonth("ts")) / 2.0).alias("effective"), (F.count("*") * 5).alias("length"))
@@ -193,7 +224,7 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        window_entropy, low_complexity_segments, high_complexity_segments, mask_segments, segment_logprob_min, interval_merge, autocorrelation_gapcost,
+        window_entropy, low_complexity_segments, high_complexity_segments, mask_segments, segment_logprob_min, interval_merge, autocorrelation_gapcost, gap_cost_windows,
         profile_bins, profile_pair_probs, score_table_lookup, union_profiles, dedupe_profiles, shared_nations, topk_generic, order_revenue, stream_event_counts,
     )
 }
@@ -204,6 +235,7 @@ ORACLES = {
     "mask_segments": f'WITH {_sql_islands(f"entropy <= {LOW}", f"entropy <= {HIGH}")} SELECT s.id, pos, CASE WHEN sg.id IS NULL THEN symbol ELSE \'X\' END AS symbol, sg.id IS NOT NULL AS masked FROM s LEFT JOIN sg ON sg.id = s.id AND pos BETWEEN "left" AND "right"',
     "interval_merge": MERGE,
     "autocorrelation_gapcost": _gap_sql(),
+    "gap_cost_windows": _gap_windows_sql(),
     "profile_bins": f"WITH {BINS} SELECT e, l, n, {sql6('p')} AS p FROM n",
     "profile_pair_probs": f"WITH {BINS} SELECT a.e AS e1, a.l AS l1, b.e AS e2, b.l AS l2, {sql6('a.p * b.p * CASE WHEN a.e = b.e AND a.l = b.l THEN 1 ELSE 2 END')} AS prob FROM n a JOIN n b ON (a.e, a.l) >= (b.e, b.l)",
     "score_table_lookup": LOOKUP,
