@@ -96,12 +96,12 @@ def state_score(pairs: DataFrame, table: DataFrame, weight: float) -> DataFrame:
     """Expected table score over both positions' states: ``pairs(id, q ARRAY(C, E, H), s)`` and ``table(a, b, score)``.
 
     Equal last states other than coil add a bonus of their probabilities; a
-    missing table cell makes the pair's score 0.
+    missing table cell of which the pair has some weight makes its score 0.
     """
     q = pairs.select("id", F.posexplode("q").alias("a", "pq"), "s")
     both = q.select("id", "a", "pq", F.posexplode("s").alias("b", "ps")).join(F.broadcast(table), ["a", "b"], "left")
     last = F.max(F.when((F.col("a") == 2) & (F.col("b") == 2), (F.col("pq") + 0.1) * (F.col("ps") + 0.1) / STATE_SHARE))
-    sums = both.groupBy("id").agg(F.sum(F.col("pq") * F.col("ps") * F.col("score")).alias("t"), F.count_if(F.col("score").isNull()).alias("gaps"), last.alias("bonus"))
+    sums = both.groupBy("id").agg(F.sum(F.col("pq") * F.col("ps") * F.col("score")).alias("t"), F.count_if(F.col("score").isNull() & (F.col("pq") * F.col("ps") > 0)).alias("gaps"), last.alias("bonus"))
     return sums.select("id", F.when(F.col("gaps") > 0, 0.0).otherwise(weight * (F.col("t") + F.col("bonus") - STATE_OFFSET)).alias("score"))
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions import alphabet as A
 from tessella.functions import vectors as V
-from tessella.operators import profiles, scoring, statistics
+from tessella.operators import levels, profiles, scoring, statistics
 from tessella.plans._common import EVENT_TYPES, SERIES, VECTORS, r6, series, sql6, table, vectors
+from tessella.sources import tables
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,21 +83,67 @@ SELECT id, {sql6("score")} AS score, {sql6("score * (0.4 + 0.6 * exp(-1.5e-5 * (
 STATES = [(a, b, None if (a, b) == (1, 0) else 0.5 * (a == b) - 0.1 * a - 0.05 * b) for a in range(3) for b in range(3)]
 
 
+#: Levels of effective sequences, probabilities of clusters and of states; one pair of levels has no table of its own.
+E_LEVELS, P_LEVELS, CLUSTERS = (3, 6), (0.1, 0.5), 5
+
+
+def _level_rows() -> list[tuple]:
+    pairs_ = lambda x: [(a, b) for a in x for b in x if a <= b]
+    rows = [
+        (float(e), float(f), p, q, 0.0, 0.0, i, j, None if (i, j) == (4, 1) else 0.1 * i - 0.2 * j + 0.01 * e * f + p - q)
+        for e, f in pairs_(E_LEVELS) for p, q in pairs_(P_LEVELS) for i in range(CLUSTERS) for j in range(i + 1)
+    ]
+    return [r for r in rows if r[:4] != (6.0, 6.0, 0.1, 0.5)]
+
+
+def level_table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables by levels, written as a set of files' texts and read again, looked up for pairs of clusters."""
+    texts = [(f"{e:g}{f:g}", text) for (e, f), text in tables.render_levels(_level_rows()).items()]
+    known = tables.parsed(spark.createDataFrame(texts, "path string, value string"), tables.parse_levels, tables.LEVEL_TABLE)
+    p = table(spark, sf_dir, "part")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    rows = p.select(
+        key.alias("id"), (size % CLUSTERS).alias("key1"), (key % CLUSTERS).alias("key2"), (size / 5.0).alias("e1"), (key % 17).cast("double").alias("e2"),
+        (size / 50.0).alias("p1"), ((key % 10) / 10.0).alias("p2"), F.lit(0.4).alias("s1"), F.lit(0.9).alias("s2"),
+    )
+    return levels.level_scores(rows, known).select("id", r6("score").alias("score"))
+
+
+def _level_bin(value: str, of: tuple[float, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN {value} >= {x} THEN {x}" for x in reversed(of)) + " END"
+
+
+LEVEL_LOOKUP = f"""
+WITH e(lo, hi) AS (VALUES (3, 3), (3, 6), (6, 6)), p(lo, hi) AS (VALUES (0.1, 0.1), (0.1, 0.5), (0.5, 0.5)),
+t AS (SELECT e.lo AS e1, e.hi AS e2, p.lo AS p1, p.hi AS p2 FROM e, p WHERE NOT (e.lo = 6 AND p.lo = 0.1 AND p.hi = 0.5)),
+x AS (SELECT p_partkey AS id, p_size % {CLUSTERS} AS k1, p_partkey % {CLUSTERS} AS k2, p_size / 5.0 AS e1, p_partkey % 17 AS e2, p_size / 50.0 AS p1, (p_partkey % 10) / 10.0 AS p2 FROM part),
+b AS (SELECT id, greatest(k1, k2) AS i, least(k1, k2) AS j, {_level_bin('least(e1, e2)', E_LEVELS)} AS e1, {_level_bin('greatest(e1, e2)', E_LEVELS)} AS e2,
+  {_level_bin('least(p1, p2)', P_LEVELS)} AS p1, {_level_bin('greatest(p1, p2)', P_LEVELS)} AS p2 FROM x),
+c AS (SELECT b.id, b.i, b.j, max({{'a': t.e1, 'b': t.e2, 'c': t.p1, 'd': t.p2}}) AS t FROM b LEFT JOIN t ON t.e1 <= b.e1 AND t.e2 <= b.e2 AND t.p1 <= b.p1 AND t.p2 <= b.p2 GROUP BY 1, 2, 3)
+SELECT id, {sql6("CASE WHEN t.a IS NULL OR (i = 4 AND j = 1) THEN 0 ELSE 0.1 * i - 0.2 * j + 0.01 * t.a * t.b + t.c - t.d END::DOUBLE")} AS score FROM c"""
+
+
 def state_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected scores over three states; every fifth pair is sure of its states and never meets the missing cell."""
+    """Expected scores over three states, with a whole table and with one that lacks a cell.
+
+    Every fifth pair is sure of its states, gives the missing cell no weight and so keeps its score; the others' is 0.
+    """
     known = spark.createDataFrame(STATES, "a int, b int, score double")
     full = known.withColumn("score", F.coalesce("score", F.lit(0.2)))
     three = lambda c: F.transform(F.slice(c, 1, 3), lambda x: x / V.total(F.slice(c, 1, 3)))
-    rows = pairs(spark, sf_dir).select("id", three(F.col("q")).alias("q"), three(F.col("s")).alias("s"))
+    sure = F.array(*map(F.lit, (1.0, 0.0, 0.0)))
+    own = lambda c: F.when(F.col("id") % 5 == 0, sure).otherwise(three(F.col(c)))
+    rows = pairs(spark, sf_dir).select("id", own("q").alias("q"), own("s").alias("s"))
     return scoring.state_score(rows, full, 2.0).select("id", r6("score").alias("score")).join(
         scoring.state_score(rows, known, 2.0).select("id", r6("score").alias("gap")), "id"
     )
 
 
 _STATES = ", ".join(f"({a}, {b}, {0.2 if s is None else s!r})" for a, b, s in STATES)
-STATE = f"""WITH {PAIRS}, k(a, b, s) AS (VALUES {_STATES}), o AS (SELECT id, list_transform(q[1:3], lambda v: v / list_sum(q[1:3])) AS q, list_transform(s[1:3], lambda v: v / list_sum(s[1:3])) AS s FROM p),
+STATE = f"""WITH {PAIRS}, k(a, b, s) AS (VALUES {_STATES}), o AS (SELECT id, CASE WHEN id % 5 = 0 THEN [1.0, 0.0, 0.0] ELSE list_transform(q[1:3], lambda v: v / list_sum(q[1:3])) END AS q,
+  CASE WHEN id % 5 = 0 THEN [1.0, 0.0, 0.0] ELSE list_transform(s[1:3], lambda v: v / list_sum(s[1:3])) END AS s FROM p),
 j AS (SELECT id, sum(q[a + 1] * o.s[b + 1] * k.s) AS t, max((q[3] + 0.1) * (o.s[3] + 0.1) / 9.0) AS bonus FROM o, k GROUP BY id)
-SELECT id, {sql6("2.0 * (t + bonus - 0.05)")} AS score, 0.0 AS gap FROM j"""
+SELECT id, {sql6("2.0 * (t + bonus - 0.05)")} AS score, CASE WHEN id % 5 = 0 THEN {sql6("2.0 * (t + bonus - 0.05)")} ELSE 0.0 END AS gap FROM j"""
 
 
 def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +342,7 @@ CELL_ENTROPY = f"WITH {CELLS} SELECT id, {sql6('sum(score * w) / sum(w)')} AS ex
 QUERIES = {
     f.__name__: f
     for f in (
-        lso_position_scores, profile_position_scores, cluster_scores, state_scores, context_scores, masked_position_scores, repaired_rows, diagonal_pairs,
+        lso_position_scores, profile_position_scores, cluster_scores, level_table_lookup, state_scores, context_scores, masked_position_scores, repaired_rows, diagonal_pairs,
         second_pass, powered_transitions, mixture_evalues, vector_operations, thick_profiles, profile_compatibility, profile_scores_distribution,
         weighted_scores_distribution, cell_entropy,
     )
@@ -304,6 +351,7 @@ ORACLES = {
     "lso_position_scores": LSO,
     "profile_position_scores": PROFILE,
     "cluster_scores": CLUSTER,
+    "level_table_lookup": LEVEL_LOOKUP,
     "state_scores": STATE,
     "context_scores": CONTEXT,
     "masked_position_scores": MASKED,

@@ -144,6 +144,58 @@ def render_score_table(size: int, scores: dict[tuple[int, int], float | None]) -
     return f"Cardinality = {size}\n" + "".join("".join(cell(scores.get((i, j))) for j in range(i + 1)) + "\n" for i in range(size))
 
 
+def parse_levels(text: str) -> list[tuple]:
+    """Rows of ``LEVEL_TABLE`` of one file of a set of tables chosen by levels.
+
+    The first line is ``name<e_low>_<e_high>= p1 p2 ... + s1 s2 ...``, both lists in
+    hundredths.  Then each table: a line ``p_low p_high s_low s_high`` in
+    hundredths, a line ``Cardinality = n`` (rows up to the diagonal follow) or
+    ``Cardinality = n x m`` (whole rows), and its rows, ``NA`` for a missing cell.
+    """
+    lines = data_lines(text)
+    head = re.fullmatch(r"\s*\w*?(\d+(?:\.\d+)?)_(\d+(?:\.\d+)?)\s*=([\d.\s]*)\+([\d.\s]*)", lines[0]) if lines else None
+    if not head:
+        raise ValueError("no levels")
+    e = float(head[1]), float(head[2])
+    known = [{float(x) / 100 for x in head[k].split()} for k in (3, 4)]
+    out, at = [], 1
+    while at < len(lines):
+        own = [float(x) / 100 for x in lines[at].split()]
+        size = re.fullmatch(r"\s*Cardinality\s*=\s*(\d+)(?:\s*x\s*(\d+))?\s*", lines[at + 1]) if at + 1 < len(lines) else None
+        if len(own) != 4 or not size or not set(own[:2]) <= known[0] or not set(own[2:]) <= known[1]:
+            raise ValueError(f"no table at line {at + 1}")
+        n, m = int(size[1]), int(size[2]) if size[2] else None
+        rows = [x.split() for x in lines[at + 2 : at + 2 + n]]
+        if len(rows) < n or any(len(r) != (m or i + 1) for i, r in enumerate(rows)):
+            raise ValueError("short of scores")
+        out += [(*e, *own, i, j, None if x == "NA" else float(x)) for i, r in enumerate(rows) for j, x in enumerate(r)]
+        at += 2 + n
+    return out
+
+
+LEVEL_TABLE = "e_low double, e_high double, p_low double, p_high double, s_low double, s_high double, row int, col int, score double"
+
+
+def render_levels(rows: list[tuple], name: str = "scores") -> dict[tuple[float, float], str]:
+    """A set of tables, rows as ``parse_levels`` gives them, to the text of each pair of levels of effective sequences."""
+    sets: dict[tuple[float, float], dict[tuple[float, ...], dict[tuple[int, int], float | None]]] = {}
+    for r in rows:
+        sets.setdefault(tuple(r[:2]), {}).setdefault(tuple(r[2:6]), {})[r[6], r[7]] = r[8]
+    number = lambda x: f"{x:g}"
+    cell = lambda x: f"{'NA':>9}" if x is None else f" {x:.17g}"
+    out = {}
+    for e, tables in sets.items():
+        known = [sorted({k[i] for k in tables} | {k[i + 1] for k in tables}) for i in (0, 2)]
+        text = f"{name}{number(e[0])}_{number(e[1])}= {' '.join(number(100 * x) for x in known[0])} +{' '.join(number(100 * x) for x in known[1])}\n"
+        for key, cells in tables.items():
+            n, m = 1 + max(i for i, _ in cells), 1 + max(j for _, j in cells)
+            triangle = all(j <= i for i, j in cells)
+            text += " ".join(number(100 * x) for x in key) + f"\nCardinality = {n}" + ("\n" if triangle else f" x {m}\n")
+            text += "".join("".join(cell(cells.get((i, j))) for j in range(i + 1 if triangle else m)) + "\n" for i in range(n))
+        out[e] = text
+    return out
+
+
 def parse_context_scores(text: str, step: float = 0.5, reach: int = 2) -> list[tuple]:
     """A map of context scores to (key, score): missing keys take the one before, then a moving mean over 2 * reach + 1."""
     lines = data_lines(text)

@@ -53,7 +53,7 @@ def test_seeds_find_what_the_full_search_finds(spark):
 
 
 def plain_profile(v, moves=None):
-    return {"id": 0, "v": np.asarray(v), "bg": None, "info": None, "states": None, "moves": align.default_moves(len(v)) if moves is None else moves}
+    return {c: None for c in align.PROFILE} | {"id": 0, "v": np.asarray(v), "moves": align.default_moves(len(v)) if moves is None else moves}
 
 
 def random_moves(rng, n):
