@@ -7,7 +7,9 @@ bucket.  What follows is exact:
 
 1. Documents with equal shingle sets form one class; only classes go on.
 2. In every bucket each class is compared with the bucket's smallest class (a
-   star, so rows grow with memberships, not with pairs) on full sets.
+   star, so rows grow with memberships, not with pairs): by the sizes of both
+   sets, then on one-byte signatures, and what is left on full sets.  A centre's
+   set is sent once for each ``BLOCK_ITEMS`` shingles of its members.
 3. In buckets that still hold several components, the classes outside the
    bucket's largest component are compared with all of its classes, in blocks
    of about ``BLOCK`` classes and ``BLOCK_ITEMS`` shingles a side: first on one-byte
@@ -46,8 +48,8 @@ from tessella.llm.components import components
 BLOCK = 1024
 #: Shingles of a block's side, 16 MB; one class with more is a side of its own size.
 BLOCK_ITEMS = 1 << 21
-#: Pairs of full sets that go to a Python worker at once.
-PAIRS_AT_ONCE = 128
+#: Full sets that go to a Python worker at once.
+SETS_AT_ONCE = 256
 _OTHER = stream(5, 1)[0]
 MISS = 1e-6
 #: Node ids up to which the candidates' list is broadcast: 8 bytes each, 16 MB at most.
@@ -175,16 +177,56 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _sieve(plan: Plan):
+    """Pairs whose signatures are near enough; ``a`` and ``b`` are their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, 2 * plan.permutations) for c in ("a", "b"))
+            near = np.count_nonzero(a == b, axis=1) >= plan.least_equal
+            yield batch.select(["u", "v", "items"]).filter(pa.array(near))
+
+    return run
+
+
 def _confirm(percent: int):
+    """Rows ``(u, chunk, node, centre, items)`` of stars, each chunk's centre first, to links of the centre; one centre is held at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, held = None, np.zeros(0, U64)
         for batch in batches:
-            left, right = (batch[c].to_pylist() for c in ("a", "b"))
-            keep = [similar(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(left, right, strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            links = []
+            for u, chunk, node, first, items in zip(*(batch[c].to_pylist() for c in ("u", "chunk", "node", "centre", "items")), strict=True):
+                if first:
+                    centre, held = (u, chunk), np.frombuffer(items, U64)
+                elif (u, chunk) != centre:
+                    raise ValueError("a member came before its centre")
+                elif similar(held, np.frombuffer(items, U64), percent):
+                    links.append((u, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return run
 
 
+def _stars(members: DataFrame, wanted: DataFrame, sets: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
+    """Links between the classes of a bucket and its smallest: ``u, v``."""
+    small, large = F.least("items", "head_items"), F.greatest("items", "head_items")
+    pairs = members.where((F.col("node") != F.col("head")) & (100 * small >= plan.percent * large))
+    pairs = pairs.select(F.col("head").alias("u"), F.col("node").alias("v"), "items").distinct()
+    signed = lambda key, name: wanted.select(F.col("node").alias(key), F.col("sig").alias(name))
+    near = pairs.join(signed("u", "a"), "u").join(signed("v", "b"), "v").mapInArrow(_sieve(plan), "u long, v long, items long")
+    near = scratch.cut(near, "near")
+    sizes = near.groupBy("u").agg(F.ceil(F.sum("items") / BLOCK_ITEMS).cast("int").alias("chunks"))
+    sizes = scratch.cut(sizes, "sizes")  # so that Spark can split the join of a centre with many members
+    dealt = near.join(sizes, "u").select("u", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), F.col("v").alias("node"), F.lit(False).alias("centre"))
+    centres = sizes.select("u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("u").alias("node"), F.lit(True).alias("centre"))
+    rows = dealt.union(centres).join(sets.select("node", F.col("items").alias("items")), "node")
+    rows = rows.repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.desc("centre")).select("u", "chunk", "node", "centre", "items")
+    links = scratch.cut(rows.mapInArrow(_confirm(plan.percent), "u long, v long").hint("rebalance"), "links", SETS_AT_ONCE)
+    scratch.drop(near, sizes)
+    return links
+
+
 def _open_rows(plan: Plan):
     """The classes of a block whose signature comes near that of a class of another component."""
 
@@ -276,7 +318,7 @@ def _labelled(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame,
         "nodes",
     )
     bands = nodes.select("node", "items", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.min_by("items", "node").alias("head_items")).where("n > 1")
     members = scratch.cut(bands.join(shared, "bucket"), "members")
 
     wanted = scratch.cut(members.select("node").distinct().join(nodes, "node").select("node", "k1", "k2", "least", "sig"), "wanted")
@@ -286,13 +328,7 @@ def _labelled(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame,
     found = found.groupBy("k1", "k2").agg(F.first("items").alias("items"))
     sets = scratch.cut(found.join(wanted, ["k1", "k2"]).select("node", "items", "sig"), "sets")
 
-    pairs = members.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
-    side = lambda key, item: sets.select(F.col("node").alias(key), F.col("items").alias(item))
-    stars = scratch.cut(
-        pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").mapInArrow(_confirm(plan.percent), "u long, v long").hint("rebalance"),
-        "links",
-        PAIRS_AT_ONCE,
-    )
+    stars = _stars(members, wanted, sets, plan, scratch)
     first = components(stars, scratch)
 
     labelled = members.join(first, "node", "left").select("bucket", "node", "items", F.coalesce("label", "node").alias("label"))
