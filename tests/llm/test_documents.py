@@ -25,6 +25,7 @@ from tessella.llm import (
     source_mix,
     token_rollup,
 )
+from tessella.llm._scratch import Scratch
 from tessella.llm._tokens import byte_bpe, default_path
 from tessella.llm.queries import QUERIES
 
@@ -168,6 +169,28 @@ def test_signatures_tell_unrelated_texts_from_near_ones(size):
     assert np.count_nonzero(low(one) == low(near)) >= plan.least_equal
 
 
+def test_a_centre_is_sent_once_for_a_block_of_members(spark, monkeypatch):
+    """Near copies of one long text: sets travel in blocks of a few members, and only where sizes and signatures are near."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ITEMS", 1500)
+    monkeypatch.setattr(minhash_dedup, "SETS_AT_ONCE", 3)
+    rng = random.Random(31)
+    base = words(rng, 300).split()
+    rows = []
+    for i in range(40):
+        own = base.copy()
+        own[rng.randrange(300)] = f"new{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, words(rng, 300)) for i in range(20)] + [(200, " ".join(base[:200])), (201, None)]
+    compared = []
+    cut = Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, name, *a: (out := cut(self, df, name, *a), compared.append((name, out.count())) if name in ("near", "sizes") else None)[0])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame, 85).collect()}
+    assert got == {d: c for d, _, c, _ in brute_components(shingle_sets(rows), 85)}
+    stars, centres = (next(n for k, n in compared if k == name) for name in ("near", "sizes"))
+    assert 39 <= stars <= 400 and centres <= 40
+
+
 def test_bands_never_hold_both_ends_of_a_permutation():
     sh = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
     for percent in (80, 85, 95):
@@ -750,4 +773,4 @@ def test_rollup_of_an_empty_table(spark, empty, tmp_path):
 
 def test_queries_are_registered():
     numbers = sorted(int(m[1]) for m in (re.match(r"op(\d+)_", q) for q in QUERIES) if m)
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES

@@ -203,6 +203,11 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/sf/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/sf").count() == 0
+
+
 def test_dedup_keeps_one_row_of_each_component(spark):
     rng = random.Random(21)
     prose = lambda n: " ".join(f"w{rng.randint(1, 900)}" for _ in range(n))
