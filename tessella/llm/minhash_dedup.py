@@ -272,7 +272,7 @@ def _compare_block(plan: Plan):
     return run
 
 
-def _blocks(labelled: DataFrame) -> DataFrame:
+def _blocks(labelled: DataFrame, scratch: Scratch) -> DataFrame:
     """``labelled(bucket, node, items, label)``, of buckets that hold several labels, dealt to blocks ``(bucket, lo, hi)``.
 
     A block's side ``few`` is a part of the classes outside the bucket's largest
@@ -287,7 +287,7 @@ def _blocks(labelled: DataFrame) -> DataFrame:
     )
     parts = lambda n, items: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(items) / BLOCK_ITEMS)).cast("int")
     mixed = sides.select("bucket", "largest", parts("n_few", "items_few").alias("rows"), parts("n", "items").alias("cols"))
-    own = labelled.join(mixed, "bucket").drop("items")
+    own = labelled.join(scratch.cut(mixed, "mixed"), "bucket").drop("items")
     place = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
     each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     few = own.where("label <> largest").select("bucket", place("rows").alias("lo"), each("cols").alias("hi"), F.lit(True).alias("few"), "node", "label")
@@ -319,7 +319,8 @@ def _labelled(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame,
     )
     bands = nodes.select("node", "items", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.min_by("items", "node").alias("head_items")).where("n > 1")
-    members = scratch.cut(bands.join(shared, "bucket"), "members")
+    # what is joined by bucket is written before, here and below, so that Spark can split the join of a bucket with many classes
+    members = scratch.cut(bands.join(scratch.cut(shared, "shared"), "bucket"), "members")
 
     wanted = scratch.cut(members.select("node").distinct().join(nodes, "node").select("node", "k1", "k2", "least", "sig"), "wanted")
     rows = wanted.select(F.col("least.__row1").alias("__row1")).distinct()
@@ -333,7 +334,7 @@ def _labelled(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame,
 
     labelled = members.join(first, "node", "left").select("bucket", "node", "items", F.coalesce("label", "node").alias("label"))
     several = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
-    blocks = _blocks(scratch.cut(labelled.join(several, "bucket"), "labelled"))
+    blocks = _blocks(scratch.cut(labelled.join(scratch.cut(several, "several"), "bucket"), "labelled"), scratch)
     signed = blocks.join(wanted.select("node", "sig"), "node").select(*blocks.columns, "sig")
     near = scratch.cut(signed.groupBy("bucket", "lo", "hi").applyInArrow(_open_rows(plan), signed.schema), "near")
     ready = near.join(sets.select("node", "items"), "node")
