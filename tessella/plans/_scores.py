@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import alphabet as A
 from tessella.functions import vectors as V
-from tessella.operators import levels, profiles, scoring, statistics
+from tessella.operators import levels, profiles, scoring, significance, statistics
 from tessella.plans._common import EVENT_TYPES, SERIES, VECTORS, r6, series, sql6, table, vectors
 from tessella.sources import tables
 
@@ -83,6 +83,46 @@ SELECT id, {sql6("score")} AS score, {sql6("score * (0.4 + 0.6 * exp(-1.5e-5 * (
 STATES = [(a, b, None if (a, b) == (1, 0) else 0.5 * (a == b) - 0.1 * a - 0.05 * b) for a in range(3) for b in range(3)]
 
 
+#: Weights that stand for a caller's; they have no meaning of their own.
+MODEL = significance.PairModel(
+    by_thickness=[[[0.1, -0.2], [0.03, 0.05], [0.1, -0.05], [-0.02, 0.04], [0.08, 0.02]], [[0.2], [0.5], [-0.3]]],
+    by_lambda=[[[0.05, 0.1, -0.1], [0.2, -0.3, 0.1], [0.05, 0.02, -0.04], [0.03, -0.01, 0.06]], [[0.3, 0.05], [0.2, -0.1], [-0.4, 0.1], [0.1, 0.2]]],
+    location=(0.9, 0.5), location_by_lambda=(1.1, -0.2), scale=(0.12, 0.3), scale_factor=0.7, location_share=0.6, scale_share=0.3,
+)
+
+
+def pair_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Location, scale and expectation of pairs from thicknesses, lengths and lambda."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(
+        key.alias("id"), (1 + size / 5.0).alias("qn"), (50 + key % 400).cast("double").alias("ql"), (1 + (key % 37) / 3.0).alias("sn"),
+        (40 + size * 7).cast("double").alias("sl"), (0.2 + (size % 10) / 10.0).alias("lam"), (F.col("p_retailprice") % 97).alias("score"), (0.001 * (size + 1)).alias("k"),
+    )
+    law = MODEL.law(F.col("qn"), F.col("ql"), F.col("sn"), F.col("sl"), F.col("lam"))
+    e = significance.over_space(significance.expectation(F.col("score"), law, F.col("k"), 0.02), F.col("ql"), F.col("sl"), F.lit(1e6))
+    return p.select("id", r6(law[0]).alias("location"), r6(law[1]).alias("scale"), r6(F.log10(e)).alias("log_evalue"))
+
+
+def _network_sql(inputs: list[str], weights: significance.Weights) -> list[str]:
+    now = inputs
+    for k, w in enumerate(weights):
+        now = ["(" + " + ".join([repr(float(w[0][j])), *(f"{w[i + 1][j]!r} * {x}" for i, x in enumerate(now))]) + ")" for j in range(len(w[0]))]
+        now = [f"(2.0 / (1 + exp(-{x})) - 1)" for x in now] if k < len(weights) - 1 else now
+    return now
+
+
+PAIR_EXPECTATIONS = f"""
+WITH p AS (SELECT p_partkey AS id, 1 + p_size / 5.0 AS qn, (50 + p_partkey % 400)::DOUBLE AS ql, 1 + (p_partkey % 37) / 3.0 AS sn, (40 + p_size * 7)::DOUBLE AS sl,
+  0.2 + (p_size % 10) / 10.0 AS lam, p_retailprice % 97 AS score, 0.001 * (p_size + 1) AS k FROM part),
+o AS (SELECT *, CASE WHEN qn > sn OR (qn = sn AND ql >= sl) THEN [qn, ln(ql), sn, ln(sl)] ELSE [sn, ln(sl), qn, ln(ql)] END AS t, [lam, ln(greatest(ql, sl)), ln(least(ql, sl))] AS u FROM p),
+n AS (SELECT *, greatest(3.0, 30 * {_network_sql(['t[1]', 't[2]', 't[3]', 't[4]'], MODEL.by_thickness)[0]}) AS me,
+  greatest(3.0, 30 * {_network_sql(['u[1]', 'u[2]', 'u[3]'], MODEL.by_lambda)[0]}) AS ml, {_network_sql(['u[1]', 'u[2]', 'u[3]'], MODEL.by_lambda)[1]} AS s0, 0.1 * least(10.0, 1 / lam) AS inv FROM o),
+b AS (SELECT *, least(5.0, greatest(0.1, 0.12 * me + 0.3)) AS se, least(5.0, greatest(0.1, 0.7 * (exp(greatest(0.1, 5 * s0)) - 1))) AS sr, 0.6 * (1 - inv) AS a, 0.3 + 0.7 * inv AS i FROM n),
+l AS (SELECT *, a * (0.9 * me + 0.5) + (1 - a) * (1.1 * ml - 0.2) AS mu, (1 - i) * se + i * sr AS scale FROM b)
+SELECT id, {sql6("mu")} AS location, {sql6("scale")} AS scale,
+  {sql6("log10(CASE WHEN k > 0.02 AND k < 1 THEN k / 0.02 ELSE 1 END * exp((mu - score) / scale) * 1e6 / (ql * sl))")} AS log_evalue FROM l"""
+
+
 #: Levels of effective sequences, probabilities of clusters and of states; one pair of levels has no table of its own.
 E_LEVELS, P_LEVELS, CLUSTERS = (3, 6), (0.1, 0.5), 5
 
@@ -342,7 +382,7 @@ CELL_ENTROPY = f"WITH {CELLS} SELECT id, {sql6('sum(score * w) / sum(w)')} AS ex
 QUERIES = {
     f.__name__: f
     for f in (
-        lso_position_scores, profile_position_scores, cluster_scores, level_table_lookup, state_scores, context_scores, masked_position_scores, repaired_rows, diagonal_pairs,
+        lso_position_scores, profile_position_scores, cluster_scores, pair_expectations, level_table_lookup, state_scores, context_scores, masked_position_scores, repaired_rows, diagonal_pairs,
         second_pass, powered_transitions, mixture_evalues, vector_operations, thick_profiles, profile_compatibility, profile_scores_distribution,
         weighted_scores_distribution, cell_entropy,
     )
@@ -351,6 +391,7 @@ ORACLES = {
     "lso_position_scores": LSO,
     "profile_position_scores": PROFILE,
     "cluster_scores": CLUSTER,
+    "pair_expectations": PAIR_EXPECTATIONS,
     "level_table_lookup": LEVEL_LOOKUP,
     "state_scores": STATE,
     "context_scores": CONTEXT,

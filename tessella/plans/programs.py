@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import align, clusters, database, generate, hdp, masking, msa, scaler, search, seeds, states
+from tessella.operators import align, clusters, database, generate, hdp, masking, msa, scaler, search, seeds, significance, states
 from tessella.sources import alignments, tables
 from tessella.sources.tables import Options
 
@@ -65,6 +65,8 @@ def search_profiles(
     k: float = K,
     seeding: seeds.Seeding | None = None,
     entropy: float | None = None,
+    model: significance.PairModel | None = None,
+    generous: float = 100.0,
 ) -> DataFrame:
     """Profiles ``(profile_id, v, ...)`` aligned with ``subjects``; hits by expectation.
 
@@ -72,7 +74,10 @@ def search_profiles(
     only those with pairs that share words of positions (``seeds.candidates``),
     and only these pairs are aligned.  Expectations do not depend on it.  With
     ``entropy`` hits are aligned again by optimised target frequencies; their
-    expectation and rank are by the new score.  Optional columns (see
+    expectation and rank are by the new score.  With ``model`` hits are judged by
+    location and scale of their pair: the constants, ``generous`` times as lax as
+    ``EVAL``, only tell which pairs it looks at; a profile's thickness is its
+    column ``thickness``, 1 without it.  Optional columns (see
     ``align.PROFILE``) give a profile's own moves, background, bits and states.
     The search space is that left by the edge-effect length.  A hit needs a
     positive score and an expectation up to ``EVAL``; each query lists at most
@@ -87,12 +92,23 @@ def search_profiles(
         raise ValueError(f"options without effect on a search: {', '.join(changed)}")
     q, s = (t.where(align.fault(t).isNull()) for t in (queries, subjects))
     whole = s.agg(F.sum(F.size("v")).alias("positions"), F.count("*").alias("profiles")).first()
-    known = align.Significance(lam, k, ALPHA, BETA, whole.positions or 0, whole.profiles, options.EVAL)
+    known = align.Significance(lam, k, ALPHA, BETA, whole.positions or 0, whole.profiles, options.EVAL * (generous if model else 1.0))
     scheme = replace(scheme, least_info=options.INFCON) if scheme.masked < 1 and not scheme.least_info else scheme
     pairs = None if seeding is None else seeds.candidates(q, s, seeding)
     found = align.align_profiles(q, s, scheme, realign=True, least=options.MINPP, significance=known, candidates=pairs, entropy=entropy)
     e = search.evalue(F.col("score"), lam, k, F.col("space"))
-    hits = found.withColumns({"evalue": e, "bits": search.bits(F.col("score"), lam, k), "pvalue": search.pvalue(e)}).drop("space")
+    if model:
+        for side, own in (("query", q), ("subject", s)):
+            thick = F.col("thickness").cast("double") if "thickness" in own.columns else F.lit(1.0)
+            sizes = own.select(F.col("profile_id").cast("long").alias(f"{side}_id"), F.size("v").cast("double").alias(f"_{side}_n"), F.coalesce(thick, F.lit(1.0)).alias(f"_{side}_t"))
+            found = found.join(sizes, f"{side}_id")
+        law = model.law(F.col("_query_t"), F.col("_query_n"), F.col("_subject_t"), F.col("_subject_n"), F.lit(float(lam)))
+        pair = significance.expectation(F.col("score"), law, F.lit(float(k)), K)
+        e = significance.over_space(pair, F.col("_query_n"), F.col("_subject_n"), F.col("space"))
+        found = found.withColumn("_e", e).where(F.col("_e") <= options.EVAL)
+        e = F.col("_e")
+    hits = found.withColumns({"evalue": e, "bits": search.bits(F.col("score"), lam, k), "pvalue": search.pvalue(e)})
+    hits = hits.drop("space", "_e", "_query_n", "_query_t", "_subject_n", "_subject_t")
     listed = database.ranked(hits, ["query_id"], [F.asc("evalue"), F.asc("subject_id")], options.NOHITS)
     return listed.withColumn("path", F.when((F.col("rank") <= options.NOALNS) & F.lit(options.SHOW == 1), F.col("path")))
 

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tessella.operators import align, scoring, seeds, targets
+from tessella.operators import align, scoring, seeds, significance, targets
 from tessella.plans import programs
 from tessella.sources.tables import Options
 
@@ -229,3 +229,29 @@ def test_joint_probabilities_of_odd_rows(spark):
     assert got[1][1] and got[1][0][0][0] == pytest.approx(got[1][0][1][1]) and got[1][0][0][0] > 0.25
     assert [got[k] for k in (2, 3, 4)] == [(None, False)] * 3
     assert targets.joint_probabilities(frame.where("false")).count() == 0
+
+
+def test_a_search_judges_pairs_by_location_and_scale(spark):
+    rng = np.random.default_rng(13)
+    heads = [profile(rng, 40) for _ in range(2)]
+    rows = [(i, v.tolist(), 2.0 + i) for i, v in enumerate(heads)] + [(10 + i, related(rng, v, 0.2).tolist(), None) for i, v in enumerate(heads)]
+    frame = spark.createDataFrame(rows, f"{PROFILE}, thickness double")
+    model = significance.PairModel(by_thickness=[[[0.1], [0.02], [0.03], [0.01], [0.02]]], by_lambda=[[[0.1, 0.05], [0.1, 0.02], [0.02, 0.01], [0.03, 0.01]]])
+    ask = {"scheme": align.Scheme(kind="log_sum", offset=0.6), "lam": 0.9, "k": 0.1}
+    plain = {(r.query_id, r.subject_id): r for r in programs.search_profiles(frame, frame, Options(EVAL=1e6), **ask).collect()}
+    got = {(r.query_id, r.subject_id): r for r in programs.search_profiles(frame, frame, Options(EVAL=1e4), model=model, **ask).collect()}
+    assert set(got) <= set(plain) and {(0, 10), (0, 0), (1, 1)} <= set(got)
+    size, thick = {i: len(v) for i, v, _ in rows}, {i: t or 1.0 for i, _, t in rows}
+    space = align.Significance(0.9, 0.1, programs.ALPHA, programs.BETA, sum(size.values()), len(rows), 1.0)
+    for (a, b), r in got.items():
+        x, y = sorted((a, b), key=lambda p: (-thick[p], -size[p]))
+        mu_e = max(3.0, 30 * (0.1 + 0.02 * thick[x] + 0.03 * math.log(size[x]) + 0.01 * thick[y] + 0.02 * math.log(size[y])))
+        long, short = sorted((size[a], size[b]), reverse=True)
+        mu_l, s_l = (c + d * 0.9 + e * math.log(long) + f * math.log(short) for c, d, e, f in ((0.1, 0.1, 0.02, 0.03), (0.05, 0.02, 0.01, 0.01)))
+        mu_l, s_l = max(3.0, 30 * mu_l), min(5.0, max(0.1, math.exp(max(0.1, 5 * s_l)) - 1))
+        inverse = 0.1 / 0.9
+        share, other = 0.5 * (1 - inverse), 0.5 + 0.5 * inverse
+        mu, scale = share * mu_e + (1 - share) * mu_l, (1 - other) * min(5.0, max(0.1, 0.1 * mu_e)) + other * s_l
+        wanted = 0.1 / programs.K * math.exp((mu - r.score) / scale) * space.space(size[a]) / (size[a] * size[b])
+        assert r.evalue == pytest.approx(wanted) and r.score == pytest.approx(plain[a, b].score)
+        assert r.evalue <= 1e4
