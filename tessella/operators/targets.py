@@ -64,6 +64,9 @@ def optimised(scores: np.ndarray, r: np.ndarray, c: np.ndarray, entropy: np.ndar
     b, n, m = scores.shape
     w = r[:, :, None] * c[:, None, :]
     s = np.where(w > 0, scores, 0.0)
+    # what depends on a row or a column alone is in their numbers; without it large scores do not overflow
+    by_row, by_col = (s * c[:, None, :]).sum(axis=2), (s * r[:, :, None]).sum(axis=1)
+    s = np.where(w > 0, s - by_row[:, :, None] - by_col[:, None, :] + (by_row * r).sum(axis=1)[:, None, None], 0.0)
     rows, cols = r > 0, c > 0
     theta, x, y = np.ones(b), np.zeros((b, n)), np.zeros((b, m))
     log = lambda t, u, v: np.where(w > 0, t[:, None, None] * s + u[:, :, None] + v[:, None, :], 0.0)
@@ -119,7 +122,7 @@ def optimised(scores: np.ndarray, r: np.ndarray, c: np.ndarray, entropy: np.ndar
         if not len(better):
             break
     done = np.abs(miss).max(axis=1) <= TOLERANCE * 10
-    return np.where(done[:, None, None], log(theta, x, y), s), done
+    return np.where(done[:, None, None], log(theta, x, y), scores), done
 
 
 def rescored(matrices: list[np.ndarray], entropy: float) -> list[np.ndarray]:
