@@ -49,7 +49,7 @@ BLOCK = 1024
 #: Shingles of a block's side, 16 MB; one class with more is a side of its own size.
 BLOCK_ITEMS = 1 << 21
 #: Full sets that go to a Python worker at once.
-SETS_AT_ONCE = 256
+SETS_AT_ONCE = 128
 _OTHER = stream(5, 1)[0]
 MISS = 1e-6
 #: Node ids up to which the candidates' list is broadcast: 8 bytes each, 16 MB at most.
@@ -196,12 +196,13 @@ def _confirm(percent: int):
         centre, held = None, np.zeros(0, U64)
         for batch in batches:
             links = []
-            for u, chunk, node, first, items in zip(*(batch[c].to_pylist() for c in ("u", "chunk", "node", "centre", "items")), strict=True):
+            for u, chunk, node, first, items in zip(*(batch[c].to_pylist() for c in ("u", "chunk", "node", "centre")), batch["items"], strict=True):
+                own = np.frombuffer(items.as_buffer(), U64)
                 if first:
-                    centre, held = (u, chunk), np.frombuffer(items, U64)
+                    centre, held = (u, chunk), own.copy()
                 elif (u, chunk) != centre:
                     raise ValueError("a member came before its centre")
-                elif similar(held, np.frombuffer(items, U64), percent):
+                elif similar(held, own, percent):
                     links.append((u, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 

@@ -69,6 +69,8 @@ ABOUT = frozenset(
 TYPES = frozenset("string str text char varchar bytes byte int integer long short float double bool boolean number any object optional void".split())
 LEAST_SCORE = 4.0
 LEAST_LENGTH = 6
+#: Rows of a batch that are redacted before they are handed on.
+ROWS_AT_ONCE = 512
 #: First characters that tell a placeholder, all of which are shorter.
 HEAD = 24
 
@@ -461,12 +463,14 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets replaced in ``text`` (and ``n_chars``, where there is such a column, counted anew)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = batch.column(at)
-            maybe = pc.match_substring_regex(texts.fill_null(""), MAYBE).to_pylist()
-            new = [redacted(t.as_py()) if look else t.as_py() for t, look in zip(texts, maybe, strict=True)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+        for whole in batches:
+            at = whole.schema.get_field_index("text")
+            for begin in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(begin, ROWS_AT_ONCE)
+                texts = batch.column(at)
+                maybe = pc.match_substring_regex(texts, MAYBE).fill_null(False)
+                new = pa.array([redacted(t.as_py()) for t in texts.filter(maybe)], texts.type)
+                yield batch.set_column(at, batch.schema.field(at), pc.replace_with_mask(texts, maybe, new)) if len(new) else batch
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
