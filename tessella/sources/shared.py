@@ -20,7 +20,8 @@ def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='tables-')}"
     spark.conf.set("spark.checkpoint.dir", made)
