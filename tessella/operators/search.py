@@ -88,16 +88,28 @@ def top_hits(queries: DataFrame, subjects: DataFrame, key: str, vector: str, k:
     return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def counted(rows: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, value, count)`` of the values in a matrix of whole numbers, by what ``rows`` (from 0) names each of its rows."""
+    if not whole.size:
+        return (np.zeros(0, np.int64),) * 3
+    low = int(whole.min())
+    width, most = int(whole.max()) - low + 1, int(rows.max()) + 1
+    flat = (whole - low + rows[:, None] * width).ravel()
+    if width * most <= 4 * whole.size:
+        n = np.bincount(flat, minlength=width * most)
+        at = np.flatnonzero(n)
+        n = n[at]
+    else:  # values lie far apart
+        at, n = np.unique(flat, return_counts=True)
+    return at // width, at % width + low, n
+
+
 def score_counts(queries: DataFrame, subjects: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
     """``query_id, score, n``: how many subjects have each rounded score with each query."""
 
     def bins(qid: np.ndarray, sid: np.ndarray, score: np.ndarray) -> dict[str, np.ndarray]:
-        whole = np.rint(score).astype(np.int64)
-        low = int(whole.min())
-        width = int(whole.max()) - low + 1
-        flat = np.bincount((whole - low + np.arange(len(qid))[:, None] * width).ravel(), minlength=width * len(qid))
-        at = np.flatnonzero(flat)
-        return {"query_id": qid[at // width], "score": at % width + low, "n": flat[at]}
+        at, whole, n = counted(np.arange(len(qid)), np.rint(score).astype(np.int64))
+        return {"query_id": qid[at], "score": whole, "n": n}
 
     parts = scored(queries, subjects, key, vector, bins, "query_id long, score long, n long", scale)
     return parts.groupBy("query_id", "score").agg(F.sum("n").alias("n"))
