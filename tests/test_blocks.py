@@ -12,7 +12,7 @@ from tessella.plans import catalogue
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
-    """A folder of ``embeddings`` with some rows that have no label or no vector, and DuckDB on it."""
+    """A folder of ``embeddings`` with some rows that have no label and some ids left out, and DuckDB on it."""
     rng = np.random.default_rng(4)
     folder = str(tmp_path_factory.mktemp("tables"))
     rows = [(i, rng.normal(0, 0.15, 64).tolist(), None if i % 7 == 3 else i % 4) for i in range(260)]
@@ -43,3 +43,14 @@ def test_counts_by_row_of_near_and_far_values():
 
 def test_histograms_of_rows_and_columns_without_labels(spark, tables):
     same(spark, tables, "score_histogram_rowcol")
+
+
+def test_lines_of_hits_have_the_digits_of_c(spark):
+    from tessella.plans._vectors import _hit_line
+
+    scores = [19.76515, 19.77835, 19.75875, 0.00005, 12.0, -3.14155]  # the first three lie below what they look like
+    rows = spark.createDataFrame([(i + 1, 40 * i, x) for i, x in enumerate(scores)], "rank int, subject_id long, score double")
+    got = [r.text for r in rows.select("rank", _hit_line("rank", "subject_id", "score").alias("text")).orderBy("rank").collect()]
+    wanted = duckdb.sql(" UNION ALL ".join(f"SELECT {i + 1} AS k, printf('%5d %10d %10.4f', {i + 1}, {40 * i}, {x!r}::DOUBLE) AS t" for i, x in enumerate(scores)))
+    assert got == [t for _, t in sorted(wanted.fetchall())]
+    assert got[:3] == ["    1          0    19.7651", "    2         40    19.7783", "    3         80    19.7587"]
