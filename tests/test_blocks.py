@@ -54,3 +54,15 @@ def test_lines_of_hits_have_the_digits_of_c(spark):
     wanted = duckdb.sql(" UNION ALL ".join(f"SELECT {i + 1} AS k, printf('%5d %10d %10.4f', {i + 1}, {40 * i}, {x!r}::DOUBLE) AS t" for i, x in enumerate(scores)))
     assert got == [t for _, t in sorted(wanted.fetchall())]
     assert got[:3] == ["    1          0    19.7651", "    2         40    19.7783", "    3         80    19.7587"]
+
+
+def test_diagonals_of_profiles_with_gaps(spark, tmp_path):
+    """Positions left out, and one without a vector; no cell is shuffled."""
+    rng = np.random.default_rng(9)
+    rows = [(i, None if i == 23 else [0.0] * 64 if i == 31 else rng.normal(0, 0.3, 64).tolist(), 0) for i in range(160) if i not in (4, 5, 77, 150)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("diagonal_average", "diagonal_autocorrelation"):
+        same(spark, (str(tmp_path), con), name, 5)
+        assert "Exchange hashpartitioning" not in catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
