@@ -66,3 +66,28 @@ def test_diagonals_of_profiles_with_gaps(spark, tmp_path):
     for name in ("diagonal_average", "diagonal_autocorrelation"):
         same(spark, (str(tmp_path), con), name, 5)
         assert "Exchange hashpartitioning" not in catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_one_shape_are_aligned_together(spark, monkeypatch):
+    """Profiles of several lengths and moves: few passes, each pair as on its own."""
+    from tessella.operators import align
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.dirichlet(np.full(6, 0.3), 12 + i % 3).tolist(), np.log(rng.dirichlet(np.ones(9), 13 + i % 3)).tolist() if i % 4 == 1 else None) for i in range(12)]
+    scheme, share = align.Scheme(scale=6.0, offset=1.5), 0.28
+    given = [(i, np.array(v), align.default_moves(len(v)) if t is None else np.array(t)) for i, v, t in rows]
+    table = spark.createDataFrame(rows, "profile_id long, v array<array<double>>, moves array<array<double>>").coalesce(1)
+    for together in (align.TOGETHER, 1):
+        monkeypatch.setattr(align, "TOGETHER", together)
+        found = align.align_profiles(table.where("profile_id < 3"), table, scheme, realign=True, least=share).collect()
+        got = {(r.query_id, r.subject_id): (r.score, r.n_matched, [(p.q, p.s) for p in r.path]) for r in found}
+        assert len(got) == len(found) == 36
+        for i, x, a in given[:3]:
+            for j, y, b in given:
+                scores = 6.0 * (x @ y.T) - 1.5
+                one = align.local(scores, a, b)
+                path = align.most_accurate(align.posteriors(scores, a, b)[0], share)[1] if one.path else []
+                assert got[i, j] == (pytest.approx(one.score), one.matches, path)
+    assert [len(p) for p in align._alike([(2, 2)] * 5 + [(2, 3)])] == [1] * 6
+    monkeypatch.undo()
+    assert sorted(len(p) for p in align._alike([(2, 2)] * 5 + [(2, 3)])) == [1, 5]
