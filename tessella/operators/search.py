@@ -1,9 +1,9 @@
 """Search of query vectors against a table of vectors, in blocks.
 
 Rows are packed into blocks of up to ``BLOCK`` vectors where they lie; blocks of
-queries meet blocks of subjects, and a matrix product gives all scores of the
-two.  What leaves a pair of blocks is bounded: the best k of each query, or a
-histogram.
+subjects are dealt out evenly and meet blocks of queries, and matrix products give
+all scores of the two, up to ``CELLS`` at a time.  What leaves a pair of blocks is
+bounded: the best k of each query, or a histogram.
 """
 
 from __future__ import annotations
@@ -20,9 +20,18 @@ from pyspark.sql import functions as F
 from tessella.sources.shared import written
 
 BLOCK = 1024
+CELLS = 1 << 16  # what stays in a core's cache while it is rounded and counted
 DIGITS = 6
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as rows; a null among the numbers is not a number."""
+    lengths = np.unique(np.diff(lists.offsets.to_numpy()))
+    if len(lengths) > 1:
+        raise ValueError("vectors of one block differ in length")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), lengths[0])
+
+
 def packed(df: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
     """Blocks of ``df`` as rows of ids and a matrix of doubles; rows without a vector are left out."""
 
@@ -30,7 +39,7 @@ def packed(df: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                mat = np.array(part["v"].to_pylist(), np.float64)
+                mat = _matrix(part["v"])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part["k"].to_numpy().tobytes()]), pa.array([mat.tobytes()]), pa.array([mat.shape[0]], pa.int32())],
                     [f"{prefix}_ids", f"{prefix}_mat", f"{prefix}_n"],
@@ -43,18 +52,26 @@ def packed(df: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
 def _each_pair(kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], scale: float, digits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                q, s = (np.frombuffer(row[f"{p}_mat"]).reshape(row[f"{p}_n"], -1) for p in "qs")
-                ids = [np.frombuffer(row[f"{p}_ids"], np.int64) for p in "qs"]
-                scores = scale * (q @ s.T)
-                yield pa.RecordBatch.from_pydict(kernel(*ids, scores if digits is None else np.round(scores, digits)))
+            for at in range(batch.num_rows):
+                (q, s), (qid, sid) = ([np.frombuffer(batch[f"{p}_{part}"][at].as_buffer(), kind) for p in "qs"] for part, kind in (("mat", np.float64), ("ids", np.int64)))
+                q, s = q.reshape(len(qid), -1), s.reshape(len(sid), -1)
+                step = max(1, CELLS // len(s))
+                for top in range(0, len(q), step):
+                    scores = scale * (q[top : top + step] @ s.T)
+                    yield pa.RecordBatch.from_pydict(kernel(qid[top : top + step], sid, scores if digits is None else np.round(scores, digits)))
 
     return run
 
 
+def _spread(blocks: DataFrame) -> DataFrame:
+    """Written blocks dealt evenly to tasks, however the files that they come from are cut."""
+    n = blocks.count()
+    return blocks.repartition(min(n, 4 * blocks.sparkSession.sparkContext.defaultParallelism)) if n > 1 else blocks
+
+
 def scored(queries: DataFrame, subjects: DataFrame, key: str, vector: str, kernel, schema: str, scale: float = 1.0, digits: int | None = DIGITS) -> DataFrame:
-    """``kernel(query ids, subject ids, scores)`` over all pairs of blocks, which are written once; scores rounded to ``digits``."""
-    pairs = written(packed(queries, key, vector, "q"), "queries").crossJoin(written(packed(subjects, key, vector, "s"), "subjects"))
+    """``kernel(query ids, subject ids, scores)`` over all pairs of blocks, which are written once, some whole rows at a time; scores rounded to ``digits``."""
+    pairs = written(packed(queries, key, vector, "q"), "queries").crossJoin(_spread(written(packed(subjects, key, vector, "s"), "subjects")))
     return pairs.mapInArrow(_each_pair(kernel, scale, digits), schema)
 
 
@@ -104,6 +121,20 @@ def counted(rows: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at // width, at % width + low, n
 
 
+def counted_sides(whole: np.ndarray, names: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``counted`` of each row, and of the columns by what ``names`` (from 0) names each of them; at once where names are few."""
+    rows = np.arange(len(whole))
+    if whole.size:
+        low = int(whole.min())
+        width, kinds = int(whole.max()) - low + 1, int(names.max()) + 1
+        if width * kinds <= len(names):
+            flat = (whole + (names * width - low) + rows[:, None] * (kinds * width)).ravel()
+            cube = np.bincount(flat, minlength=len(rows) * kinds * width).reshape(len(rows), kinds, width)
+            sums = cube.sum(1), cube.sum(0)
+            return [(at, value + low, n[at, value]) for n, (at, value) in zip(sums, map(np.nonzero, sums), strict=True)]
+    return [counted(rows, whole), counted(names, whole.T)]
+
+
 def score_counts(queries: DataFrame, subjects: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
     """``query_id, score, n``: how many subjects have each rounded score with each query."""
 

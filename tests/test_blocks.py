@@ -4,7 +4,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import search
 from tessella.plans import catalogue
@@ -45,6 +47,42 @@ def test_histograms_of_rows_and_columns_without_labels(spark, tables):
     same(spark, tables, "score_histogram_rowcol")
 
 
+def test_counts_of_rows_and_columns_at_once():
+    rng = np.random.default_rng(3)
+    for spread, kinds in ((5, 3), (5, 40), (10**12, 2)):
+        whole, names = rng.integers(-spread, spread, (7, 90)), rng.integers(0, kinds, 90)
+        for (rows, value, n), by in zip(search.counted_sides(whole, names), (lambda i, j: i, lambda i, j: int(names[j])), strict=True):
+            got = {(int(r), int(v)): int(c) for r, v, c in zip(rows, value, n, strict=True)}
+            assert got == Counter((by(i, j), int(v)) for i, line in enumerate(whole) for j, v in enumerate(line))
+    assert [len(x) for side in search.counted_sides(np.zeros((0, 3), int), np.zeros(3, int)) for x in side] == [0] * 6
+
+
+def test_blocks_of_one_file_are_dealt_to_tasks(spark):
+    """Rows that lie in one partition: all pairs of blocks, in more tasks than one, some rows of queries at a time."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (4 * search.BLOCK + 10, 3)).astype(float)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, x array<double>").coalesce(1)
+
+    def sizes(qid, sid, score):
+        return {"q": qid, "most": np.full(len(qid), score.size), "n": np.full(len(qid), len(sid)), "total": score.sum(1)}
+
+    found = search.scored(table.where("id % 20 = 0"), table, "id", "x", sizes, "q long, most long, n long, total double").withColumn("task", F.spark_partition_id())
+    rows = found.collect()
+    assert len({r.task for r in rows}) == 5 and max(r.most for r in rows) <= search.CELLS
+    n, total = Counter(), Counter()
+    for r in rows:
+        n[r.q] += r.n
+        total[r.q] += r.total
+    assert n == dict.fromkeys(range(0, len(x), 20), len(x)) and total == {i: x[i] @ x.sum(0) for i in n}
+
+
+def test_vectors_of_a_block():
+    lists = pa.array([[9.0, 9.0], [1.0, 2.0], [None, 4.0], [5.0, 6.0]], pa.list_(pa.float64()))
+    assert np.array_equal(search._matrix(lists.slice(1, 2)), [[1.0, 2.0], [np.nan, 4.0]], equal_nan=True)
+    with pytest.raises(ValueError):
+        search._matrix(pa.array([[1.0], [2.0, 3.0, 4.0]]))
+
+
 def test_lines_of_hits_have_the_digits_of_c(spark):
     from tessella.plans._vectors import _hit_line
 
