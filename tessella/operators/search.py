@@ -3,7 +3,8 @@
 Rows are packed into blocks of up to ``BLOCK`` vectors where they lie; blocks of
 subjects are dealt out evenly and meet blocks of queries, and matrix products give
 all scores of the two, up to ``CELLS`` at a time.  What leaves a pair of blocks is
-bounded: the best k of each query, or a histogram.
+bounded: the best k of each query, or a histogram.  Histograms are added up in the
+task before they leave it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from tessella.sources.shared import written
 
 BLOCK = 1024
 CELLS = 1 << 16  # what stays in a core's cache while it is rounded and counted
+HELD = 1 << 21  # rows of counts that a task adds up at a time
 DIGITS = 6
 
 
@@ -63,16 +65,46 @@ def _each_pair(kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str,
     return run
 
 
+def _summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``parts`` with their last column added up by the others, as far as ``HELD`` rows go."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += part.num_rows
+        if n > HELD:
+            held = _sums(held)
+            n = sum(b.num_rows for b in held)
+            if 2 * n > HELD:
+                yield from held
+                held, n = [], 0
+    if held:
+        yield from _sums(held)
+
+
+def _sums(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    *by, last = names = parts[0].schema.names
+    sums = pa.Table.from_batches(parts).group_by(by, use_threads=False).aggregate([(last, "sum")])
+    return sums.select([*by, f"{last}_sum"]).rename_columns(names).to_batches()
+
+
 def _spread(blocks: DataFrame) -> DataFrame:
     """Written blocks dealt evenly to tasks, however the files that they come from are cut."""
     n = blocks.count()
-    return blocks.repartition(min(n, 4 * blocks.sparkSession.sparkContext.defaultParallelism)) if n > 1 else blocks
+    return blocks.repartition(min(n, 2 * blocks.sparkSession.sparkContext.defaultParallelism)) if n > 1 else blocks
+
 
+def scored(
+    queries: DataFrame, subjects: DataFrame, key: str, vector: str, kernel, schema: str, scale: float = 1.0, digits: int | None = DIGITS, summed: bool = False
+) -> DataFrame:
+    """``kernel(query ids, subject ids, scores)`` over all pairs of blocks, which are written once, some whole rows at a time.
 
-def scored(queries: DataFrame, subjects: DataFrame, key: str, vector: str, kernel, schema: str, scale: float = 1.0, digits: int | None = DIGITS) -> DataFrame:
-    """``kernel(query ids, subject ids, scores)`` over all pairs of blocks, which are written once, some whole rows at a time; scores rounded to ``digits``."""
+    Scores are rounded to ``digits``.  ``summed``: the kernel's last column counts
+    and is added up by the others within a task, so that what leaves a task grows
+    with queries and not with pairs of blocks; the rest of the sum is the caller's.
+    """
     pairs = written(packed(queries, key, vector, "q"), "queries").crossJoin(_spread(written(packed(subjects, key, vector, "s"), "subjects")))
-    return pairs.mapInArrow(_each_pair(kernel, scale, digits), schema)
+    each = _each_pair(kernel, scale, digits)
+    return pairs.mapInArrow((lambda batches: _summed(each(batches))) if summed else each, schema)
 
 
 def evalue(score: Column, lam: float, k: float, space: Column) -> Column:
@@ -142,7 +174,7 @@ def score_counts(queries: DataFrame, subjects: DataFrame, key: str, vector: str,
         at, whole, n = counted(np.arange(len(qid)), np.rint(score).astype(np.int64))
         return {"query_id": qid[at], "score": whole, "n": n}
 
-    parts = scored(queries, subjects, key, vector, bins, "query_id long, score long, n long", scale)
+    parts = scored(queries, subjects, key, vector, bins, "query_id long, score long, n long", scale, summed=True)
     return parts.groupBy("query_id", "score").agg(F.sum("n").alias("n"))
 
 

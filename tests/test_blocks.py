@@ -76,6 +76,31 @@ def test_blocks_of_one_file_are_dealt_to_tasks(spark):
     assert n == dict.fromkeys(range(0, len(x), 20), len(x)) and total == {i: x[i] @ x.sum(0) for i in n}
 
 
+def test_counts_are_added_up_in_a_task(spark, monkeypatch):
+    """What leaves a task has one row of a key while they fit, and loses no count when they do not."""
+    rng = np.random.default_rng(6)
+    keys, n = rng.integers(0, 9, (50, 20)), rng.integers(1, 5, (50, 20))
+    parts = [pa.RecordBatch.from_pydict({"key": k, "n": c}) for k, c in zip(keys, n, strict=True)]
+    wanted = Counter()
+    for k, c in zip(keys.ravel().tolist(), n.ravel().tolist(), strict=True):
+        wanted[k] += c
+    for held in (search.HELD, 40, 10):
+        monkeypatch.setattr(search, "HELD", held)
+        got, rows = Counter(), [r for b in search._summed(iter(parts)) for r in b.to_pylist()]
+        for r in rows:
+            got[r["key"]] += r["n"]
+        assert got == wanted and (len(rows) == 9) == (held > 10)
+    assert list(search._summed(iter([]))) == []
+
+    table = spark.createDataFrame([(i, [float(i % 3)]) for i in range(3 * search.BLOCK)], "id long, x array<double>").coalesce(1)
+
+    def bins(qid, sid, score):
+        return {"q": np.zeros(1, np.int64), "n": np.array([score.size])}
+
+    rows = search.scored(table.where("id < 500"), table, "id", "x", bins, "q long, n long", summed=True).collect()
+    assert len(rows) <= 3 and sum(r.n for r in rows) == 500 * 3 * search.BLOCK
+
+
 def test_vectors_of_a_block():
     lists = pa.array([[9.0, 9.0], [1.0, 2.0], [None, 4.0], [5.0, 6.0]], pa.list_(pa.float64()))
     assert np.array_equal(search._matrix(lists.slice(1, 2)), [[1.0, 2.0], [np.nan, 4.0]], equal_nan=True)
