@@ -131,6 +131,31 @@ def test_diagonals_of_profiles_with_gaps(spark, tmp_path):
         assert "Exchange hashpartitioning" not in catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_diagonals_of_positions_without_a_profile(spark, tmp_path, monkeypatch):
+    """Vectors without an id: one nameless profile, as in SQL; in parts as at once."""
+    from tessella.operators import align
+
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i == 23 else rng.normal(0, 0.3, 64).tolist(), 0) for i in range(70)]
+    schema = "vec_id long, embedding array<float>, label int"
+    for k, added in enumerate(([rng.normal(0, 0.3, 64).tolist()], [None], rng.normal(0, 0.3, (3, 64)).tolist())):
+        folder = f"{tmp_path}/{k}"
+        spark.createDataFrame(rows + [(None, x, 0) for x in added], schema).repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+        for name in ("diagonal_average", "diagonal_autocorrelation"):
+            found = []
+            for size in (align.NAMELESS, 7):
+                monkeypatch.setattr(align, "NAMELESS", size)
+                if len(added) == 1:
+                    same(spark, (folder, con), name, 5)
+                rows_of = catalogue.QUERIES[name](spark, folder).where("id is null").collect()
+                found.append(Counter((r.q, r.s, r[3] if r[3] is None else round(r[3], 5)) for r in rows_of))
+                assert len(rows_of) == len(con.sql(f"SELECT * FROM ({catalogue.ORACLES[name]}) WHERE id IS NULL").fetchall()) == 50 * len(added)
+            assert found[0] == found[1]
+            monkeypatch.undo()
+
+
 def test_pairs_of_one_shape_are_aligned_together(spark, monkeypatch):
     """Profiles of several lengths and moves: few passes, each pair as on its own."""
     from tessella.operators import align
